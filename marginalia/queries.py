@@ -1,9 +1,428 @@
-"""Queries of the engine, and their SQL."""
+"""A query for each operator, over the whole of its table."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import matches, plain_words, utf16_offset, whitespace_words
+from .operators import edits, evaluate, outliers, placement, readers
+from .operators.detectors import QUOTED, detectors, forensic, is_markup, rhetoric, rhythm_cv
+from .operators.rules import catalogue, tell_matches
+from .operators.scoring import blind, density
+from .operators.segments import segmented, segmenters
+from .plans import gauge as plan
+from .plans import report
+from .seeds import seeded
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+#: Fixed lengths at which the edit query changes each text.
+EDITS = ((1, 3, 3, 5), (2, 0, 4, 1), (3, 40, 60, 0))
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _segs(spark: SparkSession, d: str, segmenter: str = "paragraph") -> DataFrame:
+    return segmented(seeded(spark, d), segmenter, context=False)
+
+
+@query
+def seg_document(spark, d):
+    """One span for each document."""
+    return segmented(_docs(spark, d), "document", context=False).select("doc_id", "seg_idx", "start", "end", F.sha2("quote", 256).alias("quote_hash"))
+
+
+@query
+def seg_paragraph(spark, d):
+    """Paragraphs with their places."""
+    return _segs(spark, d).select("doc_id", "seg_idx", "start", "end", F.sha2("quote", 256).alias("quote_hash"))
+
+
+@query
+def seg_sentence(spark, d):
+    """Sentences with their places."""
+    return _segs(spark, d, "sentence").select("doc_id", "seg_idx", "start", "end", F.sha2("quote", 256).alias("quote_hash"))
+
+
+@query
+def span_context(spark, d):
+    """Paragraphs with what stands around them."""
+    return segmented(seeded(spark, d), "paragraph").select("doc_id", "seg_idx", "start", "end", "prefix", "suffix")
+
+
+@query
+def segmenter_list(spark, d):
+    return segmenters(spark).select("name")
+
+
+@query
+def detector_list(spark, d):
+    return detectors(spark).select("name")
+
+
+@query
+def match_offsets(spark, d):
+    """Places of all words of eight letters or more that a comma follows."""
+    rows = _docs(spark, d).select("doc_id", F.posexplode(matches(F.col("text"), "[a-z]{8,},", "")).alias("nth", "m"))
+    return rows.select("doc_id", "nth", "m.start", "m.end", "m.matched")
+
+
+@query
+def utf16_offsets(spark, d):
+    """Ends of paragraphs in code points and in UTF-16 units."""
+    segs = segmented(seeded(spark, d), "paragraph", keep=("text",), context=False)
+    return segs.select("doc_id", "seg_idx", "end", utf16_offset(F.col("text"), F.col("end")).alias("utf16_end"))
+
+
+@query
+def word_counts(spark, d):
+    """Words of each document in the two ways that are used."""
+    return _docs(spark, d).select("doc_id", whitespace_words(F.col("text")).alias("n_words"), plain_words(F.col("text")).alias("n_plain"))
+
+
+def _tells(spark, d, tiers=None):
+    rows = _segs(spark, d).select("doc_id", "seg_idx", "start", F.explode(tell_matches(F.col("quote"), tiers=tiers)).alias("m"))
+    return rows.select("doc_id", "seg_idx", F.col("m.rule").alias("rule"), F.col("m.tier").alias("tier"), F.col("m.weight").alias("weight"), (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"))
+
+
+@query
+def tell_catalogue(spark, d):
+    """All matches of the catalogue, quoted ones too."""
+    return _tells(spark, d)
+
+
+@query
+def tell_tier_filter(spark, d):
+    """Matches of the surest tier only, counted by rule."""
+    return _tells(spark, d, ("E",)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query
+def tell_rules(spark, d):
+    """The catalogue itself."""
+    return catalogue(spark).select("id", "tier", "weight", F.size("patterns").alias("n_patterns"))
+
+
+@query
+def tell_quoted_suppressed(spark, d):
+    """Signals of the catalogue outside quotations."""
+    segs = plan.detected(seeded(spark, d), detectors=["tells"])
+    return plan.signals(segs).select("doc_id", "seg_idx", "name", "weight", "start", "end")
+
+
+@query
+def quoted_ranges(spark, d):
+    rows = _segs(spark, d).select("doc_id", "seg_idx", "start", F.explode(matches(F.col("quote"), QUOTED)).alias("m"))
+    return rows.select("doc_id", "seg_idx", (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"))
+
+
+@query
+def markup_segments(spark, d):
+    return _segs(spark, d).select("doc_id", "seg_idx", is_markup(F.col("quote")).alias("markup"))
+
+
+@query
+def forensic_signals(spark, d):
+    """Traces of typing and pasting."""
+    rows = _segs(spark, d).select("doc_id", "seg_idx", F.explode(forensic(F.col("quote"), F.col("start"))).alias("s"))
+    return rows.select("doc_id", "seg_idx", "s.name", "s.direction", "s.weight", "s.start", "s.end")
+
+
+@query
+def rhetoric_signals(spark, d):
+    """Sentence shapes."""
+    rows = _segs(spark, d).select("doc_id", "seg_idx", F.explode(rhetoric(F.col("quote"), F.col("start"))).alias("s"))
+    return rows.select("doc_id", "seg_idx", "s.name", "s.direction", "s.weight", "s.start", "s.end")
+
+
+@query
+def rhythm_spread(spark, d):
+    """Spread of sentence lengths."""
+    rows = _segs(spark, d).withColumn("r", rhythm_cv(F.col("quote")))
+    return rows.select("doc_id", "seg_idx", F.col("r.n").alias("n"), F.bround("r.cv", 3).alias("cv"))
+
+
+@query
+def signals_all(spark, d):
+    """All signals of the default detectors."""
+    return plan.signals(plan.detected(seeded(spark, d))).select("doc_id", "seg_idx", "name", "direction", "weight", "detector", "start", "end")
+
+
+@query
+def score_blind(spark, d):
+    """Segments scored whatever their length."""
+    return plan.gauge(seeded(spark, d), aggregate="aggregate").select("doc_id", "seg_idx", "n_signals", "lean", "strength", "label")
+
+
+@query
+def score_density(spark, d):
+    """Segments scored for their length."""
+    return plan.gauge(seeded(spark, d)).select("doc_id", "seg_idx", "n_signals", "lean", "strength", "label")
+
+
+@query
+def score_sentences(spark, d):
+    """Sentences scored."""
+    return plan.gauge(seeded(spark, d), "sentence").select("doc_id", "seg_idx", "n_signals", "lean", "strength", "label")
+
+
+@query
+def score_custom(spark, d):
+    """A score of one's own: blind to length below 2,000 code points."""
+    own = lambda signals, n: F.when(n < 2000, blind(signals)).otherwise(density(signals, n))
+    return plan.gauge(seeded(spark, d), aggregate=own).select("doc_id", "seg_idx", "lean", "strength", "label")
+
+
+@query
+def label_counts(spark, d):
+    return plan.gauge(seeded(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def rollup_document(spark, d):
+    """Verdicts on documents."""
+    return plan.verdicts(seeded(spark, d)).select("doc_id", "n_chars", "n_segments", "n_signals", "lean", "strength", "label")
+
+
+@query
+def report_flat(spark, d):
+    """Flat reports."""
+    return plan.verdicts(seeded(spark, d))
+
+
+@query
+def weight_by_direction(spark, d):
+    rows = plan.gauge(seeded(spark, d)).select("doc_id", F.explode("signals").alias("s"))
+    return rows.groupBy("doc_id", "s.direction").agg(F.sum(F.col("s.weight").cast("decimal(9,4)")).cast("double").alias("weight"))
+
+
+@query
+def ranked_flags(spark, d):
+    """The three heaviest signals of each document."""
+    ranked = placement.ranked(plan.signals(plan.detected(seeded(spark, d))))
+    return ranked.where("rank <= 3").select("doc_id", "rank", "name", "weight", "start")
+
+
+@query
+def listed_flags(spark, d):
+    """Each document's first signal of the list that puts people's side first."""
+    return placement.listed(plan.signals(plan.detected(seeded(spark, d)))).where("rank = 1").select("doc_id", "name", "direction", "weight")
+
+
+@query
+def greedy_placement(spark, d):
+    """Signals that are drawn as marks."""
+    segs = plan.gauge(seeded(spark, d))
+    rows = segs.select("doc_id", "seg_idx", F.explode(placement.placed(F.col("signals"), F.col("start"))).alias("s"))
+    return rows.select("doc_id", "seg_idx", "s.name", "s.start", "s.end", placement.shade(F.col("s.weight"), F.col("s.direction")).alias("shade"), placement.bar_width(F.col("s.weight")).alias("width"))
+
+
+def _judgments(spark, d):
+    """Three readers: one flags the first 20 code points, one quotes the 10 from the 6th on and flags 5, one flags 30 and quotes what is nowhere."""
+    docs = seeded(spark, d)
+    none = F.lit(None)
+    row = lambda reader, direction, quote, a, b, name, weight: F.struct(F.lit(reader).alias("reader"), F.lit(direction).alias("direction"), quote.cast("string").alias("quote"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(name).alias("name"), F.lit(weight).cast("double").alias("weight"), none.cast("string").alias("note"), none.cast("string").alias("detector"), none.cast("string").alias("value"))
+    rows = F.array(
+        row("a", "machine", none, F.lit(0), F.lit(20), "opening", 0.5),
+        row("b", "machine", F.substring("text", 6, 10), none, none, "middle", 0.3),
+        row("b", "human", none, F.lit(0), F.lit(5), "warm", 0.4),
+        row("c", "human", none, F.lit(0), F.lit(30), "whole", 0.2),
+        row("c", "machine", F.lit("no such words"), none, none, "gone", 0.9),
+    )
+    return docs.select("doc_id", F.explode(rows).alias("j")).select("doc_id", "j.*")
+
+
+@query
+def anchor_quotes(spark, d):
+    """Where judgments stand."""
+    return readers.anchored(seeded(spark, d), _judgments(spark, d)).select("doc_id", "reader", "name", "start", "end", "dropped")
+
+
+@query
+def reader_counts(spark, d):
+    return readers.reader_counts(seeded(spark, d), _judgments(spark, d))
+
+
+@query
+def consensus_units(spark, d):
+    """Sentences that two readers flag."""
+    out = readers.consensus_units(seeded(spark, d), _judgments(spark, d), 2)
+    return out.select("doc_id", "unit", "direction", "start", "end", F.array_join("readers", ",").alias("readers"), F.array_join("shapes", ",").alias("shapes"), "weight")
+
+
+@query
+def consensus_density(spark, d):
+    return readers.consensus(seeded(spark, d), _judgments(spark, d), 2)
+
+
+@query
+def pooled_baseline(spark, d):
+    """All texts' consensus pooled by words."""
+    out = readers.pooled(readers.consensus(seeded(spark, d), _judgments(spark, d), 2))
+    return out.withColumn("n_readers", F.array_join(F.transform("n_readers", lambda x: x.cast("string")), ","))
+
+
+@query
+def baseline_caveats(spark, d):
+    """Readings at k = 1 beside a baseline at k = 2."""
+    docs, own = seeded(spark, d), _judgments(spark, d)
+    base = readers.pooled(readers.consensus(docs, own.where("reader <> 'c'"), 2))
+    out = readers.compared(readers.consensus(docs, own, 1), base)
+    return out.select("doc_id", "machine", "base_machine", F.size("caveats").alias("n_caveats"))
+
+
+@query
+def inject_contains(spark, d):
+    """Sentences scored with what a single reader found."""
+    docs = seeded(spark, d)
+    extra = readers.judgment_signals(docs, _judgments(spark, d).where("reader = 'b'"))
+    return plan.gauge(docs, "sentence", extra=extra).select("doc_id", "seg_idx", "n_signals", "lean", "strength", "label")
+
+
+@query
+def inject_consensus(spark, d):
+    """Verdicts with what two readers agree on."""
+    docs, own = seeded(spark, d), _judgments(spark, d)
+    n = readers.consensus(docs, own, 2).select("doc_id", "n_readers")
+    extra = readers.consensus_signals(readers.consensus_units(docs, own, 2), n)
+    return plan.verdicts(docs, "sentence", extra=extra).select("doc_id", "n_signals", "lean", "strength", "label")
+
+
+def _truth(spark, d):
+    """The passages put behind the texts count as machine-written."""
+    docs, own = seeded(spark, d), _docs(spark, d).select("doc_id", F.length("text").alias("n"))
+    both = docs.select("doc_id", F.length("text").alias("end")).join(own, "doc_id").where("end > n")
+    return both.select("doc_id", (F.col("n") + 2).alias("start"), "end")
+
+
+@query
+def truth_overlap(spark, d):
+    segs = plan.gauge(seeded(spark, d))
+    return evaluate.fractions(segs, _truth(spark, d)).select("doc_id", "seg_idx", "covered", F.bround("fraction", 6).alias("fraction"), "side")
+
+
+@query
+def score_card(spark, d):
+    """How the default detectors do on the passages."""
+    return evaluate.score_card(plan.gauge(seeded(spark, d), "sentence"), _truth(spark, d))
+
+
+@query
+def score_card_ladder(spark, d):
+    """The same for each detector alone, and which of them beats the first."""
+    cards, docs, truth = None, seeded(spark, d), _truth(spark, d)
+    for name in ("tells", "forensic", "rhetoric"):
+        part = evaluate.score_card(plan.gauge(docs, "sentence", [name]).withColumn("rung", F.lit(name)), truth, ("rung",))
+        cards = part if cards is None else cards.unionByName(part)
+    out = evaluate.gate(cards, cards.where("rung = 'tells'"))
+    return out.select("rung", "signals", "machine_hits", "machine_total", "machine_flagged", "decisive", "agreements", "passes")
+
+
+@query
+def band_rates(spark, d):
+    """Documents and segments called machine-written, by language and in all."""
+    docs = seeded(spark, d)
+    return evaluate.band_rates(plan.verdicts(docs, keep=("lang",)), plan.gauge(docs), "lang")
+
+
+@query
+def length_buckets(spark, d):
+    return evaluate.length_rates(plan.verdicts(seeded(spark, d)))
+
+
+@query
+def rule_accounting(spark, d):
+    """Rules on the texts as they are, and with passages."""
+    human = plan.signals(plan.detected(_docs(spark, d)))
+    return evaluate.rule_accounting(human, plan.signals(plan.detected(seeded(spark, d))), _truth(spark, d))
+
+
+@query
+def detector_accounting(spark, d):
+    human = plan.signals(plan.detected(_docs(spark, d)))
+    return evaluate.docs_by_detector(evaluate.rule_accounting(human, human, _truth(spark, d)))
+
+
+@query
+def reference_sweep(spark, d):
+    """Documents called machine-written at each reference length."""
+    docs = seeded(spark, d)
+    return evaluate.reference_sweep(plan.gauge(docs), docs.withColumn("n_chars", F.length("text")), "lang")
+
+
+@query
+def robust_outlier(spark, d):
+    """Sentences whose words are unusually long or short for their document."""
+    docs = seeded(spark, d)
+    segs = segmented(docs, "sentence", context=False)
+    rows = outliers.standings(segs, outliers.word_length_statistics(docs), "ratio", -1.0)
+    return rows.select("doc_id", "seg_idx", "n_tokens", "n_windows", F.bround("score", 4).alias("score"), F.bround("z", 3).alias("z"), outliers.band_of(F.col("z")).alias("weight"))
+
+
+@query
+def outlier_verdicts(spark, d):
+    """Verdicts with the standing of each sentence as evidence."""
+    docs = seeded(spark, d)
+    extra = outliers.outlier_signals(segmented(docs, "sentence", context=False), outliers.word_length_statistics(docs), "binoculars")
+    return plan.verdicts(docs, "sentence", extra=extra).select("doc_id", "n_signals", "lean", "strength", "label")
+
+
+@query
+def model_chunks(spark, d):
+    """Passes of a model with a window of 512 over each text's words."""
+    n = _docs(spark, d).select("doc_id", whitespace_words(F.col("text")).alias("n"))
+    return n.select("doc_id", F.explode(outliers.chunks(F.col("n"))).alias("c")).select("doc_id", "c.start", "c.end", "c.first")
+
+
+@query
+def edit_invalidation(spark, d):
+    """Findings after three edits of each document."""
+    segs = plan.detected(seeded(spark, d))
+    one = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("seq", "start", "end", "inserted"), e))) for e in EDITS))
+    changes = _docs(spark, d).select("doc_id", F.explode(one).alias("e")).select("doc_id", "e.*")
+    _, sigs = edits.invalidated(segs.select("doc_id", "seg_idx", "start", "end"), plan.signals(segs).where("start is not null"), changes)
+    return sigs.select("doc_id", "seg_idx", "nth", "name", "start", "end", "unverified")
+
+
+@query
+def markdown_reports(spark, d):
+    return report.to_markdown(plan.reports(seeded(spark, d)))
+
+
+@query
+def html_reports(spark, d):
+    return report.to_html(plan.reports(seeded(spark, d)))
+
+
+@query
+def json_reports(spark, d):
+    return report.to_json(plan.reports(seeded(spark, d)))
+
+
+@query
+def reader_reports(spark, d):
+    """Markdown of each document's readers beside the baseline of all."""
+    docs, own = seeded(spark, d), _judgments(spark, d)
+    readings = readers.consensus(docs, own, 2)
+    return report.readers_section(readers.compared(readings, readers.pooled(readings)), readers.reader_counts(docs, own), True)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracles import oracle_sql as all_
+
+    return all_()
 
-def oracle_sql() -> dict:
-    return {}
