@@ -142,5 +142,6 @@ def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4,
     nodes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("least")), "nodes")
     found = components(links(nodes.select("fp"), distance, groups))
     stay = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    stay = stay.select(F.col("least.doc_id").alias("id"), F.col("least.h").alias("h"))
-    return marked.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col(whole) == F.col("h")), "left_semi").dropDuplicates(["doc_id", whole]).drop(whole)
+    own, own_hash = unused("kept_id", marked.columns), unused("kept_hash", marked.columns)
+    stay = stay.select(F.col("least.doc_id").alias(own), F.col("least.h").alias(own_hash))
+    return marked.join(stay, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(whole) == F.col(own_hash)), "left_semi").dropDuplicates(["doc_id", whole]).drop(whole)
