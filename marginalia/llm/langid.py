@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_row, hash_sample, unused, with_text_verdict
+from .shared import by_row, hash_sample_by, unused, with_text_verdict
 
 #: Cells that byte n-grams of one to three bytes are hashed to.
 CELLS = 1 << 12
@@ -93,20 +93,17 @@ def _snippets(text: str) -> list[str]:
 def fit(docs: DataFrame, train_rows: int = 2400, rounds: int = 150) -> Coder:
     """A ``Coder`` learned from (doc_id, text, lang) rows with text and lang.
 
-    At most about ``train_rows`` rows for each language are learned from, a
-    sample by a hash of the doc_id; profiles are made in Spark's tasks and the
-    driver holds so many rows of ``CELLS`` small numbers. Languages may be up
-    to a few hundred.
+    About ``train_rows`` rows in equal parts, but 200 for each language at
+    least, are learned from, a sample by a hash of the doc_id taken in one
+    pass; profiles are made in Spark's tasks and the driver holds three times
+    so many rows of ``CELLS`` small numbers. Languages may be up to a few hundred.
     """
     rows = docs.where("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Coder([], codewords(0), np.zeros((CELLS, 1), np.float32), np.zeros(1), np.ones(1))
-    some = None
-    for lang, n in sizes.items():
-        part = hash_sample(rows.where(F.col("lang") == lang), F.col("doc_id"), n, max(200, train_rows // len(languages)))
-        some = part if some is None else some.unionByName(part)
+    some = hash_sample_by(rows, F.col("doc_id"), "lang", sizes, max(200, train_rows // len(languages)))
 
     def profiles(x: dict) -> dict:
         kept = [(lang, profile(piece)) for text, lang in zip(x["text"], x["lang"]) if LETTER.search(text) for piece in _snippets(text)]

@@ -70,6 +70,13 @@ def hash_sample(df: DataFrame, key: Column, rows: int, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(SAMPLE_STEPS)) < step)
 
 
+def hash_sample_by(df: DataFrame, key: Column, by: str, sizes: dict[str, int], bound: int) -> DataFrame:
+    """About ``bound`` rows of each value of ``by``, chosen like those of ``hash_sample`` in one pass; ``sizes`` has the rows of each value."""
+    steps = {v: SAMPLE_STEPS if n <= bound else max(1, int(SAMPLE_STEPS * bound / n)) for v, n in sizes.items()}
+    own = F.element_at(F.create_map(*(F.lit(x) for kv in steps.items() for x in kv)), F.col(by))
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(SAMPLE_STEPS)) < own)
+
+
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` when divided by ``folds``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
