@@ -79,7 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12000, rivals: int
     """
     known = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct()
     some = hash_sample(known, F.col("doc_id"), known.count(), train_rows)
-    rows = docs.select("doc_id", "text").join(some, "doc_id")
+    # the sample's bound makes it small, so that no text is shuffled
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     got = by_row(rows, ["text", "quality"], "quality int, x array<double>", lambda b: {"quality": b["quality"], "x": [features(t).tolist() for t in b["text"]]}).collect()
     got.sort(key=lambda r: (r[0], r[1]))
     y, n = np.array([r[0] for r in got], int), len(FEATURES)
