@@ -240,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "rule_accounting": f"{inside}, {human}, {acc}, x AS (SELECT detector, name, direction, max(weight) AS w2, count(*) FILTER (direction = 'machine' AND inside) AS true_positive, count(*) FILTER (direction = 'machine' AND NOT inside) AS false_on_mixed FROM inn GROUP BY ALL) SELECT detector, name, direction, greatest(w1, w2) AS weight, coalesce(human_docs, 0) AS human_docs, coalesce(human_hits, 0) AS human_hits, coalesce(true_positive, 0) AS true_positive, coalesce(false_on_mixed, 0) AS false_on_mixed, direction = 'machine' AND coalesce(true_positive, 0) = 0 AND coalesce(human_docs, 0) >= 5 AS negative_value FROM h FULL JOIN x USING (detector, name, direction)",
         "detector_accounting": f"WITH {human}, {acc} SELECT detector, sum(human_docs)::BIGINT AS human_docs FROM h GROUP BY detector",
         "reference_sweep": f"{sig}, {sweep_ctes} SELECT reference, lang AS band, count(*) AS documents, count(*) FILTER (label = 'leans-machine') AS accused FROM ({sweep}) GROUP BY ALL",
-        "robust_outlier": f"{ps}, {tokens} SELECT doc_id, seg_idx, n_tokens::INT AS n_tokens, n_windows::INT AS n_windows, round_even(score, 4)::DOUBLE AS score, round_even(z, 3)::DOUBLE AS z, CASE WHEN abs(z) >= 2.5 THEN 0.45 WHEN abs(z) >= 1.5 THEN 0.3 END::DOUBLE AS weight FROM std_",
+        "robust_outlier": f"{ps}, {tokens} SELECT doc_id, seg_idx, n_tokens::INT AS n_tokens, n_windows::INT AS n_windows, round_even(score, 4)::DOUBLE AS score, CASE WHEN round_even(z, 3) = 0 THEN 0.0 ELSE round_even(z, 3) END::DOUBLE AS z, CASE WHEN abs(z) >= 2.5 THEN 0.45 WHEN abs(z) >= 1.5 THEN 0.3 END::DOUBLE AS weight FROM std_",
         "outlier_verdicts": f"{ps}, {_signals('sents')}, {tokens}, both_ AS (SELECT doc_id, seg_idx, direction, weight FROM sig_sents UNION ALL SELECT doc_id, seg_idx, CASE WHEN z > 0 THEN 'machine' ELSE 'human' END, CASE WHEN abs(z) >= 2.5 THEN 0.45 ELSE 0.3 END FROM std_ WHERE abs(z) >= 1.5), {_scored('sents', 'both_')}, {_rolled('scored')} SELECT doc_id, n_signals::BIGINT AS n_signals, lean, strength, label FROM rolled",
         "model_chunks": "WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents), c AS (SELECT doc_id, n, unnest(generate_series(0, greatest(1, ceil((n - 512) / 256.0)::INT + 1) - 1)) AS i FROM t) SELECT doc_id, (i * 256)::INT AS start, least(i * 256 + 512, n)::INT AS \"end\", CASE WHEN i = 0 THEN 1 ELSE least((i - 1) * 256 + 512, n) END::INT AS first FROM c",
         "edit_invalidation": f"""{sig}, es AS (SELECT doc_id, seg_idx, start::INT AS s, (start + length(quote))::INT AS e, false AS bad FROM paras), {_mapped(EDITS, 'es')}, xs AS (SELECT doc_id, seg_idx, nth, name, s, e, false AS bad FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x)) WHERE s IS NOT NULL), {_mapped(EDITS, 'xs')}
