@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -13,15 +14,20 @@ from .shared import by_row, hash_sample, words
 
 #: Cells that terms are hashed to.
 CELLS = 1 << 19
-#: Terms: whole words, and how words of six bytes or more begin.
-HEADS = (4, 5)
+#: Terms: whole words, and how longer words begin, in bytes.
+HEADS = (4, 5, 6, 7)
 
 
 def cells(text: str | None) -> np.ndarray:
-    """The sorted distinct cells of a whole text's terms; none for null."""
+    """The sorted distinct cells of a whole text's terms; none for null.
+
+    A beginning that two words or more share is one more term: one such word
+    may be chance where several are a manner of speaking.
+    """
     own = set(words((text or "").lower()))
-    heads = {bytes((n,)) + w[:n] for w in own if len(w) > 5 for n in HEADS}
-    return np.unique(np.fromiter(map(crc32, own | heads), np.int64, len(own | heads)) & (CELLS - 1))
+    heads = Counter(w[:n] for n in HEADS for w in own if len(w) > n)
+    terms = own.union((b"\1" + h for h in heads), (b"\2" + h for h, n in heads.items() if n > 1))
+    return np.unique(np.fromiter(map(crc32, terms), np.int64, len(terms)) & (CELLS - 1))
 
 
 @dataclass
@@ -51,13 +57,14 @@ class Factors:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20000, used: int = 4096, rank: int = 4, rounds: int = 30) -> Factors:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20000, used: int = 4096, rank: int = 4, steps: int = 1600) -> Factors:
     """A model of (doc_id, text) rows whose doc_id has ``toxic`` 0 or 1 in ``labels``.
 
     At most about ``train_rows`` labelled rows are learned from, a sample by a
     hash of the doc_id; tasks turn their texts to cells. The ``used`` cells
     whose shares in the two classes differ most, for their number of rows, get
-    a weight and ``rank`` factors, by AdaGrad on the logistic loss. The factors
+    a weight and ``rank`` factors, by about ``steps`` steps of AdaGrad on the
+    logistic loss, and ten rounds at least. The factors
     weigh pairs of terms that neither weighs alone. One label only gives its share to all.
     """
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
@@ -66,12 +73,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20000, used: int =
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     got = by_row(rows, ["text", "toxic"], "toxic int, cells binary", lambda b: {"toxic": b["toxic"], "cells": [cells(t).astype(np.uint32).tobytes() for t in b["text"]]}).collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
-    y = np.array([r[0] for r in got], float)
+    return learned(np.array([r[0] for r in got], float), [np.frombuffer(bytes(r[1]), np.uint32) for r in got], used, rank, steps)
+
+
+def learned(y: np.ndarray, each: list[np.ndarray], used: int, rank: int, steps: int) -> Factors:
+    """The model of documents with labels ``y`` and cells ``each``."""
     base = float(np.clip(y.mean() if len(y) else 0.0, 0.001, 0.999))
     place, bias = np.zeros(CELLS, np.int32), float(np.log(base / (1 - base)))
     if not len(y) or y.min() == y.max():
         return Factors(place, bias, np.zeros(1), np.zeros((1, rank)))
-    each = [np.frombuffer(bytes(r[1]), np.uint32) for r in got]
     flat, at = np.concatenate(each).astype(np.int64), np.repeat(np.arange(len(each)), [len(e) for e in each])
     n, k = np.bincount(flat, minlength=CELLS), np.bincount(flat, weights=y[at], minlength=CELLS)
     apart = np.abs(k - n * base) / np.sqrt(n * base * (1 - base) + 1)
@@ -86,9 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20000, used: int =
     model.factors[-1] = 0
     q, qv, qb = np.full(len(best) + 1, 1e-2), np.full((len(best) + 1, rank), 1e-2), 1e-2
     first = np.searchsorted(at, np.arange(len(each) + 1))
-    for _ in range(rounds):
+    parts = max(1, len(each) // 256)
+    for _ in range(max(10, -(-steps // parts))):
         order = rng.permutation(len(each))
-        for part in np.array_split(order, max(1, len(order) // 256)):
+        for part in np.array_split(order, parts):
             spans = [np.arange(first[d], first[d + 1]) for d in part]
             own = np.concatenate(spans)
             r, doc = flat[own], np.repeat(np.arange(len(part)), [len(s) for s in spans])
