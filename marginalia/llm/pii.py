@@ -104,6 +104,8 @@ CUES = {"email": "email", "e-mail": "email", "mail": "email", "ip": "ip", "host"
 SEEDS = re.compile(r"(?:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{8,})|(?P<key>\bAKIA[0-9A-Z]{16}\b)|(?P<pem>\b(?:ghp_|sk-|xox[bap]-)[A-Za-z0-9-]{16,})")
 #: Units in the longest span, and kinds with "none" first.
 LONGEST, STATES = 4, ("none", *KINDS)
+#: Code points of a window that is learned from, at most.
+LONGEST_WINDOW = 2000
 EDGE = ".,;:!?\"'<>[]{}"
 
 
@@ -274,12 +276,14 @@ def _labels(text: str, units: list[tuple[int, int]], spans: list[Span]) -> list[
     return out
 
 
-def fit(docs: DataFrame, train_windows: int = 1200, sample_rows: int = 6000, rounds: int = 6) -> SemiMarkov:
+def fit(docs: DataFrame, train_windows: int = 1200, sample_rows: int = 6000, text_windows: int = 64, rounds: int = 6) -> SemiMarkov:
     """A model learned from windows of about ``sample_rows`` rows of (doc_id, text), chosen by a hash of the doc_id.
 
     Spans of the exact patterns, and secrets that name themselves, are the
-    examples; all other units of the windows are what is none. At most
-    ``train_windows`` windows, in the order of a hash, reach the driver. The
+    examples; all other units of the windows are what is none. A text gives
+    ``text_windows`` windows at most, evenly spread over all of it, and none of
+    over ``LONGEST_WINDOW`` code points; at most ``train_windows``, in the
+    order of a hash, reach the driver. The
     likelihood of whole segmentations is climbed by stochastic gradients.
     """
     def cut(x: dict) -> dict:
@@ -288,10 +292,13 @@ def fit(docs: DataFrame, train_windows: int = 1200, sample_rows: int = 6000, rou
             if not text:
                 continue
             spans = _silver(text)
-            for units in windows(text)[:64]:
+            own = windows(text)
+            for units in own[:: max(1, -(-len(own) // text_windows))]:
                 a, b = units[0][0], units[-1][1]
+                if b - a > LONGEST_WINDOW:
+                    continue
                 inside = [f"{k}:{max(0, s - a)}:{min(b, e) - a}" for k, s, e in spans if s < b and e > a]
-                kept.append((text[a:b][:2000], ",".join(inside)))
+                kept.append((text[a:b], ",".join(inside)))
         return {"text": [k[0] for k in kept], "spans": [k[1] for k in kept]}
 
     some = hash_sample(docs.select("doc_id", "text"), F.col("doc_id"), docs.count(), sample_rows)
