@@ -97,19 +97,8 @@ def schedule(aims: DataFrame, block_words: int) -> DataFrame:
     return ranked.select("slot", "src", "rank", edge(F.col("rank")).alias("first"), edge(F.col("rank") + 1).alias("last"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source): ``keep`` and size, source_size, target, taken.
-
-    A source's rows lie on a line in the order of an md5 of seed and doc_id;
-    running sums by ranges of that hash, then within a range, give each its
-    words on the line, at the same cost for a source of any size. The line is
-    gone along at most ``most`` (up to 2) times. Each slot of the schedule
-    takes a block of its source's line; a row's ``taken`` are the words of its
-    own that slots took, never more than twice its size. DataFrame operations only; the same
-    rows give the same result. Null texts have size 0, null sources are one
-    source, an empty table gives no rows. Columns of ``docs`` not in ``keep``
-    are not looked at; ``keep`` may not name one of the four.
-    """
+def _taken(docs: DataFrame, weights: Sequence[float], share: float, most: float, block_words: int, seed: str, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows on their lines, by (src, range, nth); the pieces of them that slots take; and the names that ``keep`` has in the rows."""
     kept = [unused(f"kept_{i}", keep) for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, kept)), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("src", _key(F.col("source"))).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
@@ -124,10 +113,53 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     placed = written(placed.join(aims, "src").select("src", "range", "nth", *kept, "size", "source_size", "target", "start"), "placed")
     plan = schedule(aims, block_words)
     blocks = plan.groupBy("src").agg(F.count("*").alias("slots"))
-    turns = placed.where("size > 0").select("src", "range", "nth", "size", "target", F.explode(F.array(F.col("start"), F.col("start") + F.col("source_size"))).alias("start")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.floor("target"))).where("stop > start")
+    starts = F.array(F.col("start"), F.col("start") + F.col("source_size"))
+    turns = placed.where("size > 0").select("src", "range", "nth", "size", "target", F.posexplode(starts).alias("turn", "start")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.floor("target"))).where("stop > start")
     # the first and last rank that a turn may touch, one more on each side for the rounding of edges
     rank = lambda x: F.floor(x * F.col("slots") / F.col("target"))
-    touched = turns.join(blocks, "src").select("src", "range", "nth", "start", "stop", F.explode(F.sequence(F.greatest(F.lit(0), rank(F.col("start")) - 1), F.least(F.col("slots") - 1, rank(F.col("stop")) + 1))).alias("rank"))
-    took = touched.join(plan, ["src", "rank"]).select("src", "range", "nth", (F.least("stop", "last") - F.greatest("start", "first")).alias("words")).where("words > 0").groupBy("src", "range", "nth").agg(F.sum("words").alias("taken"))
-    out = placed.join(took, ["src", "range", "nth"], "left")
+    touched = turns.join(blocks, "src").select("src", "range", "nth", "turn", "start", "stop", F.explode(F.sequence(F.greatest(F.lit(0), rank(F.col("start")) - 1), F.least(F.col("slots") - 1, rank(F.col("stop")) + 1))).alias("rank"))
+    took = touched.join(plan, ["src", "rank"]).withColumn("place", F.greatest("start", "first")).withColumn("end", F.least("stop", "last")).where("end > place")
+    return placed, took.select("src", "range", "nth", "slot", "place", "turn", (F.col("place") - F.col("start")).alias("first"), (F.col("end") - F.col("start")).alias("last")), kept
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text, source): ``keep`` and size, source_size, target, taken.
+
+    A source's rows lie on a line in the order of an md5 of seed and doc_id;
+    running sums by ranges of that hash, then within a range, give each its
+    words on the line, at the same cost for a source of any size. The line is
+    gone along at most ``most`` (up to 2) times. Each slot of the schedule
+    takes a block of its source's line; a row's ``taken`` are the words of its
+    own that slots took (``pieces`` lists them), never more than twice its size. DataFrame operations only; the same
+    rows give the same result. Null texts have size 0, null sources are one
+    source, an empty table gives no rows. Columns of ``docs`` not in ``keep``
+    are not looked at; ``keep`` may not name one of the four.
+    """
+    placed, took, kept = _taken(docs, weights, share, most, block_words, seed, keep)
+    out = placed.join(took.groupBy("src", "range", "nth").agg(F.sum(F.col("last") - F.col("first")).alias("taken")), ["src", "range", "nth"], "left")
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept)), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def pieces(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The rows of ``mix``, which takes the same arguments, with ``pieces`` behind: (slot, place, turn, first, last) of all that slots take of a row.
+
+    The order of the mix is that of (slot, place), place being where a piece
+    begins on its source's line of two turns. A piece is the row's words from
+    ``first`` up to ``last``, exclusive, in the first (0) or second (1) turn.
+    ``taken`` is the sum of the pieces; a row that no slot takes has none.
+    """
+    placed, took, kept = _taken(docs, weights, share, most, block_words, seed, keep)
+    one = F.struct(*(F.col(c).cast("long").alias(c) for c in ("slot", "place", "turn", "first", "last")))
+    took = took.select("src", "range", "nth", one.alias("p")).groupBy("src", "range", "nth").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    out = placed.join(took, ["src", "range", "nth"], "left").withColumn("pieces", F.coalesce("pieces", F.array().cast(took.schema["pieces"].dataType)))
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["last"] - p["first"])
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept)), "size", "source_size", "target", taken.alias("taken"), "pieces")
+
+
+def with_texts(text: Column, size: Column, pieces: Column) -> Column:
+    """``pieces`` with the text of each: its words, the white space behind each, and that before the text's first word."""
+    words = F.regexp_extract_all(text, F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = lambda w, p: F.when((p["first"] == 0) & (p["last"] == size), text).otherwise(F.array_join(F.slice(w, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")), ""))
+    # an array of one, so that a text is cut into words once for all of its pieces
+    once = F.array(F.when(F.exists(pieces, lambda p: (p["first"] > 0) | (p["last"] < size)), words))
+    return F.transform(once, lambda w: F.transform(pieces, lambda p: F.struct(*(p[c].alias(c) for c in ("slot", "place", "turn", "first", "last")), part(w, p).alias("text"))))[0]

@@ -191,6 +191,35 @@ def test_mix_by_brute_force(spark, block):
     assert got == _mixed(rows)
 
 
+@pytest.mark.parametrize("block", [8, 8192])
+def test_pieces_of_the_mix(spark, block):
+    rng = random.Random(block)
+    rows = [(k, " " * (k % 3) + "\n ".join(f"{k}w{i}" for i in range(rng.randint(0, 50))) + " " * (k % 2), rng.choice(["a", "a", "a", "b", "ü", "", None])) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.pieces(d, block_words=block, keep=("doc_id", "text", "source"))
+    out = out.select("*", F.explode(mixing.with_texts(F.col("text"), F.col("size"), F.col("pieces"))).alias("p"))
+    out = out.select("doc_id", "text", "source", "size", "target", "taken", "p.slot", "p.place", "p.turn", "p.first", "p.last", F.col("p.text").alias("piece"))
+    got = sorted(out.collect(), key=lambda r: (r["slot"], r["place"]))
+    own, lines = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert r["piece"].split() == r["text"].split()[r["first"] : r["last"]]
+        own[r["doc_id"], r["turn"]].append(r)
+        lines[r["source"]].append(r)
+    assert {(i, n) for i, _, _, _, n in _mixed(rows) if n} == {(r["doc_id"], r["taken"]) for r in got}
+    for i, _, _, _, n in _mixed(rows):
+        assert sum(r["last"] - r["first"] for t in (0, 1) for r in own[i, t]) == n
+    for p in own.values():
+        whole = p and p[-1]["last"] == p[0]["size"]
+        assert not whole or "".join(r["piece"] for r in p) == p[0]["text"]
+    # slots go along each source's line without gaps, up to its target, so the rows' words are the target's
+    for p in lines.values():
+        assert p[0]["place"] == 0 and all(x["place"] + x["last"] - x["first"] == y["place"] for x, y in zip(p, p[1:]))
+        assert p[-1]["place"] + p[-1]["last"] - p[-1]["first"] == math.floor(p[0]["target"] + 1e-9)
+    # and the sources alternate instead of standing one behind the other
+    names = [r["source"] for r in got]
+    assert block > 8 or sum(x != y for x, y in zip(names, names[1:])) > len(lines) * 5
+
+
 def test_schedule_is_low_in_discrepancy(spark):
     aims = spark.createDataFrame([("sa", 60_000, 90_000.0), ("sb", 30_000, 30_000.0), ("sc", 10, 3.0)], "src string, source_size long, target double")
     rows = sorted(mixing.schedule(aims, 16).collect(), key=lambda r: r["slot"])
