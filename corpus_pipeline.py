@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, langid, mixing, pii, simhash
 from marginalia.llm.shared import shared_folder
@@ -34,8 +35,20 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with its figures behind their own columns."""
-    return mixing.mix(docs, keep=COLUMNS).where("taken > 0 or size = 0")
+    """The documents that the mix takes words of, with its figures and the texts of all pieces that it takes behind their own columns."""
+    mixed = mixing.pieces(docs, keep=COLUMNS).where("taken > 0 or size = 0")
+    return mixed.withColumn("pieces", mixing.with_texts(F.col("text"), F.col("size"), F.col("pieces")))
+
+
+def in_pieces(mixed: DataFrame) -> DataFrame:
+    """A row for each piece of the mix, its text as ``text``, so that the rows' words follow the targets; (slot, place) is the order.
+
+    A document without words has one row, without a slot.
+    """
+    rows = mixed.select(*mixed.columns[:-1], F.explode_outer("pieces").alias("p")).select(*mixed.columns[:-1], "p.slot", "p.place", "p.turn", "p.first", "p.last", F.col("p.text").alias("piece"))
+    text = F.when(F.col("slot").isNull(), F.col("text")).otherwise(F.col("piece"))
+    n_chars = F.when(F.col("slot").isNull(), F.col("n_chars")).otherwise(F.length("piece")).cast(mixed.schema["n_chars"].dataType)
+    return rows.withColumn("text", text).withColumn("n_chars", n_chars).drop("piece")
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark_passages), ("PII", personal_data), ("mixing sources", mixture)]
@@ -44,10 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; the result is the mix, piece by piece."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    return in_pieces(docs)

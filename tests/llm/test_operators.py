@@ -355,6 +355,17 @@ def test_pipeline_by_brute_force(spark):
     assert got == want
 
 
+def test_rows_of_the_mix_follow_the_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = corpus_pipeline.in_pieces(corpus_pipeline.mixture(spark, docs, SF)).where("slot is not null").select("source", "target", F.length("text").alias("n"), "n_chars", mixing.word_count(F.col("text")).alias("words")).collect()
+    words, target = Counter(), {}
+    for r in rows:
+        words[r["source"]] += r["words"]
+        target[r["source"]] = math.floor(r["target"] + 1e-9)
+        assert r["n"] == r["n_chars"]
+    assert words == target
+
+
 def test_queries_have_a_row_for_each_row(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op6_rules", "op7_mix", "op8_private"):
