@@ -75,13 +75,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12000, rivals: int
     hash of the doc_id; their features are made in Spark's tasks, and only
     those come to the driver. Each row of label 0 meets ``rivals`` of label 1;
     the logistic loss of the difference of the two is brought down by gradient
-    steps. A table with only one label gives all documents that label's share.
+    steps. A table with only one label gives all documents that label's share,
+    one without labels a half to all.
+
+    Null and empty texts have the features of an empty text. A doc_id that
+    stands twice in ``docs`` is learned from once, one with both labels once
+    for each; null doc_ids and other labels not at all.
     """
-    known = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct()
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     some = hash_sample(known, F.col("doc_id"), known.count(), train_rows)
     # the sample's bound makes it small, so that no text is shuffled
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    got = by_row(rows, ["text", "quality"], "quality int, x array<double>", lambda b: {"quality": b["quality"], "x": [features(t).tolist() for t in b["text"]]}).collect()
+    kind = dict(docs.dtypes)["doc_id"]
+    every = by_row(rows, ["doc_id", "text", "quality"], f"doc_id {kind}, quality int, x array<double>", lambda b: {"doc_id": b["doc_id"], "quality": b["quality"], "x": [features(t).tolist() for t in b["text"]]})
+    got = every.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("quality", "x").collect()
     got.sort(key=lambda r: (r[0], r[1]))
     y, n = np.array([r[0] for r in got], int), len(FEATURES)
     x = np.array([r[1] for r in got], float).reshape(len(got), n)
