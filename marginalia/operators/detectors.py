@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, hits, json_value, let, matches, placed_hits, plain_words
 from ..schema import SIGNAL, SIGNALS
-from . import rules as catalogue_rules
 from .rules import METRICS, RULES, Rule, tell_matches
 
 #: A segment's text and start to an array of signals.
@@ -22,6 +21,21 @@ OPENERS = ("however", "moreover", "furthermore", "additionally", "that said", "a
 ARTIFACTS = "[\u00a0\u202f\u2192\u2713\u2705\u274c]"
 
 
+# Names, directions, weights and patterns of the traces, and the last signs that close a sentence.
+TRACES = (("em-dash", "machine", 0.12, "—"), ("trailing-whitespace", "human", 0.25, r"(?md)[ \t]+$"), ("mid-sentence-newline", "human", 0.45, r"[a-z,;]\n[a-z]"), ("unicode-artifact", "machine", 0.15, ARTIFACTS))
+MIXED_APOSTROPHES, NO_TERMINAL = ("mixed-apostrophes", "human", 0.35), ("no-terminal-punctuation", "human", 0.30)
+CLOSERS, LEAST_WORDS = ".!?:;)]\"'’”", 4
+# Names, weights and patterns of the sentence shapes, and the weight of an opener.
+SHAPES = (
+    ("not-x-but-y", 0.30, r"(?idU)\bnot (?:just|merely|simply) [^,.;:]{2,45},? but\b"),
+    ("colon-tricolon", 0.45, r"(?dU):\s*[^,.:;]{4,90},\s*[^,.:;]{4,90},\s*and\s+[^.]{4,90}[.!?]"),
+    ("concede-pivot", 0.35, r"(?idU)\bi (?:do |really do |genuinely )?(?:value|appreciate|respect|understand)\b[^.]{0,80}\.\s*(?:at the same time|that said|however|but)\b"),
+)
+OPENER = ("discourse-opener", 0.20)
+# Names, directions and the weight of the two kinds of rhythm.
+FLAT, LIVELY, RHYTHM_WEIGHT = ("low-burstiness", "machine"), ("high-burstiness", "human"), 0.25
+
+
 def _signal(name: str | Column, direction: str | Column, weight: float | Column, detector: str, note: str | Column, seg: Column, value: Column | None = None, m: Column | None = None, start: Column | None = None, end: Column | None = None, matched: Column | None = None, longer: Column | None = None, order: Column | None = None) -> Column:
     """One signal; with a match ``m`` (or start and end) in the segment it has a place, else the segment's start orders it."""
     text = lambda x: F.lit(x) if isinstance(x, (str, float)) else x
@@ -71,20 +85,17 @@ def forensic(text: Column, start: Column) -> Column:
     odd = F.lit(False)
     for c in ARTIFACTS[1:-1]:
         odd = odd | has(c)
-    found = placed_hits(hits(text, [(0, "—", has("—")), (1, r"(?md)[ \t]+$", blank_end), (2, r"[a-z,;]\n[a-z]", has("\n") & prose), (3, ARTIFACTS, odd)]))
-    facts = F.expr(
-        "array(named_struct('n', 'em-dash', 'd', 'machine', 'w', 0.12D, 'note', 'a long dash, which models use freely'),"
-        " named_struct('n', 'trailing-whitespace', 'd', 'human', 'w', 0.25D, 'note', 'blanks at the end of a line, as typing leaves them'),"
-        " named_struct('n', 'mid-sentence-newline', 'd', 'human', 'w', 0.45D, 'note', 'the line breaks inside a sentence, as pasted text does'),"
-        " named_struct('n', 'unicode-artifact', 'd', 'machine', 'w', 0.15D, 'note', 'a character that is seldom typed'))"
-    )
+    tests = (has("—"), blank_end, has("\n") & prose, odd)
+    found = placed_hits(hits(text, [(k, trace[3], test) for k, (trace, test) in enumerate(zip(TRACES, tests))]))
+    notes = ("a long dash, which models use freely", "blanks at the end of a line, as typing leaves them", "the line breaks inside a sentence, as pasted text does", "a character that is seldom typed")
+    facts = F.expr("array(" + ", ".join(f"named_struct('n', '{n}', 'd', '{d}', 'w', {w!r}D, 'note', '{note}')" for (n, d, w, _), note in zip(TRACES, notes)) + ")")
     code = lambda m: F.format_string("U+%04X", F.ascii(m["matched"]))
     value = lambda m: F.when(m["ord"] == 0, json_value(m["matched"])).when(m["ord"] == 3, json_value(code(m))).otherwise("true")
     placed = _each(found, lambda m: let(F.element_at(facts, m["ord"] + 1), lambda f: _signal(f["n"], f["d"], f["w"], "forensic", f["note"], start, value(m), m)))
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    mixed = _if(has("'") & has("’"), _signal("mixed-apostrophes", "human", 0.35, "forensic", F.format_string("%s straight apostrophes beside %s curly ones, as in text put together by hand", count("'"), count("’")), start, F.format_string("[%s,%s]", count("'"), count("’"))))
+    mixed = _if(has("'") & has("’"), _signal(*MIXED_APOSTROPHES, "forensic", F.format_string("%s straight apostrophes beside %s curly ones, as in text put together by hand", count("'"), count("’")), start, F.format_string("[%s,%s]", count("'"), count("’"))))
     last = F.substring(F.rtrim(text, F.lit(BLANK)), -1, 1)
-    unclosed = _if(~last.isin(*".!?:;)]\"'’”") & prose & (plain_words(text) >= 4), _signal("no-terminal-punctuation", "human", 0.30, "forensic", "stops without a closing sign, where a model would have put one", start, F.lit("true")))
+    unclosed = _if(~last.isin(*CLOSERS) & prose & (plain_words(text) >= LEAST_WORDS), _signal(*NO_TERMINAL, "forensic", "stops without a closing sign, where a model would have put one", start, F.lit("true")))
     return F.concat(placed, mixed, unclosed).cast(SIGNALS)
 
 
@@ -92,21 +103,13 @@ def rhetoric(text: Column, start: Column) -> Column:
     """Sentence shapes that hold up when a model avoids its pet words."""
     low = F.lower(text)
     grants = low.contains("value") | low.contains("appreciate") | low.contains("respect") | low.contains("understand") | text.rlike("[ſKİı]")
-    found = placed_hits(
-        hits(
-            text,
-            [
-                (0, r"(?idU)\bnot (?:just|merely|simply) [^,.;:]{2,45},? but\b", low.contains(" but")),
-                (1, r"(?dU):\s*[^,.:;]{4,90},\s*[^,.:;]{4,90},\s*and\s+[^.]{4,90}[.!?]", text.contains(":")),
-                (2, r"(?idU)\bi (?:do |really do |genuinely )?(?:value|appreciate|respect|understand)\b[^.]{0,80}\.\s*(?:at the same time|that said|however|but)\b", grants),
-            ],
-        )
-    )
-    facts = F.expr("array(named_struct('n', 'not-x-but-y', 'w', 0.30D, 'note', 'sets one thing aside to raise another'), named_struct('n', 'colon-tricolon', 'w', 0.45D, 'note', 'a colon and then three matching parts'), named_struct('n', 'concede-pivot', 'w', 0.35D, 'note', 'grants a point and turns at once'))")
+    found = placed_hits(hits(text, [(k, shape[2], test) for k, (shape, test) in enumerate(zip(SHAPES, (low.contains(" but"), text.contains(":"), grants)))]))
+    notes = ("sets one thing aside to raise another", "a colon and then three matching parts", "grants a point and turns at once")
+    facts = F.expr("array(" + ", ".join(f"named_struct('n', '{n}', 'w', {w!r}D, 'note', '{note}')" for (n, w, _), note in zip(SHAPES, notes)) + ")")
     value = lambda m: json_value(F.when(m["ord"] == 0, F.btrim(m["matched"])).when(m["ord"] == 1, F.substring(m["matched"], 1, 70)).otherwise(F.substring(F.lower(m["matched"]), 1, 70)))
     shapes = _each(found, lambda m: let(F.element_at(facts, m["ord"] + 1), lambda f: _signal(f["n"], "machine", f["w"], "rhetoric", f["note"], start, value(m), m)))
     opener = F.coalesce(*(F.when(low.startswith(o), F.lit(o)) for o in OPENERS))
-    opens = let(opener, lambda o: _if(o.isNotNull(), _signal("discourse-opener", "machine", 0.20, "rhetoric", F.concat(F.lit("begins with the connective "), o), start, json_value(o), start=F.lit(0), end=F.length(o), matched=F.substring(text, F.lit(1), F.length(o)))))
+    opens = let(opener, lambda o: _if(o.isNotNull(), _signal(OPENER[0], "machine", OPENER[1], "rhetoric", F.concat(F.lit("begins with the connective "), o), start, json_value(o), start=F.lit(0), end=F.length(o), matched=F.substring(text, F.lit(1), F.length(o)))))
     return F.concat(shapes, opens).cast(SIGNALS)
 
 
@@ -118,15 +121,15 @@ def rhythm_cv(text: Column) -> Column:
     return let(lengths, lambda ns: F.struct(F.size(ns).alias("n"), F.when(F.size(ns) > 0, F.sqrt(F.size(ns) * total(ns, lambda n: n * n) - total(ns, lambda n: n) * total(ns, lambda n: n)) / total(ns, lambda n: n)).alias("cv")))
 
 
-def rhythm(text: Column, start: Column) -> Column:
-    """How much sentence lengths vary, where there are enough of them."""
-    low = METRICS["sentence_len_cv_min"]
+def rhythm(text: Column, start: Column, metrics: Mapping[str, float] = METRICS) -> Column:
+    """How much sentence lengths vary, where there are enough of them by a catalogue's metrics."""
+    low = metrics["sentence_len_cv_min"]
 
     def judged(r: Column) -> Column:
         shown = F.bround(r["cv"], 3)
-        own = lambda name, direction, note: _signal(name, direction, 0.25, "rhythm", F.format_string(note, shown), start, shown)
-        enough = r["n"] >= METRICS["min_sentences_for_rhythm"]
-        flat, lively = own("low-burstiness", "machine", "sentences of much the same length (spread %s of the mean)"), own("high-burstiness", "human", "sentences of uneven length (spread %s of the mean)")
+        own = lambda kind, note: _signal(*kind, RHYTHM_WEIGHT, "rhythm", F.format_string(note, shown), start, shown)
+        enough = r["n"] >= metrics["min_sentences_for_rhythm"]
+        flat, lively = own(FLAT, "sentences of much the same length (spread %s of the mean)"), own(LIVELY, "sentences of uneven length (spread %s of the mean)")
         return F.when(enough & (r["cv"] < low), F.array(flat)).when(enough & (r["cv"] > 2 * low), F.array(lively)).otherwise(F.array()).cast(SIGNALS)
 
     return let(rhythm_cv(text), judged)
@@ -176,5 +179,3 @@ def detectors(spark: SparkSession):
     """(name, about) of all detectors."""
     return spark.createDataFrame([(n, _ABOUT[n]) for n in (*DETECTORS, *BY_STATISTICS)], "name string, about string")
 
-
-catalogue = catalogue_rules.catalogue

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_words
 from ..schema import PER_WORDS
-from .segments import Segmenter, segmented, segmenter_of
+from .segments import SPANS, Segmenter, segmenter_of
 
 #: What a judgment weighs and is called when it doesn't say.
 WEIGHT, NAME, DETECTOR = 0.35, "judgment", "judge"
@@ -36,22 +36,44 @@ def anchored(docs: DataFrame, judgments: DataFrame) -> DataFrame:
 
 def judgment_signals(docs: DataFrame, judgments: DataFrame) -> DataFrame:
     """One reader's judgments as evidence to inject; quotes that are gone are left out, any direction stays."""
-    return anchored(docs, judgments).where(~F.col("dropped")).select("doc_id", "name", "direction", "weight", "detector", "value", "note", "start", "end")
+    return anchored(docs, judgments).where(F.col("direction").isNotNull() & ~F.col("dropped")).select("doc_id", "name", "direction", "weight", "detector", "value", "note", "start", "end")
+
+
+def judged_units(docs: DataFrame, judgments: DataFrame, segmenter: str | Segmenter = "sentence") -> DataFrame:
+    """Judgments with a place and the units that they overlap: one join of texts and judgments, each text cut into units in its own row.
+
+    (doc_id, n_units, n_words, reader, reader_at, direction, name, weight,
+    dropped, units), units being (unit, start, end, quote). A reader who flags
+    nothing has one row without a direction. ``reader_at`` is the reader's
+    place among the readers, null where judgments have none; then names decide.
+    """
+    spans = segmenter_of(segmenter)[0](F.col("text")).cast(SPANS)
+    numbered = F.transform(spans, lambda s, i: F.struct(i.cast("int").alias("unit"), s["start"].alias("start"), s["end"].alias("end"), s["quote"].alias("quote")))
+    texts = docs.select("doc_id", "text", numbered.alias("every"), whitespace_words(F.col("text")).cast("long").alias("n_words"))
+    place = F.col("reader_at").cast("int") if "reader_at" in judgments.columns else F.lit(None).cast("int")
+    own = judgments.select("doc_id", "reader", place.alias("reader_at"), "direction", F.col("quote").alias("said"), F.col("start").alias("a"), F.col("end").alias("b"), F.coalesce("name", F.lit(NAME)).alias("name"), F.coalesce("weight", F.lit(WEIGHT)).alias("weight"))
+    at = F.expr("locate(said, text)") - 1
+    start = F.when(F.col("said").isNull(), F.col("a")).when(at >= 0, at)
+    end = F.when(F.col("said").isNull(), F.col("b")).when(at >= 0, at + F.length("said"))
+    out = texts.join(own, "doc_id").withColumns({"x": start.cast("int"), "y": end.cast("int"), "dropped": F.col("said").isNotNull() & (at < 0)})
+    met = F.filter("every", lambda u: (u["start"] < F.col("y")) & (u["end"] > F.col("x")))
+    return out.select("doc_id", F.coalesce(F.size("every"), F.lit(0)).cast("long").alias("n_units"), "n_words", "reader", "reader_at", "direction", "name", "weight", "dropped", F.when(F.col("direction").isin("machine", "human") & ~F.col("dropped"), met).alias("units"))
+
+
+def _flags(judged: DataFrame) -> DataFrame:
+    return judged.select("doc_id", "reader", "reader_at", "direction", "name", "weight", F.explode("units").alias("u")).select("doc_id", "reader", "reader_at", "direction", "u.*", "name", "weight")
 
 
 def flags(docs: DataFrame, judgments: DataFrame, segmenter: str | Segmenter = "sentence") -> DataFrame:
-    """(doc_id, reader, direction, unit, start, end, quote, name, weight): each judgment by each unit that it overlaps."""
-    found = anchored(docs, judgments).where(F.col("direction").isin("machine", "human") & ~F.col("dropped")).select("doc_id", "reader", "direction", F.col("start").alias("a"), F.col("end").alias("b"), "name", "weight")
-    units = segmented(docs, segmenter, context=False).select("doc_id", F.col("seg_idx").alias("unit"), "start", "end", "quote")
-    return units.join(found, "doc_id").where((F.col("start") < F.col("b")) & (F.col("end") > F.col("a"))).drop("a", "b")
+    """(doc_id, reader, reader_at, direction, unit, start, end, quote, name, weight): each judgment by each unit that it overlaps."""
+    return _flags(judged_units(docs, judgments, segmenter))
 
 
 def reader_counts(docs: DataFrame, judgments: DataFrame, segmenter: str | Segmenter = "sentence") -> DataFrame:
-    """(doc_id, reader, machine, human, dropped): units a reader flags in each direction, and quotes not found."""
-    every = anchored(docs, judgments).groupBy("doc_id", "reader").agg(F.count_if(F.col("dropped") & F.col("direction").isin("machine", "human")).alias("dropped"))
-    units = flags(docs, judgments, segmenter).groupBy("doc_id", "reader").agg(*(F.count_distinct(F.when(F.col("direction") == d, F.col("unit"))).alias(d) for d in ("machine", "human")))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return every.join(units, ["doc_id", "reader"], "left").select("doc_id", "reader", zero("machine"), zero("human"), "dropped")
+    """(doc_id, reader, machine, human, dropped): units a reader flags in each direction, and quotes not found; readers who flag nothing have zeros."""
+    rows = judged_units(docs, judgments, segmenter).select("doc_id", "reader", "direction", "dropped", F.explode_outer("units.unit").alias("unit"))
+    units = (F.count_distinct(F.when(F.col("direction") == d, F.col("unit"))).alias(d) for d in ("machine", "human"))
+    return rows.groupBy("doc_id", "reader").agg(*units, F.count_if(F.col("dropped") & F.col("direction").isin("machine", "human")).alias("dropped"))
 
 
 def check_k(k: int, n_readers: int) -> None:
@@ -62,29 +84,36 @@ def check_k(k: int, n_readers: int) -> None:
         raise ValueError(f"k={k} needs at least {k} readers; got {n_readers}")
 
 
+def _agreed(judged: DataFrame, k: int) -> DataFrame:
+    one = F.min(F.struct("start", "end", "quote")).alias("u")
+    own = _flags(judged).groupBy("doc_id", "unit", "direction", "reader").agg(one, F.min("reader_at").alias("reader_at"), F.max("weight").alias("weight"), F.collect_set("name").alias("names"))
+    both = own.groupBy("doc_id", "unit", "direction").agg(F.min("u").alias("u"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("reader_at", "reader"))).alias("readers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("shapes"), F.sum(F.col("weight").cast("decimal(9,4)")).alias("total"))
+    return both.where(F.col("n") >= k).select("doc_id", "unit", "direction", "u.*", F.col("readers.reader").alias("readers"), "shapes", F.bround(F.col("total").cast("double") / F.col("n"), 2).alias("weight"), "n")
+
+
 def consensus_units(docs: DataFrame, judgments: DataFrame, k: int = 2, segmenter: str | Segmenter = "sentence") -> DataFrame:
     """(doc_id, unit, direction, start, end, quote, readers, shapes, weight, n): units that at least ``k`` readers flag.
 
     A reader counts once for a unit, with the strongest of its judgments; the
-    weight is the mean of those. Two sums by key, with sums in tasks before.
+    weight is the mean of those. Readers are in their own order where
+    judgments have ``reader_at``. Two sums by key, with sums in tasks before;
+    (doc_id, direction, start) is the order of a listing.
     """
     check_k(k, k)
-    own = flags(docs, judgments, segmenter).groupBy("doc_id", "unit", "direction", "start", "end", "quote", "reader").agg(F.max("weight").alias("weight"), F.collect_set("name").alias("names"))
-    both = own.groupBy("doc_id", "unit", "direction", "start", "end", "quote").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("reader")).alias("readers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("shapes"), F.sum(F.col("weight").cast("decimal(9,4)")).alias("total"))
-    return both.where(F.col("n") >= k).select("doc_id", "unit", "direction", "start", "end", "quote", "readers", "shapes", F.bround(F.col("total").cast("double") / F.col("n"), 2).alias("weight"), "n")
+    return _agreed(judged_units(docs, judgments, segmenter), k)
 
 
 def consensus(docs: DataFrame, judgments: DataFrame, k: int = 2, segmenter: str | Segmenter = "sentence") -> DataFrame:
     """(doc_id, k, n_readers, unit, n_units, n_words, machine, human, machine_per_1000, human_per_1000) for each document with judgments.
 
-    A document with fewer than ``k`` readers stops the job with an error.
+    Readers who flag nothing count among the readers. A document with fewer
+    than ``k`` readers stops the job with an error.
     """
     check_k(k, k)
-    readers = judgments.groupBy("doc_id").agg(F.count_distinct("reader").alias("n_readers"))
-    units = segmented(docs, segmenter, context=False).groupBy("doc_id").agg(F.count("*").alias("n_units"))
-    agreed = consensus_units(docs, judgments, k, segmenter).groupBy("doc_id").agg(*(F.count_if(F.col("direction") == d).alias(d) for d in ("machine", "human")))
-    words = docs.select("doc_id", whitespace_words(F.col("text")).cast("long").alias("n_words"))
-    out = words.join(readers, "doc_id").join(units, "doc_id", "left").join(agreed, "doc_id", "left").fillna(0, ["n_units", "machine", "human"])
+    judged = judged_units(docs, judgments, segmenter)
+    heads = judged.groupBy("doc_id").agg(F.max("n_units").alias("n_units"), F.max("n_words").alias("n_words"), F.count_distinct("reader").alias("n_readers"))
+    agreed = _agreed(judged, k).groupBy("doc_id").agg(*(F.count_if(F.col("direction") == d).alias(d) for d in ("machine", "human")))
+    out = heads.join(agreed, "doc_id", "left").fillna(0, ["machine", "human"])
     enough = F.when(F.col("n_readers") >= k, F.col("n_readers")).otherwise(F.raise_error(F.format_string(f"k={k} needs at least {k} readers; got %s", F.col("n_readers"))))
     return out.select("doc_id", F.lit(k).alias("k"), enough.cast("long").alias("n_readers"), F.lit(segmenter_of(segmenter)[1]).alias("unit"), "n_units", "n_words", "machine", "human", per_words(F.col("machine"), F.col("n_words")).alias("machine_per_1000"), per_words(F.col("human"), F.col("n_words")).alias("human_per_1000"))
 
@@ -110,10 +139,17 @@ def pooled(readings: DataFrame) -> DataFrame:
     return sums.select(k.cast("int").alias("k"), "unit", "n_readers", "n_texts", "n_words", *of, *rates)
 
 
+def beside(rows: DataFrame, one: DataFrame, prefix: str) -> DataFrame:
+    """``rows`` with the values of the only row of ``one`` behind, as constants; another number of rows is an error."""
+    found = one.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"one row is needed to compare with; got {'none' if not found else 'several'}")
+    return rows.select("*", *(F.lit(found[0][f.name]).cast(f.dataType).alias(prefix + f.name) for f in one.schema.fields))
+
+
 def compared(readings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Readings with the one row of ``pooled`` beside them, and ``caveats`` where the two are not alike."""
-    base = baseline.select(*(F.col(c).alias(f"base_{c}") for c in baseline.columns))
-    both = readings.join(F.broadcast(base))  # the baseline is one row by its making
+    both = beside(readings, baseline, "base_")
     k = F.when(F.col("base_k") != F.col("k"), F.format_string("read at k=%s, the baseline at k=%s: not the same measure", F.col("k"), F.col("base_k")))
     n = F.when(F.size(F.array_except("base_n_readers", F.array("n_readers"))) > 0, F.format_string("%s readers here, %s for the baseline: more readers agree more often by chance", F.col("n_readers"), F.array_join(F.transform("base_n_readers", lambda x: x.cast("string")), ", ")))
     return both.withColumn("caveats", F.array_compact(F.array(k, n)))

@@ -68,21 +68,31 @@ def aggregate_of(which: str | Aggregate) -> tuple[Aggregate, str]:
     return (which, getattr(which, "__name__", "custom")) if callable(which) else (AGGREGATES[which], which)
 
 
+def document_verdict(sums: Column, n_chars: Column) -> Column:
+    """(lean, strength, label) of a document from its sums (n_segments, directed, machine, human, neutral), weights in parts.
+
+    Zero without a segment whose label has a direction; else strength is the
+    least of two views: the share of such segments, and weight for length.
+    """
+    m, h, n = (F.coalesce(sums[d], F.lit(0)) for d in ("machine", "human", "neutral"))
+    by_rate = sums["directed"] / sums["n_segments"] / SEGMENT_RATE_FULL
+    by_density = (m + h + n) / (_PARTS * EVIDENCE_FULL * scale(n_chars))
+    some = (F.coalesce(sums["directed"], F.lit(0)) > 0) & (m + h > 0)
+    numbers = F.struct(F.when(some, lean(m, h)).otherwise(0.0).alias("lean"), F.when(some, F.bround(F.least(by_rate, by_density, F.lit(1.0)), 3)).otherwise(0.0).alias("strength"))
+    return let(numbers, lambda x: F.struct(x["lean"].alias("lean"), x["strength"].alias("strength"), F.when(some, label(x["lean"], x["strength"], m, h)).otherwise("no-evidence").alias("label"))).cast(VERDICT)
+
+
+def is_directed(label: Column) -> Column:
+    return label.isin("leans-machine", "leans-human")
+
+
 def roll_up(segments: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, n_chars, n_segments, n_signals, lean, strength, label) for each row of docs (doc_id, *keep, n_chars).
 
     From scored segments (doc_id, label, machine, human, neutral, n_signals), weights in
-    parts. Zero without a segment whose label has a direction; else strength is
-    the least of two views: the share of such segments, and weight for length.
-    Only numbers are shuffled, after a sum in each task.
+    parts. Only numbers are shuffled, after a sum in each task.
     """
-    directed = F.col("label").isin("leans-machine", "leans-human")
-    sums = segments.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.sum("n_signals").alias("n_signals"), F.count_if(directed).alias("directed"), *(F.sum(d).alias(d) for d in ("machine", "human", "neutral")))
-    joined = docs.join(sums, "doc_id", "left")
-    m, h, n = (F.coalesce(d, F.lit(0)) for d in ("machine", "human", "neutral"))
-    by_rate = F.col("directed") / F.col("n_segments") / SEGMENT_RATE_FULL
-    by_density = (m + h + n) / (_PARTS * EVIDENCE_FULL * scale(F.col("n_chars")))
-    some = (F.coalesce("directed", F.lit(0)) > 0) & (m + h > 0)
-    out = joined.withColumn("lean", F.when(some, lean(m, h)).otherwise(0.0)).withColumn("strength", F.when(some, F.bround(F.least(by_rate, by_density, F.lit(1.0)), 3)).otherwise(0.0))
-    out = out.withColumn("label", F.when(some, label(F.col("lean"), F.col("strength"), m, h)).otherwise("no-evidence"))
-    return out.select("doc_id", *keep, "n_chars", F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"), F.coalesce("n_signals", F.lit(0)).cast("long").alias("n_signals"), "lean", "strength", "label")
+    sums = segments.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.sum("n_signals").alias("n_signals"), F.count_if(is_directed(F.col("label"))).alias("directed"), *(F.sum(d).alias(d) for d in ("machine", "human", "neutral")))
+    one = F.struct("n_segments", "directed", "machine", "human", "neutral")
+    out = docs.join(sums, "doc_id", "left").withColumn("v", document_verdict(one, F.col("n_chars")))
+    return out.select("doc_id", *keep, "n_chars", F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"), F.coalesce("n_signals", F.lit(0)).cast("long").alias("n_signals"), "v.lean", "v.strength", "v.label")

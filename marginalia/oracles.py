@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators.detectors import ARTIFACTS, OPENERS
 from .operators.rules import RULES
 from .queries import EDITS
 from .seeds import seeded_sql
@@ -52,6 +53,7 @@ def _tells(source: str = "paras") -> str:
     return f"tells_{source} AS MATERIALIZED (" + "\n    UNION ALL ".join(parts) + ")"
 
 
+# The engine's patterns as RE2 writes them.
 QUOTED_RE = r'`[^`\n]+`|"[^"\n]{0,200}"|“[^”\n]{0,200}”'
 MARKUP_RE = r"^\s*(#{1,6}\s|[-*+]\s|\d+[.)]\s|\||>\s|```|~~~|\[[^\]]+\]:|[-=]{3,}\s*$)"
 _WORDS = "len(regexp_extract_all({}, '[A-Za-z0-9’'']+'))"
@@ -68,8 +70,7 @@ def _signals(source: str = "paras") -> str:
         return f"SELECT doc_id, seg_idx, {_q(name)}, {_q(direction)}, {weight!r}::DOUBLE, {_q(detector)}, NULL::INT, NULL::INT, start FROM {t} WHERE {where}"
 
     markup = f"(regexp_matches(quote, {_q(MARKUP_RE)}) OR contains(quote, '```'))"
-    openers = ("however", "moreover", "furthermore", "additionally", "that said", "at the same time", "in addition", "importantly", "ultimately", "crucially", "notably", "overall")
-    size = "CASE " + " ".join(f"WHEN starts_with(lower(quote), {_q(o)}) THEN {len(o)}" for o in openers) + " END"
+    size = "CASE " + " ".join(f"WHEN starts_with(lower(quote), {_q(o)}) THEN {len(o)}" for o in OPENERS) + " END"
     spread = f"""SELECT doc_id, seg_idx, start, len(ns) AS n, sqrt(len(ns) * list_sum(list_transform(ns, lambda x: x * x)) - list_sum(ns) * list_sum(ns)) / list_sum(ns) AS cv FROM (
       SELECT doc_id, seg_idx, start, list_filter(list_transform(regexp_extract_all(quote, '[^.!?\\n]+[.!?]?'), lambda p: {_WORDS.format('p')}), lambda n: n >= 3) AS ns FROM {t})"""
     return f"""{_tells(t)},
@@ -83,7 +84,7 @@ def _signals(source: str = "paras") -> str:
     UNION ALL {found('trailing-whitespace', 'human', 0.25, 'forensic', '[ \\t]+$', flags='(?m)')}
     UNION ALL {found('mid-sentence-newline', 'human', 0.45, 'forensic', '[a-z,;]\\n[a-z]', f'NOT {markup}')}
     UNION ALL {whole('no-terminal-punctuation', 'human', 0.30, 'forensic', f"NOT {markup} AND {_WORDS.format('quote')} >= 4 AND NOT regexp_matches(regexp_replace(quote, '[[:space:]]+$', ''), '[.!?:;)\\]\"''’”]$')")}
-    UNION ALL {found('unicode-artifact', 'machine', 0.15, 'forensic', '[' + chr(0xA0) + chr(0x202F) + '→✓✅❌]')}
+    UNION ALL {found('unicode-artifact', 'machine', 0.15, 'forensic', ARTIFACTS)}
     UNION ALL {found('not-x-but-y', 'machine', 0.30, 'rhetoric', r'\bnot (?:just|merely|simply) [^,.;:]{2,45},? but\b', flags='(?i)')}
     UNION ALL {found('colon-tricolon', 'machine', 0.45, 'rhetoric', r':\s*[^,.:;]{4,90},\s*[^,.:;]{4,90},\s*and\s+[^.]{4,90}[.!?]')}
     UNION ALL SELECT doc_id, seg_idx, 'discourse-opener', 'machine', 0.2::DOUBLE, 'rhetoric', start, start + {size}, start FROM {t} WHERE {size} IS NOT NULL
@@ -117,15 +118,16 @@ READERS = """judged AS (SELECT doc_id, unnest([
     {'reader': 'b', 'direction': 'machine', 'quote': substring(text, 6, 10), 'a': NULL, 'b': NULL, 'name': 'middle', 'weight': 0.3::DOUBLE},
     {'reader': 'b', 'direction': 'human', 'quote': NULL, 'a': 0, 'b': 5, 'name': 'warm', 'weight': 0.4::DOUBLE},
     {'reader': 'c', 'direction': 'human', 'quote': NULL, 'a': 0, 'b': 30, 'name': 'whole', 'weight': 0.2::DOUBLE},
-    {'reader': 'c', 'direction': 'machine', 'quote': 'no such words', 'a': NULL, 'b': NULL, 'name': 'gone', 'weight': 0.9::DOUBLE}], recursive := true), text FROM docs),
-  placed AS (SELECT doc_id, reader, direction, name, weight, CASE WHEN quote IS NULL THEN a WHEN instr(text, quote) > 0 THEN instr(text, quote) - 1 END::INT AS a, CASE WHEN quote IS NULL THEN b WHEN instr(text, quote) > 0 THEN instr(text, quote) - 1 + length(quote) END::INT AS b, quote IS NOT NULL AND instr(text, quote) = 0 AS dropped FROM judged),
-  flagged AS (SELECT u.doc_id, u.seg_idx AS unit, reader, direction, u.start, u.quote, name, weight FROM sents u JOIN placed j ON u.doc_id = j.doc_id AND NOT dropped AND u.start < j.b AND u.start + length(u.quote) > j.a),
+    {'reader': 'c', 'direction': 'machine', 'quote': 'no such words', 'a': NULL, 'b': NULL, 'name': 'gone', 'weight': 0.9::DOUBLE},
+    {'reader': 'd', 'direction': NULL, 'quote': NULL, 'a': NULL, 'b': NULL, 'name': NULL, 'weight': NULL}], recursive := true), text FROM docs),
+  placed AS (SELECT doc_id, reader, direction, coalesce(name, 'judgment') AS name, weight, CASE WHEN quote IS NULL THEN a WHEN instr(text, quote) > 0 THEN instr(text, quote) - 1 END::INT AS a, CASE WHEN quote IS NULL THEN b WHEN instr(text, quote) > 0 THEN instr(text, quote) - 1 + length(quote) END::INT AS b, quote IS NOT NULL AND instr(text, quote) = 0 AS dropped FROM judged),
+  flagged AS (SELECT u.doc_id, u.seg_idx AS unit, reader, direction, u.start, u.quote, name, weight FROM sents u JOIN placed j ON u.doc_id = j.doc_id AND NOT dropped AND direction IS NOT NULL AND u.start < j.b AND u.start + length(u.quote) > j.a),
   own AS (SELECT doc_id, unit, direction, start, quote, reader, max(weight) AS weight, list(DISTINCT name) AS names FROM flagged GROUP BY ALL),
   units AS (SELECT doc_id, unit, direction, start, start + length(quote) AS "end", quote, string_agg(reader, ',' ORDER BY reader) AS readers, array_to_string(list_sort(list_distinct(flatten(list(names)))), ',') AS shapes, round_even((sum(weight::DECIMAL(9,4))::DOUBLE / count(*))::DECIMAL(18,10), 2)::DOUBLE AS weight, count(*) AS n FROM own GROUP BY doc_id, unit, direction, start, quote)"""
 
 
-def _readings(k: int, out: str, units: str = "units", readers: str = "3") -> str:
-    return f"""{out} AS (SELECT d.doc_id, {k} AS k, {readers}::BIGINT AS n_readers, 'sentence' AS unit, coalesce(u.c, 0) AS n_units, len(regexp_extract_all(text, '\\S+')) AS n_words, coalesce(x.machine, 0) AS machine, coalesce(x.human, 0) AS human
+def _readings(k: int, out: str, units: str = "units", readers: str = "true") -> str:
+    return f"""{out} AS (SELECT d.doc_id, {k} AS k, (SELECT count(DISTINCT reader) FILTER ({readers}) FROM judged g WHERE g.doc_id = d.doc_id)::BIGINT AS n_readers, 'sentence' AS unit, coalesce(u.c, 0) AS n_units, len(regexp_extract_all(text, '\\S+')) AS n_words, coalesce(x.machine, 0) AS machine, coalesce(x.human, 0) AS human
       FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS c FROM sents GROUP BY 1) u USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) FILTER (direction = 'machine') AS machine, count(*) FILTER (direction = 'human') AS human FROM {units} WHERE n >= {k} GROUP BY 1) x USING (doc_id))"""
 
 
@@ -185,15 +187,18 @@ def oracle_sql() -> dict[str, str]:
     ladder_sided = ", ".join(_fractions(f"sc_{d}").removeprefix(TRUTH + ", ").replace("frac ", f"fr_{d} ").replace("FROM frac", f"FROM fr_{d}").replace("sided", f"sd_{d}") for d in ("tells", "forensic", "rhetoric"))
     sweep = " UNION ALL ".join(f"SELECT {'NULL' if r is None else r}::DOUBLE AS reference, doc_id, lang, label FROM ro_{r or 0}" for r in (None, 4000, 2000, 1500, 1000, 750, 500))
     sweep_ctes = ", ".join(_scored("paras", "sig_paras", f"sc_{r or 0}", "1.5" if r is None else f"1.5 * greatest(1.0, length(quote) / {r}.0)") + ", " + _rolled(f"sc_{r or 0}", f"ro_{r or 0}") for r in (None, 4000, 2000, 1500, 1000, 750, 500))
-    tokens = """tk AS (SELECT doc_id, i - 1 AS tok_idx, (sum(g) OVER w + sum(l) OVER w - l)::INT AS a, (sum(g) OVER w + sum(l) OVER w)::INT AS b, l::DOUBLE AS x FROM (SELECT doc_id, i, length(m) AS l, length(gaps[i]) AS g FROM (SELECT *, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ms, regexp_split_to_array(text, '\\S+') AS gaps FROM docs))) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-  cum AS (SELECT doc_id, tok_idx + 1 AS i, sum(x) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS sx FROM tk UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM tk),
-  rng AS (SELECT u.doc_id, u.seg_idx, u.start, length(u.quote) AS len, min(tok_idx) AS lo, max(tok_idx) + 1 AS hi, any_value(c.n) AS n FROM sents u JOIN tk ON u.doc_id = tk.doc_id AND tk.a < u.start + length(u.quote) AND tk.b > u.start JOIN (SELECT doc_id, count(*) AS n FROM tk GROUP BY 1) c ON c.doc_id = u.doc_id GROUP BY u.doc_id, u.seg_idx, u.start, len HAVING max(tok_idx) + 1 - min(tok_idx) >= 16),
-  win AS (SELECT doc_id, seg_idx, lo, hi, i FROM (SELECT *, unnest(generate_series(0, n - (hi - lo), greatest(1, (hi - lo) // 2))) AS i FROM rng) WHERE i + hi - lo <= lo OR i >= hi),
-  val AS (SELECT w.doc_id, w.seg_idx, (y.sx - x.sx) / (4.0 * (hi - lo)) AS v FROM win w JOIN cum x ON x.doc_id = w.doc_id AND x.i = w.i JOIN cum y ON y.doc_id = w.doc_id AND y.i = w.i + hi - lo),
-  med AS (SELECT doc_id, seg_idx, median(v) AS m, count(*) AS k FROM val GROUP BY ALL HAVING count(*) >= 6),
-  dev AS (SELECT doc_id, seg_idx, m, k, median(abs(v - m)) AS d FROM val JOIN med USING (doc_id, seg_idx) GROUP BY ALL),
-  own_ AS (SELECT r.doc_id, r.seg_idx, r.hi - r.lo AS n_tokens, k AS n_windows, (y.sx - x.sx) / (4.0 * (hi - lo)) AS score, m, d FROM rng r JOIN dev USING (doc_id, seg_idx) JOIN cum x ON x.doc_id = r.doc_id AND x.i = lo JOIN cum y ON y.doc_id = r.doc_id AND y.i = hi),
-  std_ AS (SELECT *, CASE WHEN d * 1.4826 > 0 THEN -(score - m) / (d * 1.4826) ELSE 0.0 END AS z FROM own_)"""
+    tokens = """tk AS MATERIALIZED (SELECT doc_id, i - 1 AS tok_idx, (sum(g) OVER w + sum(l) OVER w - l)::INT AS a, (sum(g) OVER w + sum(l) OVER w)::INT AS b, l::DOUBLE AS x FROM (SELECT doc_id, i, length(m) AS l, length(gaps[i]) AS g FROM (SELECT *, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ms, regexp_split_to_array(text, '\\S+') AS gaps FROM docs))) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  cum AS MATERIALIZED (SELECT doc_id, list(x ORDER BY tok_idx) AS xs, list_prepend(0.0, list(sx ORDER BY tok_idx)) AS sums, count(*) AS n FROM (SELECT *, sum(x) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS sx FROM tk) GROUP BY doc_id),
+  lows AS (SELECT u.doc_id, u.seg_idx, u.start, length(u.quote) AS len, coalesce(t.tok_idx + 1, 0) AS lo FROM sents u ASOF LEFT JOIN tk t ON u.doc_id = t.doc_id AND u.start >= t.b),
+  rng AS MATERIALIZED (SELECT l.*, t.tok_idx + 1 AS hi, c.n, c.sums FROM lows l ASOF JOIN tk t ON l.doc_id = t.doc_id AND l.start + l.len > t.a JOIN cum c ON c.doc_id = l.doc_id WHERE t.tok_idx + 1 - lo >= 16),
+  vals AS MATERIALIZED (SELECT doc_id, seg_idx, lo, hi, (sums[hi + 1] - sums[lo + 1]) / {per} AS v, list_transform(list_filter(generate_series(0, n - (hi - lo), greatest(1, (hi - lo) // 2)), lambda i: i + hi - lo <= lo OR i >= hi), lambda i: (sums[i + hi - lo + 1] - sums[i + 1]) / {per}) AS ws FROM rng),
+  med AS MATERIALIZED (SELECT *, list_aggregate(ws, 'median') AS m FROM vals WHERE len(ws) >= 6),
+  own_ AS (SELECT doc_id, seg_idx, hi - lo AS n_tokens, len(ws) AS n_windows, v AS score, m, list_aggregate(list_transform(ws, lambda w: abs(w - m)), 'median') AS d FROM med),
+  std_ AS (SELECT *, CASE WHEN d * 1.4826 > 0 THEN {sign} * (score - m) / (d * 1.4826) ELSE 0.0 END AS z FROM own_)"""
+    ratio, curvature = tokens.replace("{per}", "(4.0 * (hi - lo))").replace("{sign}", "-1"), tokens.replace("{per}", "sqrt(4.0 * (hi - lo))").replace("{sign}", "1")
+    standing = "SELECT doc_id, seg_idx, n_tokens::INT AS n_tokens, n_windows::INT AS n_windows, round_even(score, 4)::DOUBLE AS score, CASE WHEN round_even(z, 3) = 0 THEN 0.0 ELSE round_even(z, 3) END::DOUBLE AS z, CASE WHEN abs(z) >= 2.5 THEN 0.45 WHEN abs(z) >= 1.5 THEN 0.3 END::DOUBLE AS weight FROM std_"
+    numbered = """(SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x))"""
+    told = lambda c: f"coalesce(round(({c})::DECIMAL(18,2), 1)::DECIMAL(18,1)::VARCHAR, 'n/a')"
     out = {
         "seg_document": "SELECT doc_id, 0 AS seg_idx, 0 AS start, length(text)::INT AS \"end\", sha256(text) AS quote_hash FROM documents",
         "seg_paragraph": f"{p} SELECT doc_id, seg_idx, start, (start + length(quote))::INT AS \"end\", sha256(quote) AS quote_hash FROM paras",
@@ -213,7 +218,16 @@ def oracle_sql() -> dict[str, str]:
         "forensic_signals": f"{sig} SELECT doc_id, seg_idx, name, direction, weight, {place('x')} FROM sig_paras x WHERE detector = 'forensic'",
         "rhetoric_signals": f"{sig} SELECT doc_id, seg_idx, name, direction, weight, {place('x')} FROM sig_paras x WHERE detector = 'rhetoric'",
         "rhythm_spread": f"{sig} SELECT doc_id, seg_idx, n::INT AS n, {rounded('cv')} FROM cv_paras",
-        "signals_all": f"{sig} SELECT doc_id, seg_idx, name, direction, weight, detector, {place('x')} FROM sig_paras x",
+        "signals_all": f"{sig} SELECT doc_id, seg_idx, nth, name, direction, weight, detector, {place('x')} FROM {numbered} x",
+        "artifact_values": f"{p} SELECT doc_id, s::INT AS start, chr(34) || 'U+' || printf('%04X', unicode(m)) || chr(34) AS value FROM ({_found('x', ARTIFACTS, 'paras')})",
+        "judgment_records": "SELECT doc_id, 'a' AS reader, CASE WHEN doc_id % 3 < 2 THEN 'human' END AS direction, CASE WHEN doc_id % 3 < 2 THEN 'q' || doc_id END AS quote, CASE WHEN doc_id % 3 < 2 THEN '{' || chr(34) || 'n' || chr(34) || ':' || i || '}' END AS value FROM documents, (VALUES (1), (2)) t(i) WHERE i = 1 OR doc_id % 3 = 0",
+        "greedy_placement": f"""{sig.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS MATERIALIZED (SELECT x.*, p.start AS st, row_number() OVER (PARTITION BY x.doc_id, x.seg_idx ORDER BY s, weight DESC, nth) AS i FROM {numbered} x JOIN paras p USING (doc_id, seg_idx) WHERE s IS NOT NULL),
+          f AS (SELECT doc_id, seg_idx, i, CASE WHEN s >= st THEN e ELSE st END AS last, s >= st AS kept FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.seg_idx, o.i, CASE WHEN o.s >= f.last THEN o.e ELSE f.last END, o.s >= f.last FROM f JOIN o ON o.doc_id = f.doc_id AND o.seg_idx = f.seg_idx AND o.i = f.i + 1)
+          SELECT doc_id, seg_idx, name, {place('o')}, CASE WHEN direction <> 'neutral' THEN round_even(least(greatest(weight, 0.1), 0.6) / 0.6 * 100, 0) END::INT AS shade, round_even(greatest(12.0, weight * 80), 0)::INT AS width FROM f JOIN o USING (doc_id, seg_idx, i) WHERE kept""",
+        "json_report_fields": f"{rolled} SELECT doc_id, label, lean, strength, n_signals::BIGINT AS n_signals, n_segments::BIGINT AS n_listed, sha256(text) AS text_sha256, sha256(coalesce((SELECT quote FROM paras q WHERE q.doc_id = rolled.doc_id AND q.seg_idx = 0), '')) AS first_hash FROM rolled",
+        "baseline_lines": f"{rd}, {_readings(2, 'r')} SELECT doc_id, '| ' || doc_id || ' | ' || format('{{:,}}', n_words) || ' | ' || n_readers || ' | ' || {told(_rate('machine', 'n_words'))} || ' | ' || {told(_rate('human', 'n_words'))} || ' |' AS line FROM r",
+        "baseline_text": f"{rd}, {_readings(2, 'r')}, t AS (SELECT count(*) AS n, sum(n_words)::BIGINT AS n_words, min(k) AS k, string_agg(DISTINCT n_readers::VARCHAR, ', ' ORDER BY n_readers::VARCHAR) AS rs, sum(machine) AS machine, sum(human) AS human, min({_rate('machine', 'n_words')}) AS low, max({_rate('machine', 'n_words')}) AS high FROM r) SELECT concat('# Baseline', chr(10), chr(10), n, ' text(s), ', format('{{:,}}', n_words), ' words; sentences that at least ', k, ' readers flag (readers of a text: ', rs, ').', chr(10), chr(10), '**', {told(_rate('machine', 'n_words'))}, ' per 1,000 words machine-leaning**', printf(', %.1f to %.1f across texts', low, high), '; ', {told(_rate('human', 'n_words'))}, ' human-leaning.', chr(10)) AS markdown FROM t",
+        "rule_table": f"WITH {human}, {acc} SELECT row_number() OVER (ORDER BY human_docs DESC, human_hits DESC, name, detector, direction)::INT AS rank, name, detector, direction, human_docs, human_hits FROM h",
         "score_blind": f"{sig}, {_scored('paras', 'sig_paras', full='1.5')} SELECT {score_columns} FROM scored",
         "score_density": f"{scored} SELECT {score_columns} FROM scored",
         "score_sentences": f"{sigs}, {_scored('sents', 'sig_sents')} SELECT {score_columns} FROM scored",
@@ -228,8 +242,8 @@ def oracle_sql() -> dict[str, str]:
         "reader_counts": f"{rd} SELECT doc_id, reader, coalesce(any_value(f.machine), 0) AS machine, coalesce(any_value(f.human), 0) AS human, count(*) FILTER (dropped) AS dropped FROM placed LEFT JOIN (SELECT doc_id, reader, count(DISTINCT unit) FILTER (direction = 'machine') AS machine, count(DISTINCT unit) FILTER (direction = 'human') AS human FROM flagged GROUP BY ALL) f USING (doc_id, reader) GROUP BY doc_id, reader",
         "consensus_units": f"{rd} SELECT doc_id, unit, direction, start, \"end\"::INT AS \"end\", readers, shapes, weight FROM units WHERE n >= 2",
         "consensus_density": f"{rd}, {_readings(2, 'r')} SELECT *, {_rate('machine', 'n_words')} AS machine_per_1000, {_rate('human', 'n_words')} AS human_per_1000 FROM r",
-        "pooled_baseline": f"{rd}, {_readings(2, 'r')}, t AS (SELECT 2 AS k, 'sentence' AS unit, '3' AS n_readers, count(*) AS n_texts, sum(n_words)::BIGINT AS n_words, sum(machine)::BIGINT AS machine, min({_rate('machine', 'n_words')}) AS machine_low, max({_rate('machine', 'n_words')}) AS machine_high, sum(human)::BIGINT AS human, min({_rate('human', 'n_words')}) AS human_low, max({_rate('human', 'n_words')}) AS human_high FROM r) SELECT *, {_rate('machine', 'n_words')} AS machine_per_1000, {_rate('human', 'n_words')} AS human_per_1000 FROM t",
-        "baseline_caveats": f"{rd}, ab AS (SELECT doc_id, unit, direction, count(*) AS n FROM own WHERE reader <> 'c' GROUP BY ALL), {_readings(1, 'r')}, {_readings(2, 'r2', 'ab', '2')} SELECT doc_id, machine, (SELECT sum(machine)::BIGINT FROM r2) AS base_machine, 2 AS n_caveats FROM r",
+        "pooled_baseline": f"{rd}, {_readings(2, 'r')}, t AS (SELECT 2 AS k, 'sentence' AS unit, string_agg(DISTINCT n_readers::VARCHAR, ',' ORDER BY n_readers::VARCHAR) AS n_readers, count(*) AS n_texts, sum(n_words)::BIGINT AS n_words, sum(machine)::BIGINT AS machine, min({_rate('machine', 'n_words')}) AS machine_low, max({_rate('machine', 'n_words')}) AS machine_high, sum(human)::BIGINT AS human, min({_rate('human', 'n_words')}) AS human_low, max({_rate('human', 'n_words')}) AS human_high FROM r) SELECT *, {_rate('machine', 'n_words')} AS machine_per_1000, {_rate('human', 'n_words')} AS human_per_1000 FROM t",
+        "baseline_caveats": f"{rd}, ab AS (SELECT doc_id, unit, direction, count(*) AS n FROM own WHERE reader <> 'c' GROUP BY ALL), {_readings(1, 'r')}, {_readings(2, 'r2', 'ab', "reader <> 'c'")}, base AS (SELECT sum(machine)::BIGINT AS m, min(k) AS k, list(DISTINCT n_readers) AS ns FROM r2) SELECT doc_id, machine, m AS base_machine, ((r.k <> base.k)::INT + (len(list_filter(ns, lambda x: x <> n_readers)) > 0)::INT)::INT AS n_caveats FROM r, base",
         "inject_contains": f"{rd}, {_signals('sents')}, {injected}, {_scored('sents', 'both_')} SELECT {score_columns} FROM scored",
         "inject_consensus": f"{rd}, {_signals('sents')}, {agreed}, {_scored('sents', 'both_')}, {_rolled('scored')} SELECT doc_id, n_signals::BIGINT AS n_signals, lean, strength, label FROM rolled",
         "truth_overlap": f"{scored}, {_fractions('scored')} SELECT doc_id, seg_idx, covered::BIGINT AS covered, {rounded('fraction', 6)}, side FROM sided",
@@ -240,8 +254,9 @@ def oracle_sql() -> dict[str, str]:
         "rule_accounting": f"{inside}, {human}, {acc}, x AS (SELECT detector, name, direction, max(weight) AS w2, count(*) FILTER (direction = 'machine' AND inside) AS true_positive, count(*) FILTER (direction = 'machine' AND NOT inside) AS false_on_mixed FROM inn GROUP BY ALL) SELECT detector, name, direction, greatest(w1, w2) AS weight, coalesce(human_docs, 0) AS human_docs, coalesce(human_hits, 0) AS human_hits, coalesce(true_positive, 0) AS true_positive, coalesce(false_on_mixed, 0) AS false_on_mixed, direction = 'machine' AND coalesce(true_positive, 0) = 0 AND coalesce(human_docs, 0) >= 5 AS negative_value FROM h FULL JOIN x USING (detector, name, direction)",
         "detector_accounting": f"WITH {human}, {acc} SELECT detector, sum(human_docs)::BIGINT AS human_docs FROM h GROUP BY detector",
         "reference_sweep": f"{sig}, {sweep_ctes} SELECT reference, lang AS band, count(*) AS documents, count(*) FILTER (label = 'leans-machine') AS accused FROM ({sweep}) GROUP BY ALL",
-        "robust_outlier": f"{ps}, {tokens} SELECT doc_id, seg_idx, n_tokens::INT AS n_tokens, n_windows::INT AS n_windows, round_even(score, 4)::DOUBLE AS score, CASE WHEN round_even(z, 3) = 0 THEN 0.0 ELSE round_even(z, 3) END::DOUBLE AS z, CASE WHEN abs(z) >= 2.5 THEN 0.45 WHEN abs(z) >= 1.5 THEN 0.3 END::DOUBLE AS weight FROM std_",
-        "outlier_verdicts": f"{ps}, {_signals('sents')}, {tokens}, both_ AS (SELECT doc_id, seg_idx, direction, weight FROM sig_sents UNION ALL SELECT doc_id, seg_idx, CASE WHEN z > 0 THEN 'machine' ELSE 'human' END, CASE WHEN abs(z) >= 2.5 THEN 0.45 ELSE 0.3 END FROM std_ WHERE abs(z) >= 1.5), {_scored('sents', 'both_')}, {_rolled('scored')} SELECT doc_id, n_signals::BIGINT AS n_signals, lean, strength, label FROM rolled",
+        "robust_outlier": f"{ps}, {ratio} {standing}",
+        "curvature_outlier": f"{ps}, {curvature} {standing}",
+        "outlier_verdicts": f"{ps}, {_signals('sents')}, {ratio}, both_ AS (SELECT doc_id, seg_idx, direction, weight FROM sig_sents UNION ALL SELECT doc_id, seg_idx, CASE WHEN z > 0 THEN 'machine' ELSE 'human' END, CASE WHEN abs(z) >= 2.5 THEN 0.45 ELSE 0.3 END FROM std_ WHERE abs(z) >= 1.5), {_scored('sents', 'both_')}, {_rolled('scored')} SELECT doc_id, n_signals::BIGINT AS n_signals, lean, strength, label FROM rolled",
         "model_chunks": "WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents), c AS (SELECT doc_id, n, unnest(generate_series(0, greatest(1, ceil((n - 512) / 256.0)::INT + 1) - 1)) AS i FROM t) SELECT doc_id, (i * 256)::INT AS start, least(i * 256 + 512, n)::INT AS \"end\", CASE WHEN i = 0 THEN 1 ELSE least((i - 1) * 256 + 512, n) END::INT AS first FROM c",
         "edit_invalidation": f"""{sig}, es AS (SELECT doc_id, seg_idx, start::INT AS s, (start + length(quote))::INT AS e, false AS bad FROM paras), {_mapped(EDITS, 'es')}, xs AS (SELECT doc_id, seg_idx, nth, name, s, e, false AS bad FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x)) WHERE s IS NOT NULL), {_mapped(EDITS, 'xs')}
           SELECT x.doc_id, x.seg_idx, nth, name, x.s AS start, x.e AS "end", x.bad OR y.bad AS unverified FROM met{len(EDITS) - 1}_xs x JOIN met{len(EDITS) - 1}_es y USING (doc_id, seg_idx)""",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import after, before, let
 from ..operators.detectors import DEFAULT, Detector, detectors_of, signals_of
-from ..operators.scoring import Aggregate, aggregate_of, by_direction, roll_up
-from ..operators.segments import Segmenter, segmented, segmenter_of
+from ..operators.scoring import Aggregate, aggregate_of, by_direction, document_verdict, is_directed, roll_up
+from ..operators.segments import SPANS, Segmenter, segmented, segmenter_of
 from ..schema import SCHEMA_VERSION, SIGNALS
 
 #: Place of injected evidence in a segment's order, behind all detectors.
@@ -19,20 +20,19 @@ INJECTED = 99
 _BUILT: dict[tuple, Column] = {}
 
 
-def _signals(spark: SparkSession, detectors: Sequence[str | Detector] | None) -> Column:
-    """The expression for named detectors, built once for each application, as it has thousands of parts."""
-    names = DEFAULT if detectors is None else tuple(detectors)
-    if not all(isinstance(n, str) for n in names):
-        return signals_of(F.col("quote"), F.col("start"), detectors)
-    key = (spark.sparkContext.applicationId, *names)
+def _once(spark: SparkSession, parts: tuple, make: Callable[[], Column]) -> Column:
+    """An expression of named parts, built once for each application, as it has thousands of parts; functions are no names."""
+    if not all(isinstance(x, (str, bool)) for x in parts):
+        return make()
+    key = (spark.sparkContext.applicationId, *parts)
     if key not in _BUILT:
-        _BUILT[key] = signals_of(F.col("quote"), F.col("start"), names)
+        _BUILT[key] = make()
     return _BUILT[key]
 
 
 def detected(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, keep: tuple[str, ...] = (), context: bool = False) -> DataFrame:
     """Segments of (doc_id, text) with their ``signals``; row by row, without a shuffle."""
-    return segmented(docs, segmenter, keep, context).withColumn("signals", _signals(docs.sparkSession, detectors))
+    return segmented(docs, segmenter, keep, context).withColumn("signals", _once(docs.sparkSession, tuple(DEFAULT if detectors is None else detectors), lambda: signals_of(F.col("quote"), F.col("start"), detectors)))
 
 
 def inject(segments: DataFrame, extra: DataFrame) -> DataFrame:
@@ -69,23 +69,74 @@ def gauge(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors:
     return scored(inject(found, extra) if extra is not None else found, aggregate)
 
 
-def verdicts(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, aggregate: str | Aggregate = "density_aggregate", extra: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A flat report for each document: its digest, counts, verdict, and what made it."""
-    heads = docs.select("doc_id", *keep, F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
-    out = roll_up(gauge(docs, segmenter, detectors, aggregate, extra), heads, (*keep, "text_sha256"))
+def _nested(docs: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str | Detector] | None, aggregate: str | Aggregate, keep: tuple[str, ...], context: bool) -> DataFrame:
+    """(doc_id, *keep, text_sha256, n_chars, segments): each document's scored segments in its own row, so nothing is shuffled."""
+    build, score, text = segmenter_of(segmenter)[0], aggregate_of(aggregate)[0], F.col("text")
+
+    def whole(s: Column, i: Column) -> Column:
+        def of(found: Column) -> Column:
+            return let(score(found, F.length(s["quote"])), lambda v: F.struct(
+                i.alias("seg_idx"), s["start"].alias("start"), s["end"].alias("end"), s["quote"].alias("quote"), *around(s), s["level"].alias("level"), v["lean"].alias("lean"), v["strength"].alias("strength"), v["label"].alias("label"),
+                found.alias("signals"), *(by_direction(found, d).alias(d) for d in ("machine", "human", "neutral")),
+            ))
+
+        return let(signals_of(s["quote"], s["start"], detectors), of)
+
+    def every() -> Column:
+        return F.transform(build(text).cast(SPANS), whole)
+
+    around = lambda s: (before(text, s["start"]).alias("prefix"), after(text, s["end"]).alias("suffix")) if context else ()
+    return docs.select("doc_id", *keep, F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"), _once(docs.sparkSession, (segmenter, aggregate, context, *(DEFAULT if detectors is None else detectors)), every).alias("segments"))
+
+
+def _judged(nested: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The rows of ``_nested`` with their documents' verdicts, by sums over each row's own array."""
+    added = lambda of: F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + of(s))
+    sums = F.struct(F.size("segments").cast("long").alias("n_segments"), added(lambda s: is_directed(s["label"]).cast("long")).alias("directed"), *(added(lambda s, d=d: s[d]).alias(d) for d in ("machine", "human", "neutral")))
+    out = nested.withColumn("n_signals", F.coalesce(added(lambda s: F.size(s["signals"]).cast("long")), F.lit(0)).cast("long")).withColumn("v", let(sums, lambda x: document_verdict(x, F.col("n_chars"))))
+    return out.select("doc_id", *keep, "text_sha256", "n_chars", F.when(F.col("segments").isNull(), F.lit(0)).otherwise(F.size("segments")).cast("long").alias("n_segments"), "n_signals", "v.lean", "v.strength", "v.label", "segments")
+
+
+def _named(reports: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str | Detector] | None, aggregate: str | Aggregate) -> DataFrame:
+    """What made a report, behind its other columns."""
     names = detectors_of(detectors)[1]
-    return out.withColumns({"segmenter": F.lit(segmenter_of(segmenter)[1]), "detectors": F.lit(",".join(names)), "calibration": F.lit(f"uncalibrated ({aggregate_of(aggregate)[1]})"), "schema_version": F.lit(SCHEMA_VERSION)})
+    return reports.withColumns({"segmenter": F.lit(segmenter_of(segmenter)[1]), "detectors": F.lit(",".join(names)), "calibration": F.lit(f"uncalibrated ({aggregate_of(aggregate)[1]})"), "schema_version": F.lit(SCHEMA_VERSION)})
+
+
+def verdicts(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, aggregate: str | Aggregate = "density_aggregate", extra: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A flat report for each document: its digest, counts, verdict, and what made it.
+
+    Row by row, without a shuffle; with injected evidence the segments meet it
+    by doc_id, and sums of theirs meet the documents.
+    """
+    if extra is None:
+        out = _judged(_nested(docs, segmenter, detectors, aggregate, keep, False), keep).drop("segments")
+    else:
+        heads = docs.select("doc_id", *keep, F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+        out = roll_up(gauge(docs, segmenter, detectors, aggregate, extra), heads, (*keep, "text_sha256"))
+    return _named(out, segmenter, detectors, aggregate)
 
 
 def signals(segments: DataFrame) -> DataFrame:
     """A row for each signal of segments, in order: (doc_id, seg_idx, nth, name, direction, weight, detector, value, note, start, end, matched, level)."""
-    rows = segments.select("doc_id", "seg_idx", F.posexplode("signals").alias("nth", "s"))
+    # the outer form with a test of the place: a plain one lets the optimizer put a filter on the signals below, which evaluates all detectors twice
+    rows = segments.select("doc_id", "seg_idx", F.posexplode_outer("signals").alias("nth", "s")).where("nth is not null")
     return rows.select("doc_id", "seg_idx", "nth", *(f"s.{c}" for c in ("name", "direction", "weight", "detector", "value", "note", "start", "end", "matched", "level")))
 
 
 def reports(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, aggregate: str | Aggregate = "density_aggregate", extra: DataFrame | None = None) -> DataFrame:
-    """Nested reports: verdicts with an array of segments, each with its signals and context."""
+    """Nested reports: verdicts with an array of segments, each with its signals and context.
+
+    Without injected evidence a report comes from its document's row alone.
+    """
+    plain = lambda s: F.transform(s["signals"], lambda x: x.dropFields("at", "d", "longer", "ord")).alias("signals")
+    fields = ("seg_idx", "start", "end", "quote", "prefix", "suffix", "level", "lean", "strength", "label")
+    if extra is None:
+        judged = _judged(_nested(docs, segmenter, detectors, aggregate, (), True), ())
+        shown = F.when(F.size("segments") > 0, F.transform("segments", lambda s: F.struct(*(s[c].alias(c) for c in fields), plain(s))))
+        out = _named(judged.withColumn("own", shown).drop("segments"), segmenter, detectors, aggregate)
+        return out.withColumnRenamed("own", "segments").select(*(c for c in out.columns if c != "own"), "segments")
     segs = gauge(docs, segmenter, detectors, aggregate, extra, context=True)
-    one = F.struct("seg_idx", "start", "end", "quote", "prefix", "suffix", "level", "lean", "strength", "label", F.transform("signals", lambda s: s.dropFields("at", "d", "longer", "ord")).alias("signals"))
+    one = F.struct(*fields, F.transform("signals", lambda s: s.dropFields("at", "d", "longer", "ord")).alias("signals"))
     arrays = segs.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("segments"))
     return verdicts(docs, segmenter, detectors, aggregate, extra).join(arrays, "doc_id", "left")

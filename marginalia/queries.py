@@ -13,9 +13,11 @@ from .operators.detectors import QUOTED, detectors, forensic, is_markup, rhetori
 from .operators.rules import catalogue, tell_matches
 from .operators.scoring import blind, density
 from .operators.segments import segmented, segmenters
+from .plans import baseline as pooling
 from .plans import gauge as plan
 from .plans import report
 from .seeds import seeded
+from .sources.readers import parsed_judgments, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -29,7 +31,7 @@ def query(f: Query) -> Query:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return table(spark, d, "documents")
 
 
 def _segs(spark: SparkSession, d: str, segmenter: str = "paragraph") -> DataFrame:
@@ -155,7 +157,13 @@ def rhythm_spread(spark, d):
 @query
 def signals_all(spark, d):
     """All signals of the default detectors."""
-    return plan.signals(plan.detected(seeded(spark, d))).select("doc_id", "seg_idx", "name", "direction", "weight", "detector", "start", "end")
+    return plan.signals(plan.detected(seeded(spark, d))).select("doc_id", "seg_idx", "nth", "name", "direction", "weight", "detector", "start", "end")
+
+
+@query
+def artifact_values(spark, d):
+    """Characters that are seldom typed, by their code points."""
+    return plan.signals(plan.detected(seeded(spark, d), detectors=["forensic"])).where("name = 'unicode-artifact'").select("doc_id", "start", "value")
 
 
 @query
@@ -202,8 +210,8 @@ def report_flat(spark, d):
 
 @query
 def weight_by_direction(spark, d):
-    rows = plan.gauge(seeded(spark, d)).select("doc_id", F.explode("signals").alias("s"))
-    return rows.groupBy("doc_id", "s.direction").agg(F.sum(F.col("s.weight").cast("decimal(9,4)")).cast("double").alias("weight"))
+    rows = plan.signals(plan.detected(seeded(spark, d)))
+    return rows.groupBy("doc_id", "direction").agg(F.sum(F.col("weight").cast("decimal(9,4)")).cast("double").alias("weight"))
 
 
 @query
@@ -223,25 +231,34 @@ def listed_flags(spark, d):
 def greedy_placement(spark, d):
     """Signals that are drawn as marks."""
     segs = plan.gauge(seeded(spark, d))
-    rows = segs.select("doc_id", "seg_idx", F.explode(placement.placed(F.col("signals"), F.col("start"))).alias("s"))
+    rows = segs.select("doc_id", "seg_idx", F.posexplode_outer(placement.placed(F.col("signals"), F.col("start"))).alias("nth", "s")).where("nth is not null")
     return rows.select("doc_id", "seg_idx", "s.name", "s.start", "s.end", placement.shade(F.col("s.weight"), F.col("s.direction")).alias("shade"), placement.bar_width(F.col("s.weight")).alias("width"))
 
 
 def _judgments(spark, d):
-    """Three readers: one flags the first 20 code points, one quotes the 10 from the 6th on and flags 5, one flags 30 and quotes what is nowhere."""
+    """Four readers: one flags the first 20 code points, one quotes the 10 from the 6th on and flags 5, one flags 30 and quotes what is nowhere, one flags nothing."""
     docs = seeded(spark, d)
     none = F.lit(None)
-    row = lambda reader, direction, quote, a, b, name, weight: F.struct(F.lit(reader).alias("reader"), F.lit(direction).alias("direction"), quote.cast("string").alias("quote"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(name).alias("name"), F.lit(weight).cast("double").alias("weight"), none.cast("string").alias("note"), none.cast("string").alias("detector"), none.cast("string").alias("value"))
+    row = lambda reader, direction, quote, a, b, name, weight: F.struct(F.lit(reader).alias("reader"), F.lit(direction).cast("string").alias("direction"), quote.cast("string").alias("quote"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(name).cast("string").alias("name"), F.lit(weight).cast("double").alias("weight"), none.cast("string").alias("note"), none.cast("string").alias("detector"), none.cast("string").alias("value"))
     rows = F.array(
         row("a", "machine", none, F.lit(0), F.lit(20), "opening", 0.5),
         row("b", "machine", F.substring("text", 6, 10), none, none, "middle", 0.3),
         row("b", "human", none, F.lit(0), F.lit(5), "warm", 0.4),
         row("c", "human", none, F.lit(0), F.lit(30), "whole", 0.2),
         row("c", "machine", F.lit("no such words"), none, none, "gone", 0.9),
+        row("d", None, none, none, none, None, None),
     )
     return docs.select("doc_id", F.explode(rows).alias("j")).select("doc_id", "j.*")
 
 
+@query
+def judgment_records(spark, d):
+    """Judgments parsed from JSON: a bare list, one in an envelope, or a reader who flags nothing, by turns."""
+    one = lambda k: F.format_string('{"direction":"human","quote":"q%s","value":{"n":%s}}', F.col("doc_id"), F.lit(k))
+    json = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), one(1), F.lit(","), one(2), F.lit("]"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"findings":['), one(1), F.lit("]}"))).otherwise('{"judgments":[]}')
+    return parsed_judgments(_docs(spark, d).select("doc_id", F.lit("a").alias("reader"), json.alias("json"))).select("doc_id", "reader", "direction", "quote", "value")
+
+
 @query
 def anchor_quotes(spark, d):
     """Where judgments stand."""
@@ -281,6 +298,19 @@ def baseline_caveats(spark, d):
     return out.select("doc_id", "machine", "base_machine", F.size("caveats").alias("n_caveats"))
 
 
+@query
+def baseline_lines(spark, d):
+    """The table of a baseline's texts, a line each."""
+    _, readings = pooling.baseline(seeded(spark, d), _judgments(spark, d), 2)
+    return report.baseline_rows(readings)
+
+
+@query
+def baseline_text(spark, d):
+    """The pooled figure in words."""
+    return report.baseline_told(pooling.baseline(seeded(spark, d), _judgments(spark, d), 2)[0])
+
+
 @query
 def inject_contains(spark, d):
     """Sentences scored with what a single reader found."""
@@ -347,6 +377,13 @@ def rule_accounting(spark, d):
     return evaluate.rule_accounting(human, plan.signals(plan.detected(seeded(spark, d))), _truth(spark, d))
 
 
+@query
+def rule_table(spark, d):
+    """The rules in the order of what they cost on people's texts."""
+    human = plan.signals(plan.detected(_docs(spark, d)))
+    return evaluate.in_order(evaluate.rule_accounting(human, human, _truth(spark, d))).select("rank", "name", "detector", "direction", "human_docs", "human_hits")
+
+
 @query
 def detector_accounting(spark, d):
     human = plan.signals(plan.detected(_docs(spark, d)))
@@ -369,6 +406,14 @@ def robust_outlier(spark, d):
     return rows.select("doc_id", "seg_idx", "n_tokens", "n_windows", F.bround("score", 4).alias("score"), F.bround("z", 3).alias("z"), outliers.band_of(F.col("z")).alias("weight"))
 
 
+@query
+def curvature_outlier(spark, d):
+    """The same by the other statistic, whose score is one sum over the root of another."""
+    docs = seeded(spark, d)
+    rows = outliers.standings(segmented(docs, "sentence", context=False), outliers.word_length_statistics(docs), "curvature", 1.0)
+    return rows.select("doc_id", "seg_idx", "n_tokens", "n_windows", F.bround("score", 4).alias("score"), F.bround("z", 3).alias("z"), outliers.band_of(F.col("z")).alias("weight"))
+
+
 @query
 def outlier_verdicts(spark, d):
     """Verdicts with the standing of each sentence as evidence."""
@@ -409,6 +454,17 @@ def json_reports(spark, d):
     return report.to_json(plan.reports(seeded(spark, d)))
 
 
+@query
+def json_report_fields(spark, d):
+    """What a JSON report says of its document, read back from the JSON."""
+    j = F.col("json")
+    of = lambda path, kind: F.get_json_object(j, f"$.{path}").cast(kind)
+    return report.to_json(plan.reports(seeded(spark, d))).select(
+        "doc_id", of("label", "string").alias("label"), of("lean", "double").alias("lean"), of("strength", "double").alias("strength"), of("n_signals", "long").alias("n_signals"),
+        F.coalesce(F.json_array_length(F.get_json_object(j, "$.segments")), F.lit(0)).cast("long").alias("n_listed"), of("text_sha256", "string").alias("text_sha256"), F.sha2(F.coalesce(of("segments[0].quote", "string"), F.lit("")), 256).alias("first_hash"),
+    )
+
+
 @query
 def reader_reports(spark, d):
     """Markdown of each document's readers beside the baseline of all."""

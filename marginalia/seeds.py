@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.readers import table
+
 #: The document whose id leaves n when divided by the number of passages gets passage n.
 SEEDS = (
     "",
@@ -24,7 +26,7 @@ SEEDS = (
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a passage behind each text, after a blank line."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     passage = F.element_at(F.array(*map(F.lit, SEEDS)), (F.pmod("doc_id", F.lit(len(SEEDS))) + 1).cast("int"))
     return docs.withColumn("text", F.when(F.length(passage) > 0, F.concat("text", F.lit("\n\n"), passage)).otherwise(F.col("text")))
 

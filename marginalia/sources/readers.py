@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.rules import Rule
+from ..operators.rules import METRICS, Rule
 from ..schema import JUDGMENT
 
 # What an upload may be called, and how large it may be.
@@ -19,6 +19,21 @@ _FILE = f"judgments array<{JUDGMENT}>, findings array<{JUDGMENT}>, list array<{J
 _REFUSED = "not a reader's judgments: expected records with a direction, in a list, or under judgments or findings"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt out anew if they come in fewer splits than there are cores.
+
+    Detecting costs far more than moving a text once, and a table in one row
+    group would be one task. A table that fills the cluster stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables, in as many splits as there are cores at least."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def texts(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """(doc_id, text) of text files, one document each, named by its path."""
     reader = spark.read.option("wholetext", True)
@@ -44,28 +59,35 @@ def parsed_judgments(records: DataFrame, keep: Sequence[str] = ("doc_id", "reade
     """Rows of judgments from JSON texts: a list of records, or an object with it under judgments or findings.
 
     Anything else stops the job, since an empty reader would change who agrees
-    with whom. Values may be of any kind and stay JSON.
+    with whom. A reader who flags nothing is one row without a direction, so
+    that it counts among the readers. Values may be of any kind and stay JSON.
     """
     wrapped = F.when(F.btrim(column).startswith("["), F.concat(F.lit('{"list":'), F.col(column), F.lit("}"))).otherwise(F.col(column))
     x = F.from_json(wrapped, _FILE, {"mode": "PERMISSIVE"})
     own = F.coalesce(x["list"], x["judgments"], x["findings"])
     fine = F.when(own.isNotNull() & ~F.exists(own, lambda j: j["direction"].isNull()), own).otherwise(F.raise_error(F.concat(*(y for k in keep for y in (F.col(k).cast("string"), F.lit(": "))), F.lit(_REFUSED))))
-    return records.select(*keep, F.explode(fine).alias("j")).select(*keep, "j.*")
+    return records.select(*keep, F.explode_outer(fine).alias("j")).select(*keep, "j.*")
 
 
-def judgment_files(spark: SparkSession, path: str) -> DataFrame:
+def judgment_files(spark: SparkSession, path: str | Sequence[str], documents: DataFrame | None = None) -> DataFrame:
     """Judgments of ``<document>.<reader>.json`` beside a document, or ``<document>/<reader>.json`` in a folder named after it.
 
-    (document, reader, ...): both names come from the paths. A file found
-    twice is read once.
+    (folder, document, reader, reader_at, ...): all names come from the paths,
+    ``folder`` being where the document would lie, so that documents of one
+    name in two folders stay two. ``reader_at`` is the reader's place among its
+    document's files by name. A file found twice is read once; with
+    ``documents`` (document), files of others are not looked into.
     """
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("json")).distinct()
     stem = F.regexp_extract("p", r"([^/]+)\.json$", 1)
     dotted = stem.rlike(r"^[^.].*\.[^.]+$")
-    folder = F.regexp_extract("p", r"([^/]+)/[^/]+\.json$", 1)
-    document = F.when(dotted, F.regexp_replace(stem, r"\.[^.]+$", "")).otherwise(folder)
+    document = F.when(dotted, F.regexp_replace(stem, r"\.[^.]+$", "")).otherwise(F.regexp_extract("p", r"([^/]+)/[^/]+\.json$", 1))
+    folder = F.when(dotted, F.regexp_extract("p", r"^(.*)/[^/]+$", 1)).otherwise(F.regexp_extract("p", r"^(.*)/[^/]+/[^/]+$", 1))
     reader = F.when(dotted, F.element_at(F.split(stem, r"\."), -1)).otherwise(stem)
-    return parsed_judgments(files.select(document.alias("document"), reader.alias("reader"), "json"), ("document", "reader"))
+    named = files.select(folder.alias("folder"), document.alias("document"), reader.alias("reader"), "p", "json")
+    named = named if documents is None else named.join(documents.select("document").distinct(), "document", "left_semi")
+    own = Window.partitionBy("folder", "document").orderBy("p")
+    return parsed_judgments(named.withColumn("reader_at", F.row_number().over(own)), ("folder", "document", "reader", "reader_at"))
 
 
 def readers_of(judgments: object) -> list[tuple[str, list[dict]]]:
@@ -95,9 +117,9 @@ def readers_of(judgments: object) -> list[tuple[str, list[dict]]]:
 
 def judgment_rows(spark: SparkSession, judgments: object, doc_id: object) -> DataFrame:
     """The readers of ``readers_of`` on one document as rows of judgments."""
-    rows = [(doc_id, name, json.dumps(records)) for name, records in readers_of(judgments)]
+    rows = [(doc_id, name, k + 1, json.dumps(records)) for k, (name, records) in enumerate(readers_of(judgments))]
     kind = "long" if isinstance(doc_id, int) else "string"
-    return parsed_judgments(spark.createDataFrame(rows, f"doc_id {kind}, reader string, json string"))
+    return parsed_judgments(spark.createDataFrame(rows, f"doc_id {kind}, reader string, reader_at int, json string"), ("doc_id", "reader", "reader_at"))
 
 
 def rules_from(path_or_rules: str | Sequence[dict]) -> tuple[Rule, ...]:
@@ -118,6 +140,16 @@ def rules_from(path_or_rules: str | Sequence[dict]) -> tuple[Rule, ...]:
     return tuple(Rule(r["id"], r["tier"], r["message"], tuple(r["patterns"]), r.get("weight")) for r in records)
 
 
+def metrics_from(path: str | None = None) -> dict[str, float]:
+    """The numbers that detectors share: those of a catalogue's file where it has them, else the built-in ones."""
+    own = {}
+    if path is not None:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        own = found.get("metrics", {}) if isinstance(found, dict) else {}
+    return {**METRICS, **own}
+
+
 def baseline_from(spark: SparkSession, path: str) -> DataFrame:
     """A baseline as ``operators.readers.pooled`` makes it, from JSON lines of it, or of readings that are pooled here."""
     from ..operators.readers import pooled
