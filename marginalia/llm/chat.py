@@ -67,6 +67,7 @@ def _with_input(of: Callable[[str], Column]) -> Column:
 _ROLES = {"human": "user", "user": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "assistant": "assistant", "system": "system"}
 #: Layouts: the field paths of each, and how they become turns.
 LAYOUTS: dict[str, tuple[tuple[str, ...], Callable]] = {
+    "turn-rows": (("turn", "role", "text"), lambda of: F.array(_turn(of("role"), of("text")))),
     "messages": (("messages[].role", "messages[].content"), _listed("messages", "role", "content")),
     "shared": (("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
     "prompt-response": (("prompt", "response"), _said(("user", "prompt"), ("assistant", "response"))),
@@ -86,15 +87,23 @@ def _names() -> Column:
     return F.create_map(*(F.lit(x) for kv in _ROLES.items() for x in kv))
 
 
+def _top(path: str) -> str:
+    return path.split("[")[0].split(".")[0].lower()
+
+
 def layout_of(df: DataFrame) -> str:
-    """The layout whose fingerprint the columns of ``df`` have, besides columns that no layout knows; else an error."""
-    known = {p.split("[")[0].split(".")[0] for paths, _ in LAYOUTS.values() for p in paths} | set(TURN_ROWS[1:])
-    if {c.lower() for c in df.columns} >= set(TURN_ROWS):
-        return "turn-rows"
-    paths = [p for p in field_paths(df.schema) if p.split("[")[0].split(".")[0].lower() in known]
+    """The layout that the nested fields of ``df`` have, told by fingerprint; else an error.
+
+    The paths below the columns that a layout names are hashed; the hash must
+    be a layout's, so a list of other fields than the layout's is none. Other
+    columns may stand beside them. Of layouts that fit, that of most paths
+    counts, then the first.
+    """
+    paths = field_paths(df.schema)
+    marks = (fingerprint(p for p in paths if _top(p) in {_top(x) for x in own}) for own, _ in sorted(LAYOUTS.values(), key=lambda x: -len(x[0])))
     try:
-        return BY_FINGERPRINT[fingerprint(paths)]
-    except KeyError:
+        return next(BY_FINGERPRINT[m] for m in marks if m in BY_FINGERPRINT)
+    except StopIteration:
         raise ValueError(f"no layout has the fields {sorted(paths)}") from None
 
 
@@ -113,18 +122,34 @@ def turn_rows(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 def json_turn_rows(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, layout, turn, role, text) of JSON records, each in a layout of its own.
 
-    A record's fingerprint is the hash of the paths that it fills; it selects
-    the layout. A record with none that fits, or that is no JSON, is one row
-    with null layout, turn, role and text, so that nothing goes unseen.
+    A record's fingerprint is the hash of the nested paths that it fills, as
+    its own JSON has them; it selects the layout. A record with none that fits
+    (messages with other fields than the layout's too), or that is no JSON, is
+    one row with null layout, turn, role and text, so that nothing goes unseen.
+    Fields that no layout knows don't matter.
     """
-    parsed = df.select(F.col(conv_id).alias("conv_id"), F.from_json(F.col(record), RECORD).alias("r"))
-    kind = parsed.schema["r"].dataType
-    there = [F.when(F.col(f"r.`{p.split('[')[0]}`").isNotNull(), F.lit(p.lower())) for p in sorted(field_paths(kind))]
-    mark = F.sha2(F.concat_ws("\n", F.array_sort(F.array_compact(F.array(*there)))), 256)
+    seen = df.select(F.col(conv_id).alias("conv_id"), F.from_json(F.col(record), RECORD).alias("r"), F.try_parse_json(F.col(record)).alias("v"))
+    fields = sorted({_top(p) for paths, _ in LAYOUTS.values() for p in paths} - set(TURN_ROWS))
+    mark = F.sha2(F.concat_ws("\n", F.array_sort(F.flatten(F.array(*map(_paths_in, fields))))), 256)
     name = F.try_element_at(F.create_map(*(F.lit(x) for kv in BY_FINGERPRINT.items() for x in kv)), mark)
     of = lambda field: F.col(f"r.`{field}`")
-    turns = F.coalesce(*(F.when(F.col("layout") == n, _turns(n, of)) for n in LAYOUTS))
-    return parsed.withColumn("layout", name).select("conv_id", "layout", F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+    turns = F.coalesce(*(F.when(F.col("layout") == n, _turns(n, of)) for n in LAYOUTS if n != "turn-rows"))
+    return seen.withColumn("layout", name).select("conv_id", "layout", F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+
+
+def _paths_in(field: str) -> Column:
+    """Paths that a JSON record ``v`` fills below one field: none if it is missing or null.
+
+    Texts are paths as they are. What a layout can't read (a number, a list of
+    lists, a message in parts) has its type behind it, so that no layout's
+    fingerprint has it; an empty list has the paths that layouts give its name.
+    """
+    own = sorted({p for paths, _ in LAYOUTS.values() for p in paths if _top(p) == field})
+    kind = F.replace(F.schema_of_variant(F.try_variant_get(F.col("v"), f"$.{field}", "variant")), F.lit("`"), F.lit(""))
+    inner = F.regexp_extract(kind, r"^ARRAY<OBJECT<((?:\w+: (?:STRING|VOID)(?:, )?)+)>>$", 1)
+    listed = F.transform(F.split(inner, ", "), lambda p: F.concat(F.lit(f"{field}[]."), F.lower(F.substring_index(p, ": ", 1))))
+    none = F.array().cast("array<string>")
+    return F.when(kind.isNull() | (kind == "VOID"), none).when(kind == "STRING", F.array(F.lit(field))).when(kind == "ARRAY<VOID>", F.array(*map(F.lit, own))).when(inner != "", listed).otherwise(F.array(F.concat(F.lit(f"{field}:"), kind)))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -133,19 +158,23 @@ def formatted(turns: DataFrame) -> DataFrame:
     ``loss`` holds the spans (code points, end exclusive) of what assistants
     say, escapes included, marks not. Turns are in the order of turn, role and
     text, nulls first; a null text is empty, a null role is one without a
-    name, null conv_ids are one conversation. Places are running sums before
+    name. A row without a conv_id is a conversation of its own, so that such
+    rows, however many, are no group. Places are running sums before
     grouping, so a long conversation costs no more per turn than a short one;
     a row that repeats is a turn that repeats.
     """
     head, text = F.concat(F.lit(START), _role_in(F.col("role")), F.lit("\n")), escaped(F.coalesce("text", F.lit("")))
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), head.alias("head"), text.alias("body"))
     rows = rows.withColumn("size", F.length("head") + F.length("body") + len(STOP))
-    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("nth", F.row_number().over(own)).withColumn("stop", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - len(STOP))
     said = F.when(F.col("role") == "assistant", F.struct((F.col("stop") - F.length("body")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))
-    one = F.struct("nth", F.concat("head", "body", F.lit(STOP)).alias("piece"), said.alias("said"))
-    grouped = rows.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return grouped.select("conv_id", F.array_join("t.piece", "").alias("formatted"), F.array_compact("t.said").alias("loss"))
+    piece = F.concat("head", "body", F.lit(STOP))
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.where("conv_id is not null").withColumn("nth", F.row_number().over(own)).withColumn("stop", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - len(STOP))
+    one = F.struct("nth", piece.alias("piece"), said.alias("said"))
+    grouped = placed.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    out = grouped.select("conv_id", F.array_join("t.piece", "").alias("formatted"), F.array_compact("t.said").alias("loss"))
+    alone = rows.where("conv_id is null").withColumn("stop", F.col("size") - len(STOP))
+    return out.unionByName(alone.select("conv_id", piece.alias("formatted"), F.array_compact(F.array(said)).alias("loss")))
 
 
 def read_back(out: DataFrame) -> DataFrame:

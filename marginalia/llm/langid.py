@@ -13,11 +13,15 @@ from .shared import by_row, hash_sample_by, unused, with_text_verdict
 
 #: Cells that byte n-grams of one to three bytes are hashed to.
 CELLS = 1 << 12
-#: A text without a letter has no language.
-LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; signs of numbers, such as a half or a small two, are none."""
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
+
+
 def profile(text: str) -> np.ndarray:
     """Unit vector of the square roots of hashed n-gram counts of the whole text in lower case."""
     b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
@@ -72,11 +76,14 @@ class Coder:
     def decide(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous): ``und``, 0 and True for null texts and texts without a letter.
 
+        Where no language was learned, texts with a letter are ``und`` too, but not ambiguous.
         The score is the share of the nearest codeword when losses are turned
         to weights; a text is ambiguous if the second has over 0.45 of it all.
         """
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not has_letter(text):
             return UNDETERMINED, 0.0, True
+        if not self.languages:
+            return UNDETERMINED, 0.0, False
         loss = self.losses(profile(text)[None])[0]
         share = np.exp(self.sharp * (loss.min() - loss))
         share /= share.sum()
@@ -90,23 +97,27 @@ def _snippets(text: str) -> list[str]:
     return [text] + [text[a : a + size] for a, size in ((n * 37 % max(1, n - 30), 30), (n * 53 % max(1, n - 80), 80))] * (n > 90)
 
 
-def fit(docs: DataFrame, train_rows: int = 2400, rounds: int = 150) -> Coder:
+def fit(docs: DataFrame, train_rows: int = 2400, rounds: int = 150, most_languages: int = 256) -> Coder:
     """A ``Coder`` learned from (doc_id, text, lang) rows with text and lang.
 
     About ``train_rows`` rows in equal parts, but 200 for each language at
     least, are learned from, a sample by a hash of the doc_id taken in one
     pass; profiles are made in Spark's tasks and the driver holds three times
-    so many rows of ``CELLS`` small numbers. Languages may be up to a few hundred.
+    so many rows of ``CELLS`` small numbers. Languages are the
+    ``most_languages`` values of lang with the most rows (ties by name), so
+    that a column of stray values has a bound too. Rows that repeat a doc_id
+    are in the sample together or not at all; without a text and lang nothing
+    is learned.
     """
     rows = docs.where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return Coder([], codewords(0), np.zeros((CELLS, 1), np.float32), np.zeros(1), np.ones(1))
     some = hash_sample_by(rows, F.col("doc_id"), "lang", sizes, max(200, train_rows // len(languages)))
 
     def profiles(x: dict) -> dict:
-        kept = [(lang, profile(piece)) for text, lang in zip(x["text"], x["lang"]) if LETTER.search(text) for piece in _snippets(text)]
+        kept = [(lang, profile(piece)) for text, lang in zip(x["text"], x["lang"]) if has_letter(text) for piece in _snippets(text)]
         return {"lang": [k for k, _ in kept], "cells": [np.rint(p * 255).astype(np.uint8).tobytes() for _, p in kept]}
 
     got = by_row(some, ["text", "lang"], "lang string, cells binary", profiles).collect()
@@ -148,6 +159,9 @@ def identify(docs: DataFrame, coder: Coder) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, coder: Coder) -> DataFrame:
-    """``docs``, all columns as they are, without the rows that have no language or an ambiguous one."""
+    """``docs``, all columns as they are, without the rows that have no language or an ambiguous one.
+
+    Null texts and texts without a letter go; if the coder has learned no language, all others stay.
+    """
     shared, mark = docs.sparkSession.sparkContext.broadcast(coder), unused("ambiguous", docs.columns)
     return with_text_verdict(docs, f"{mark} boolean", lambda texts: {mark: [shared.value.decide(t)[2] for t in texts]}).where(~F.col(mark)).drop(mark)

@@ -123,25 +123,28 @@ def _taken(docs: DataFrame, weights: Sequence[float], share: float, most: float,
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source): ``keep`` and size, source_size, target, taken.
+    """One row for each row of ``docs`` (doc_id, text, source): ``keep`` and size, source_size, target, taken, first_slot, n_pieces.
 
     A source's rows lie on a line in the order of an md5 of seed and doc_id;
     running sums by ranges of that hash, then within a range, give each its
     words on the line, at the same cost for a source of any size. The line is
     gone along at most ``most`` (up to 2) times. Each slot of the schedule
     takes a block of its source's line; a row's ``taken`` are the words of its
-    own that slots took (``pieces`` lists them), never more than twice its size. DataFrame operations only; the same
+    own that slots took (``pieces`` lists them), never more than twice its size;
+    ``first_slot`` is where in the mix it first comes, null for one that no slot
+    takes, and ``n_pieces`` in how many pieces. DataFrame operations only; the same
     rows give the same result. Null texts have size 0, null sources are one
     source, an empty table gives no rows. Columns of ``docs`` not in ``keep``
-    are not looked at; ``keep`` may not name one of the four.
+    are not looked at; ``keep`` may not name one of the added ones.
     """
     placed, took, kept = _taken(docs, weights, share, most, block_words, seed, keep)
-    out = placed.join(took.groupBy("src", "range", "nth").agg(F.sum(F.col("last") - F.col("first")).alias("taken")), ["src", "range", "nth"], "left")
-    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept)), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = placed.join(took.groupBy("src", "range", "nth").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces")), ["src", "range", "nth"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept)), "size", "source_size", "target", zero("taken"), F.col("first_slot").cast("long").alias("first_slot"), zero("n_pieces"))
 
 
 def pieces(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The rows of ``mix``, which takes the same arguments, with ``pieces`` behind: (slot, place, turn, first, last) of all that slots take of a row.
+    """(keep, size, source_size, target, taken) as ``mix``, which takes the same arguments, with ``pieces`` behind: (slot, place, turn, first, last) of all that slots take of a row.
 
     The order of the mix is that of (slot, place), place being where a piece
     begins on its source's line of two turns. A piece is the row's words from

@@ -37,8 +37,17 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, cap / w AS fill, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(lv, fill) FROM l WHERE lv <= fill))::DOUBLE AS target FROM l),
-c AS (SELECT r.*, source_size, target, floor(target) AS stop, coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(a + size, stop) - a) + greatest(0, least(a + source_size + size, stop) - a - source_size))::BIGINT AS taken FROM c"""
+c AS (SELECT r.*, source_size, target, floor(target) AS stop, coalesce('s' || r.source, 'n') AS src, coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, row_number() OVER () AS id FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+-- the slots: van der Corput points of a binary fraction each, by the source in whose share of the line of targets they lie
+q AS (SELECT coalesce('s' || source, 'n') AS src, target, (SELECT sum(target) FROM t WHERE target >= 1) AS total FROM t WHERE target >= 1),
+k AS (SELECT *, greatest(4, ceil(log2(greatest(1.0, total / 8192))))::INT AS m, sum(target) OVER (ORDER BY src) AS high, row_number() OVER (ORDER BY src) AS nth, lead(src) OVER (ORDER BY src) AS next FROM q),
+e AS (SELECT *, 1 << m AS points, ceil(coalesce(lag(high) OVER (ORDER BY src), 0.0) / total * (1 << m))::BIGINT AS j0, CASE WHEN next IS NULL THEN 1 << m ELSE least(ceil(high / total * (1 << m)), 1 << m) END::BIGINT AS j1 FROM k),
+p AS (SELECT src, target, greatest(j1 - j0, 1) AS slots, unnest(CASE WHEN j1 > j0 THEN list_transform(range(j0, j1), lambda j: list_sum(list_transform(range(m), lambda i: ((j >> i) & 1) << (m - 1 - i)))::BIGINT) ELSE [points + nth] END) AS slot FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM p),
+b AS (SELECT src, slot, floor(rank * target / slots) AS lo, CASE WHEN rank + 1 = slots THEN floor(target) ELSE floor((rank + 1) * target / slots) END AS hi FROM g),
+u AS (SELECT id, src, a + x AS st, least(a + x + size, stop) AS en FROM (SELECT *, unnest([0, source_size]) AS x FROM c WHERE size > 0) WHERE least(a + x + size, stop) > a + x),
+w2 AS (SELECT id, sum(least(en, hi) - greatest(st, lo))::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(*) AS n_pieces FROM u JOIN b ON u.src = b.src AND lo < en AND hi > st GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_pieces, 0) AS n_pieces FROM c LEFT JOIN w2 USING (id)"""
 
 _CONTROL = r"[<\[]\\*(/?s>|/?INST\]|</?SYS>>|\|[A-Za-z0-9_]+\|>)"
 OP10 = rf"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import table
 from . import chat, decontaminate, langid, mixing, pii, quality, rules, simhash, toxicity, urls
 from .shared import in_fold, written
 
@@ -15,10 +16,6 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 LISTED = tuple((f"{site}.example.{end}", "", "block") for site in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned outside fold 0 of 5; ``above_cut`` is the quantile threshold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -65,7 +62,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document."""
+    """The words that the mix takes of each document, and where in its schedule."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 

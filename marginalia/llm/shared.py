@@ -21,6 +21,10 @@ SAMPLE_STEPS = 1 << 24
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: Folders that `written` has made.
+_MADE: list[str] = []
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8: digits, letters in lower case and all beyond ASCII; null has none."""
     return (text or "").encode().translate(WORD_BYTES).split()
@@ -51,9 +55,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Deletes all tables that ``written`` has made so far; for use once nothing reads them any more."""
+    while _MADE:
+        removed(spark, _MADE.pop())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def unused(name: str, columns: Iterable[str]) -> str:
     """``name``, with underscores put before it until no column has it (Spark ignores case)."""
     taken = {c.lower() for c in columns}
@@ -73,7 +90,7 @@ def hash_sample(df: DataFrame, key: Column, rows: int, bound: int) -> DataFrame:
 def hash_sample_by(df: DataFrame, key: Column, by: str, sizes: dict[str, int], bound: int) -> DataFrame:
     """About ``bound`` rows of each value of ``by``, chosen like those of ``hash_sample`` in one pass; ``sizes`` has the rows of each value."""
     steps = {v: SAMPLE_STEPS if n <= bound else max(1, int(SAMPLE_STEPS * bound / n)) for v, n in sizes.items()}
-    own = F.element_at(F.create_map(*(F.lit(x) for kv in steps.items() for x in kv)), F.col(by))
+    own = F.try_element_at(F.create_map(*(F.lit(x) for kv in steps.items() for x in kv)), F.col(by))
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(SAMPLE_STEPS)) < own)
 
 

@@ -107,10 +107,53 @@ def test_urls_edges(spark):
 
 
 def test_chat_edges(spark):
-    rows = [(1, 0, "user", None), (1, 1, None, "a"), (1, 1, None, "a"), (None, None, "assistant", "z"), (2, 0, "assistant", "y" * 200_000), (3, 0, "odd\nrole%0A", "")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("own"))
-    out = {r["conv_id"]: r for r in chat.read_back(chat.formatted(chat.turn_rows(turns))).collect()}
+    rows = [(1, 0, "user", None), (1, 1, None, "a"), (1, 1, None, "a"), (None, None, "assistant", "z"), (None, 1, "user", "q"), (2, 0, "assistant", "y" * 200_000), (3, 0, "odd\nrole%0A", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit("own"), "prompt": F.lit("own"), "messages": F.array(F.lit(1))})
+    rows = chat.read_back(chat.formatted(chat.turn_rows(turns))).collect()
+    out = {r["conv_id"]: r for r in rows if r["conv_id"] is not None}
+    # rows without an id are conversations of their own
+    assert sorted((r["turns"][0]["role"], r["loss_texts"]) for r in rows if r["conv_id"] is None) == [("assistant", ["z"]), ("user", [])]
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [("user", ""), ("", "a"), ("", "a")]
-    assert out[None]["loss_texts"] == ["z"] and out[2]["loss_texts"] == ["y" * 200_000]
+    assert out[2]["loss_texts"] == ["y" * 200_000]
     assert out[3]["turns"][0]["role"] == "odd\nrole%0A"
     assert chat.formatted(turns.where("false").select("conv_id", "turn", "role", "text")).count() == 0
+
+
+def test_layouts_are_told_by_nested_paths(spark, monkeypatch):
+    import json
+
+    records = [
+        {"messages": [{"from": "human", "value": "q"}]},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}]},
+        {"messages": [{"role": "user", "content": "q", "name": "x"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}], "id": 3, "source": "s"},
+        {"messages": []},
+        {"prompt": 5, "response": "a"},
+        {"prompt": "p", "response": "a", "system": None},
+        [1],
+    ]
+    d = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)] + [(8, None), (9, "")], "conv_id long, record string")
+    got: dict = {}
+    for r in chat.json_turn_rows(d).orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["layout"], r["role"], r["text"]))
+    assert [k for k in range(10) if got[k] == [(None, None, None)]] == [0, 1, 2, 5, 7, 8, 9]
+    assert got[3] == [("shared", "user", "q"), ("shared", "assistant", None)] and got[4] == [("messages", None, None)]
+    assert got[6] == [("prompt-response", "user", "p"), ("prompt-response", "assistant", "a")]
+    with pytest.raises(ValueError):
+        chat.turn_rows(spark.createDataFrame([(1, [("human", "q")])], "conv_id long, messages array<struct<`from`:string,value:string>>"))
+    # no layout is chosen but by its fingerprint
+    turns = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    assert chat.layout_of(turns) == "turn-rows"
+    monkeypatch.setattr(chat, "BY_FINGERPRINT", {})
+    with pytest.raises(ValueError):
+        chat.turn_rows(turns)
+
+
+def test_what_has_no_letter_has_no_language(spark):
+    coder = langid.fit(spark.createDataFrame([(k, "the cat", "en") for k in range(5)] + [(9, "die Katze", "de")], "doc_id long, text string, lang string"))
+    assert [coder.decide(t)[0] for t in ("\u00bd \u00b2 12", "\u2160 \u0660", "", None)][:1] == ["und"]
+    assert coder.decide("\u00bd a")[0] != "und" and coder.decide(None) == ("und", 0.0, True)
+    many = spark.createDataFrame([(k, "abc def", f"l{k % 40:02d}") for k in range(200)], "doc_id long, text string, lang string")
+    assert langid.fit(many, most_languages=3).languages == ["l00", "l01", "l02"]
+    unknown = many.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unknown, langid.fit(unknown)).count() == 200
