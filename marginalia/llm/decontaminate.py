@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_row, unused, with_text_verdict, words
+from .shared import by_row, unused, with_text_verdict, words, written
+
 
 @dataclass
 class Suite:
-    """A block of test items: word numbers (from 1) of all items, 0 behind each, and their distinct windows."""
+    """A block of test items: word numbers (from 1) of all items, 0 behind each, and their distinct windows.
+
+    ``places``, ``rest`` and ``items`` are of all windows, repeats included:
+    where each begins, how many words its item still has from there, and the item.
+    """
 
     ids: list[int | None]
     numbers: dict[bytes, int]
@@ -23,6 +31,9 @@ class Suite:
     windows: np.ndarray
     lengths: np.ndarray
     owners: list[tuple[int, ...]]
+    places: np.ndarray
+    rest: np.ndarray
+    items: np.ndarray
     depth: int
 
     @classmethod
@@ -30,7 +41,7 @@ class Suite:
         parts = [(i, words(t)) for i, t in items]
         parts = [(i, w) for i, w in parts if w]
         numbers: dict[bytes, int] = {}
-        tokens, starts, sizes, owners = [], [], [], {}
+        tokens, starts, sizes, owners, places = [], [], [], {}, []
         for k, (_, w) in enumerate(parts):
             own = [numbers.setdefault(x, len(numbers) + 1) for x in w]
             at, n = len(tokens), min(window, len(own))
@@ -38,8 +49,9 @@ class Suite:
             tokens += [*own, 0]
             for o in range(len(own) - n + 1):
                 owners.setdefault(tuple(own[o : o + n]), (at + o, n, set()))[2].add(k)
+                places.append((at + o, len(own) - o, k))
         found = list(owners.values())
-        return cls([i for i, _ in parts], numbers, np.array(tokens, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64), np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64), [tuple(sorted(f[2])) for f in found], max([1, *sizes]))
+        return cls([i for i, _ in parts], numbers, np.array(tokens, np.int64), np.array(starts, np.int64), np.array(sizes, np.int64), np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64), [tuple(sorted(f[2])) for f in found], *np.array(places, np.int64).reshape(-1, 3).T, max([1, *sizes]))
 
 
 def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Suite]:
@@ -160,6 +172,37 @@ class Shard:
             out.append((int(item[k]), int(q[k] - suite.starts[item[k]]), int(best[k]), doc, int(place - self.first[doc])))
         return out
 
+    def longest_of_each(self, suite: Suite) -> dict[int, tuple[int, int, int, int]]:
+        """By document: (words, item, start in it, start in the document) of its longest match; ties go to the first place, then item.
+
+        Each test suffix that begins a window is searched for; of the places
+        where it occurs only those are compared on whose word before differs,
+        since all others are inside a longer match.
+        """
+        best: dict[int, tuple[int, int, int, int]] = {}
+        if not len(self.text) or not len(suite.places):
+            return best
+        n = np.minimum(suite.rest, suite.lengths.max())
+        args = (self.text, self.order, suite.tokens, suite.places, n)
+        low, high = bounds(*args, above=False), bounds(*args, above=True)
+        for k in np.flatnonzero(low < high):
+            q, at = suite.places[k], self.order[low[k] : high[k]]
+            if q and suite.tokens[q - 1]:
+                at = at[(at == 0) | (self.text[at - 1] != suite.tokens[q - 1])]
+            if not len(at):
+                continue
+            same, _ = _compare(self.text, at, suite.tokens, np.full(len(at), q), np.full(len(at), suite.rest[k]))
+            where = self.places[at]
+            docs = np.searchsorted(self.first, where, "right") - 1
+            item = int(suite.items[k])
+            start = int(q - suite.starts[item])
+            for d, m, w in zip(docs.tolist(), same.tolist(), (where - self.first[docs]).tolist()):
+                now = (m, item, start, w)
+                old = best.get(d)
+                if old is None or (-m, w, item, start) < (-old[0], old[3], old[1], old[2]):
+                    best[d] = now
+        return best
+
     def hits(self, suite: Suite) -> list[tuple[list[tuple[int, int]], set[int]]]:
         """For each document the merged word spans inside windows that occur, and the items these come from."""
         cover, items = np.zeros(self.whole + 1, np.int64), [set() for _ in self.sizes]
@@ -177,60 +220,80 @@ class Shard:
         return list(zip(spans, items))
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+#: What `marked` adds: word count, hit spans, ids of items, and the longest match; {} stands for the type of item_id.
+_ADDED = {"n_words": "long", "spans": "array<struct<a:int,b:int>>", "items": "array<{0}>", "longest": "struct<n_words:int,item_id:{0},item_start:int,doc_start:int>"}
+
+
+def _finder(shared: Broadcast) -> Callable[[list], dict[str, list]]:
+    """Texts to the values of ``_ADDED``, against the suite that is broadcast."""
+
+    def find(texts: list) -> dict[str, list]:
+        suite = shared.value
+        shard = Shard(texts, suite)
+        got, best = shard.hits(suite), shard.longest_of_each(suite)
+        one = lambda m: None if m is None else {"n_words": m[0], "item_id": suite.ids[m[1]], "item_start": m[2], "doc_start": m[3]}
+        return {"n_words": shard.sizes, "spans": [[{"a": a, "b": b} for a, b in s] for s, _ in got], "items": [sorted({suite.ids[k] for k in i if suite.ids[k] is not None}) for _, i in got], "longest": [one(best.get(d)) for d in range(len(texts))]}
 
+    return find
 
-def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, names: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
-    """``docs`` with its word count, the hit spans (words from 0, end exclusive) and the ids of items found.
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, names: dict[str, str]) -> DataFrame:
+    """``docs`` with the columns of ``_ADDED`` behind, called ``names``.
+
+    One block of items is a pass in the scan's own tasks. More blocks are
+    broadcast, searched for and let go of one by one: the digests of texts
+    with hits, each once, and what was found are written; at the end they are
+    put together and joined to the rows, so neither the plan nor what is held
+    in memory grows with the benchmark.
+    """
+    spark, item = docs.sparkSession, dict(benchmark.dtypes)["item_id"]
+    types = {k: v.format(item) for k, v in _ADDED.items()}
+    schema = lambda own: ", ".join(f"{own[k]} {types[k]}" for k in types)
+    rename = lambda f, own: lambda texts: {own[k]: v for k, v in f(texts).items()}
+    suites = blocks(benchmark, window, block_words)
+    first = next(suites, None)
+    second = next(suites, None) if first is not None else None
+    if second is None:
+        shared = spark.sparkContext.broadcast(first or Suite.of([], window))
+        return with_text_verdict(docs, schema(names), rename(_finder(shared), names))
+    digest, parts = unused("digest", [*docs.columns, *names.values()]), []
+    for k, suite in enumerate(chain((first, second), suites)):
+        shared = spark.sparkContext.broadcast(suite)
+        found = with_text_verdict(docs.select("text"), schema({k: k for k in types}), _finder(shared)).where(F.size("spans") > 0)
+        parts.append(written(found.select(F.md5("text").alias(digest), F.lit(k).alias("block"), "spans", "items", "longest").dropDuplicates([digest]), "hits"))
+        shared.unpersist()
+    every = reduce(DataFrame.unionByName, parts).groupBy(digest).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min(F.struct(-F.col("longest.n_words"), "longest.doc_start", "block", "longest")).alias("longest"))
+    ready = every.select(digest, _merged(F.col("spans")).alias(names["spans"]), F.col("items").alias(names["items"]), F.col("longest.longest").alias(names["longest"]))
+    counted = with_text_verdict(docs, f"{names['n_words']} long", lambda texts: {names["n_words"]: [len(words(t)) for t in texts]})
+    out = counted.withColumn(digest, F.md5("text")).join(ready, digest, "left").drop(digest)
+    empty = lambda c: F.coalesce(F.col(names[c]), F.array().cast(types[c]))
+    return out.withColumns({names[c]: empty(c) for c in ("spans", "items")}).select(*docs.columns, *names.values())
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
+    """(doc_id, n_words, spans, items, longest) for each row of ``docs`` (doc_id, text), against ``benchmark`` (item_id, text).
 
     A window is ``window`` words of an item in a row, or all words of a
-    shorter one; spans are what windows that occur cover, merged. Items come in
-    blocks of about ``block_words`` words, so what is broadcast has a bound;
-    each block is one more pass over the rows in the same tasks, without a
-    shuffle. Null and empty texts have no words and no hits; an item without
-    words has no windows; items with a null id hit words but are not listed.
-    A document's own columns stay, so names of the added ones must be new.
+    shorter one; ``spans`` (words from 0, end exclusive) are what windows that
+    occur cover, merged; ``items`` the ids of items found, sorted, each once.
+    ``longest`` is the longest verbatim match of a test suffix that begins a
+    window: its words, item, and where it begins in both; null without a hit,
+    and ties go to the first place, then the first item. Null and empty texts
+    have no words and no hits; an item without words has no windows; items
+    with a null id hit words but are not listed. item_id may be of any type
+    that sorts. Other columns, whatever their names, are not looked at; an
+    empty table gives no rows.
     """
-    n, spans, items = names
-    out, context = docs, docs.sparkSession.sparkContext
-    empty = f"{n} long, {spans} array<struct<a:int,b:int>>, {items} array<long>"
-    passes = 0
-    for suite in blocks(benchmark, window, block_words):
-        shared = context.broadcast(suite)
-
-        def find(texts: list, shared=shared) -> dict:
-            own = shared.value
-            shard = Shard(texts, own)
-            got = shard.hits(own)
-            return {n: shard.sizes, spans: [[{"a": a, "b": b} for a, b in s] for s, _ in got], items: [[own.ids[k] for k in sorted(i) if own.ids[k] is not None] for _, i in got]}
-
-        if not passes:
-            out = with_text_verdict(out, empty, find)
-        else:
-            more = [unused(f"{x}_{passes}", out.columns) for x in names]
-            named = dict(zip(names, more))
-            step = with_text_verdict(out, f"{more[0]} long, {more[1]} array<struct<a:int,b:int>>, {more[2]} array<long>", lambda t, find=find, named=named: {named[k]: v for k, v in find(t).items()})
-            out = step.withColumn(spans, _merged(F.concat(spans, more[1]))).withColumn(items, F.array_union(items, more[2])).drop(*more)
-        passes += 1
-    if not passes:
-        out = with_text_verdict(out, empty, lambda texts: {n: [len(words(t)) for t in texts], spans: [[] for _ in texts], items: [[] for _ in texts]})
-    return out.withColumn(items, F.array_distinct(items))
-
-
-def _merged(spans):
+    return _marked(docs.select("doc_id", "text"), benchmark, window, block_words, {k: k for k in _ADDED}).drop("text")
+
+
+def _merged(spans: Column) -> Column:
     """Sorted spans with those that touch put together, as a fold over the array."""
     kind = "array<struct<a:int,b:int>>"
 
-    def put(done, s):
-        last = F.element_at(done, -1)
-        touches = (F.size(done) > 0) & (s["a"] <= F.try_element_at(done, F.lit(-1))["b"])
+    def put(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        touches = (F.size(done) > 0) & (s["a"] <= last["b"])
         wider = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
         return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s))).cast(kind)
 
@@ -244,7 +307,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
     task reads at once; the longest of all shards is a maximum over its rows.
     """
     kind, out = dict(docs.dtypes)["doc_id"], None
-    schema = f"item_id long, item_start int, n_words int, doc_id {kind}, doc_start int"
+    schema = f"item_id {dict(benchmark.dtypes)['item_id']}, item_start int, n_words int, doc_id {kind}, doc_start int"
     for suite in blocks(benchmark, window, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(suite)
 
@@ -258,6 +321,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
-    """``docs``, all columns as they are, without the rows that hold a window of an item."""
-    names = tuple(unused(x, docs.columns) for x in ("n_words", "spans", "items"))
-    return marked(docs, benchmark, window, block_words, names).where(F.size(names[1]) == 0).drop(*names)
+    """``docs``, all columns as they are, without the rows that hold a window of an item; null and empty texts stay."""
+    names = {k: unused(k, docs.columns) for k in _ADDED}
+    return _marked(docs, benchmark, window, block_words, names).where(F.size(names["spans"]) == 0).drop(*names.values())

@@ -14,14 +14,20 @@ _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 OP3 = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
-items AS (SELECT item_id, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS n FROM (SELECT *, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+items AS (SELECT item_id, i, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS n FROM (SELECT *, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM items),
 wins AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, i, n, item_id FROM wins JOIN items USING (win, n)),
+hits AS (SELECT doc_id, wins.i, n, item_id, win FROM wins JOIN items USING (win, n)),
 marks AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+-- windows that follow each other in document and item are one match; a match's words are those of its windows together
+steps AS (SELECT h.doc_id, h.i AS p0, h.n, t.item_id, t.i AS o, h.i - t.i AS line FROM hits h JOIN items t USING (win, n, item_id)),
+runs AS (SELECT *, sum((prev IS NULL OR prev <> p0 - 1)::INT) OVER (PARTITION BY doc_id, item_id, n, line ORDER BY p0) AS run FROM (SELECT *, lag(p0) OVER (PARTITION BY doc_id, item_id, n, line ORDER BY p0) AS prev FROM (SELECT DISTINCT * FROM steps))),
+long AS (SELECT doc_id, n + count(*) - 1 AS words, min(p0) - 1 AS p0 FROM runs GROUP BY doc_id, item_id, n, line, run),
+most AS (SELECT doc_id, max(words) AS words FROM long GROUP BY doc_id),
+best AS (SELECT doc_id, words, min(p0) AS p0 FROM long JOIN most USING (doc_id, words) GROUP BY doc_id, words),
 found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN found USING (doc_id)"""
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(best.words, 0)::BIGINT AS longest_words, best.p0::BIGINT AS longest_at
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN marks USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 OP4 = f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://([^?#]*)', 1) ELSE '' END AS rest FROM pages),

@@ -35,17 +35,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each document is in windows of benchmark items, and of which items."""
-    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    out = decontaminate.marked(docs, benchmark)
+    """How much of each document is in windows of benchmark items, of which items, and the longest match."""
+    out = decontaminate.marked(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.coalesce("longest.n_words", F.lit(0)).cast("long").alias("longest_words"), F.col("longest.doc_start").cast("long").alias("longest_at"))
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then listed sites, for each page's url."""
-    return urls.judge(table(spark, sf_dir, "pages"), RULES, LISTED)
+    listed = spark.createDataFrame(LISTED, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), RULES, listed)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

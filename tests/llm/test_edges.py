@@ -22,7 +22,7 @@ ROWS = [
     (6, "12345 67890 ... !!! ", "en", "c", 3),
     (7, "Le renard brun saute par-dessus le chien paresseux et puis il dort 😀 bien.", "fr", "", 7),
 ]
-CLASHES = ["score", "fp", "row_hash", "spans", "items", "n_words", "taken", "size", "src", "ambiguous", "clean_text_", "bits", "kept", "component_id", "h", "range", "id"]
+CLASHES = ["longest", "digest", "score", "fp", "row_hash", "spans", "items", "n_words", "taken", "size", "src", "ambiguous", "clean_text_", "bits", "kept", "component_id", "h", "range", "id"]
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +54,7 @@ def operators(labels, benchmark):
     return {
         "quality": lambda d: quality.scored(d, quality.fit(d, labels)),
         "toxicity": lambda d: toxicity.scored(d, toxicity.fit(d, labels)),
-        "decontaminate": lambda d: decontaminate.marked(d.select("doc_id", "text"), benchmark),
+        "decontaminate": lambda d: decontaminate.marked(d, benchmark),
         "language": lambda d: langid.identify(d, langid.fit(d)),
         "rules": rules.judged,
         "mixing": mixing.mix,
@@ -157,3 +157,11 @@ def test_what_has_no_letter_has_no_language(spark):
     assert langid.fit(many, most_languages=3).languages == ["l00", "l01", "l02"]
     unknown = many.withColumn("lang", F.lit(None).cast("string"))
     assert langid.keep_identified(unknown, langid.fit(unknown)).count() == 200
+
+
+def test_items_of_any_type(spark, wide):
+    items = spark.createDataFrame([("b", "quick brown fox jumps"), ("a", "the lazy dog"), ("a", "the lazy dog")], "item_id string, text string")
+    for block in (500_000, 1):
+        got = {r["doc_id"]: r for r in decontaminate.marked(wide, items, 4, block).collect()}
+        assert got[1]["items"] == ["a", "b"] and tuple(got[1]["longest"]) == (4, "b", 0, 1) and got[2]["items"] == []
+        assert 1 not in {r["doc_id"] for r in decontaminate.remove_contaminated(wide, items, 4, block).collect()}

@@ -75,7 +75,7 @@ def test_decontamination_by_brute_force(spark):
     w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (500_000, 3):
-        got = {r["doc_id"]: (r["n_words"], [(s["a"], s["b"]) for s in r["spans"]], sorted(r["items"])) for r in decontaminate.marked(d, b, 4, block).collect()}
+        got = {r["doc_id"]: (r["n_words"], [(s["a"], s["b"]) for s in r["spans"]], sorted(r["items"]), r["longest"]) for r in decontaminate.marked(d, b, 4, block).collect()}
         for k, t in docs:
             own, hit, found = w(t), set(), set()
             for i, it in items:
@@ -88,6 +88,21 @@ def test_decontamination_by_brute_force(spark):
                             found.add(i)
             assert got[k][0] == len(own) and got[k][2] == sorted(found)
             assert {p for a, z in got[k][1] for p in range(a, z)} == hit
+            runs = []
+            for i, it in items:
+                x = w(it)
+                for o in range(len(x) - min(4, len(x)) + 1):
+                    for p in range(len(own)):
+                        n = 0
+                        while o + n < len(x) and p + n < len(own) and x[o + n] == own[p + n]:
+                            n += 1
+                        if n >= min(4, len(x)):
+                            runs.append((-n, p))
+            want = min(runs, default=None)
+            assert (want is None) == (got[k][3] is None) and (want is None or (-want[0], want[1]) == (got[k][3]["n_words"], got[k][3]["doc_start"]))
+            if want:
+                i, o, n, p = (got[k][3][c] for c in ("item_id", "item_start", "n_words", "doc_start"))
+                assert w(dict(items)[i])[o : o + n] == own[p : p + n]
 
 
 def test_longest_matches(spark):
@@ -309,12 +324,23 @@ def test_perplexity_by_brute_force(spark):
 
 
 def test_digests_confirm_strings(tmp_path):
-    names = urls.Digests.write([("a.com", "", "block"), ("b.com", "/x", "allow"), ("a.com", "", "allow")], str(tmp_path), "t")
+    names = urls.Digests.write(urls.Digests.arrays([("a.com", "", "block"), ("b.com", "/x", "allow"), ("a.com", "", "allow")]), str(tmp_path), "t")
     assert len(names) == 5
     d = urls.Digests(str(tmp_path), "t")
     assert d.longest([("www.a.com", "/q"), ("b.com", "/y"), ("x.b.com", "/xy"), ("", "")]) == [("a.com", "allow"), (None, None), ("b.com/x", "allow"), (None, None)]
 
 
+def test_a_list_is_packed_by_spark(spark):
+    n = 30_000
+    listed = spark.range(n).select(F.format_string("h%s.example", "id").alias("host"), F.when(F.col("id") % 5 == 0, "/p").alias("path"), F.when(F.col("id") % 7 == 0, "allow").otherwise("block").alias("verdict"))
+    listed = listed.unionByName(listed.where("host in ('h7.example', 'h1.example')").withColumn("verdict", F.lit("block"))).unionByName(spark.createDataFrame([(None, "/x", "block")], "host string, path string, verdict string"))
+    pages = spark.range(0, 2 * n, 3).select(F.col("id").alias("page_id"), F.format_string("http://www.h%s.example/p/q", "id").alias("url"))
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in urls.judge(pages, [], listed, block_entries=8_000).collect()}
+    for k in range(0, 2 * n, 3):
+        known = k < n
+        assert got[k] == ((f"h{k}.example" + "/p" * (k % 5 == 0), "allow" if k % 7 == 0 and k != 7 else "block") if known else (None, "allow"))
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 5, 9, 40])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)
