@@ -21,8 +21,12 @@ SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\r\x0b\x0c"
 #: Bytes of a gram of the highest order; six fit a long with room.
 ORDER = 5
-#: Rows of the model that are shipped to executors at most; a larger model is joined instead.
+#: Rows of the model that are shipped to executors at most; a larger model is joined instead, to the same results.
 SHIPPED = 4_000_000
+#: Median deviations of a language's bits that its band reaches to each side, and the least that one counts, in bits a byte.
+WIDE, LEAST_SPREAD = 8.0, 0.05
+#: Parts that texts are dealt to by their digests; each is scored by the model of the others.
+FOLDS = 2
 
 
 def repeated(numbers: np.ndarray, window: int = 8) -> int:
@@ -64,11 +68,22 @@ def grams(text: str, order: int = ORDER) -> np.ndarray:
     return out
 
 
+def language_key(lang: Column) -> Column:
+    """A language as a text that is never null: a null one is none of the values, ``und`` and the empty text included."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit("null"))
+
+
+def dealt_to_folds(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang, band, fold) of (doc_id, text, lang): the language's key, and a fold by the text, so that copies share one."""
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("string")
+    return docs.select("doc_id", "text", "lang", language_key(F.col("lang")).alias("band"), fold.alias("fold"))
+
+
 def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): how often each gram of ``order`` bytes stands in all texts of a language (null: ``und``).
+    """(lang, gram, n): how often each gram of ``order`` bytes stands in all texts of (text, lang) of a language.
 
     Tasks count what they read, piece by piece, and a sum follows; texts that
-    are null or empty have no grams.
+    are null or empty have no grams. ``lang`` may not be null: see ``language_key``.
     """
     ship(docs.sparkSession)
 
@@ -89,7 +104,7 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 by: dict[str, list] = {}
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if text:
-                        by.setdefault(lang or "und", []).append(grams(text, order))
+                        by.setdefault(lang, []).append(grams(text, order))
                 for lang, g in by.items():
                     g, n = np.unique(np.concatenate(g), return_counts=True)
                     own = held.setdefault(lang, [])
@@ -205,12 +220,12 @@ class Arrays:
         at = np.minimum(np.searchsorted(keys, wanted), b - a - 1)
         return np.where(keys[at] == wanted, _MAPPED[self.name][what][a:b][at], np.nan)
 
-    def log2_per_byte(self, text: str | None, lang: str | None) -> float | None:
+    def log2_per_byte(self, text: str | None, lang: str) -> float | None:
         """Bits that the model needs for a byte of the whole text; None for a text without bytes."""
         if not text:
             return None
         g, n = np.unique(grams(text, self.order), return_counts=True)
-        logp, lang, todo = np.zeros(len(g)), lang or "und", np.arange(len(g))
+        logp, todo = np.zeros(len(g)), np.arange(len(g))
         for size in range(self.order, 0, -1):
             own = g[todo] & ((1 << (8 * size)) - 1)
             found = self._find(lang, size, own, "logp")
@@ -228,55 +243,84 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def measured(docs: DataFrame, model: DataFrame, order: int = ORDER, shipped: int = SHIPPED) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits) for each row; bits is null for empty texts.
+    """(doc_id, lang, band, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits) of (doc_id, text, lang, band, key).
 
-    A model of at most ``shipped`` rows goes to the executors as arrays. A
-    larger one stays a table, and the texts' distinct grams are joined to it.
+    ``key`` is the model's language that a text is scored by; bits is null for
+    texts without bytes. A model of at most ``shipped`` rows goes to the
+    executors as arrays. A larger one stays a table, and the texts' distinct
+    grams are joined to it, order by order. Both ways fall back to shorter
+    grams by the same numbers, so that they give the same bits.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}"
-    base = lambda x: {"doc_id": x["doc_id"], "lang": x["lang"]} | dict(zip(_COUNTS, map(list, zip(*map(counted, x["text"])))))
+    columns = ["doc_id", "text", "lang", "band", "key"]
+    schema = f"doc_id {kind}, lang string, band string, {', '.join(f'{c} long' for c in _COUNTS)}"
+    base = lambda x: {c: x[c] for c in ("doc_id", "lang", "band")} | dict(zip(_COUNTS, map(list, zip(*map(counted, x["text"])))))
     if model.count() <= shipped:
         arrays = Arrays(*publish(model), order)
-        return by_row(docs, ["doc_id", "text", "lang"], schema + ", bits double", lambda x: base(x) | {"bits": [arrays.log2_per_byte(t, lang) for t, lang in zip(x["text"], x["lang"])]})
+        return by_row(docs, columns, schema + ", bits double", lambda x: base(x) | {"bits": [arrays.log2_per_byte(t, key) for t, key in zip(x["text"], x["key"])]})
 
     def cut(x: dict) -> dict:
         got = [np.unique(grams(t, order), return_counts=True) if t else (np.zeros(0, int), np.zeros(0, int)) for t in x["text"]]
-        return base(x) | {"grams": [[{"gram": a, "n": b} for a, b in zip(g.tolist(), n.tolist())] for g, n in got], "own": [hashlib.md5((t or "").encode()).hexdigest() for t in x["text"]]}
+        return base(x) | {"key": x["key"], "grams": [[{"gram": a, "n": b} for a, b in zip(g.tolist(), n.tolist())] for g, n in got], "own": [hashlib.md5((t or "").encode()).hexdigest() for t in x["text"]]}
 
-    rows = written(by_row(docs, ["doc_id", "text", "lang"], schema + ", grams array<struct<gram:long,n:long>>, own string", cut), "grams")
-    band = F.coalesce("lang", F.lit("und")).alias("band")
-    one = rows.groupBy("own", band).agg(F.first("grams").alias("grams")).select("own", "band", F.explode("grams").alias("g")).select("own", "band", "g.gram", "g.n")
-    top = model.where((F.col("size") == order) & F.col("logp").isNotNull()).select(F.col("lang").alias("band"), "gram", "logp")
-    bits = one.join(top, ["band", "gram"]).groupBy("own", "band").agg((-F.sum(F.col("logp") * F.col("n")) / F.log(F.lit(2.0)) / F.sum("n")).alias("bits"))
-    return rows.drop("grams").withColumn("band", F.coalesce("lang", F.lit("und"))).join(bits, ["own", "band"], "left").drop("own", "band")
+    rows = written(by_row(docs, columns, schema + ", key string, grams array<struct<gram:long,n:long>>, own string", cut), "grams")
+    one = rows.groupBy("own", "key").agg(F.first("grams").alias("grams")).select("own", "key", F.explode("grams").alias("g")).select("own", "key", "g.gram", "g.n")
+    bits = _backed_off(one, model, order).groupBy("own", "key").agg((-F.sum(F.col("logp") * F.col("n")) / F.log(F.lit(2.0)) / F.sum("n")).alias("bits"))
+    return rows.drop("grams").join(bits, ["own", "key"], "left").drop("own", "key")
 
 
-def bands(rows: DataFrame, wide: float = 16.0, shortest: int = 20) -> DataFrame:
-    """(lang, low, high): the median of a language's bits, and ``wide`` median deviations to each side.
+def _backed_off(grams: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(own, key, n, logp) for each row of (own, key, gram, n): from the longest order that has the gram, and the weights of falling back to it.
 
-    Rows of fewer than ``shortest`` words are left out, as their bits say
-    little. Medians are to within 0.1 % of the rows.
+    Each order is a join of the grams that no longer one had, so they are ever fewer.
+    """
+    single = lambda c: F.col(c).cast("float").cast("double").alias(c)  # noqa: E731 (as precise as the arrays)
+    known = model.select(F.col("lang").alias("key"), "size", F.col("gram").alias("short"), single("logp"), single("back"))
+    todo, done = grams.withColumn("so_far", F.lit(0.0)), None
+    for size in range(order, 0, -1):
+        at = known.where((F.col("size") == size) & F.col("logp").isNotNull()).select("key", "short", "logp")
+        met = written(todo.withColumn("short", _low_bytes(F.col("gram"), size)).join(at, ["key", "short"], "left"), f"backoff{size}")
+        found = met.where("logp is not null").select("own", "key", "n", (F.col("logp") + F.col("so_far")).alias("logp"))
+        done = found if done is None else done.unionByName(found)
+        backs = known.where((F.col("size") == size - 1) & F.col("back").isNotNull()).select("key", F.col("short").alias("behind"), "back")
+        rest = met.where("logp is null").withColumn("behind", F.shiftright("short", 8)).join(backs, ["key", "behind"], "left")
+        todo = rest.select("own", "key", "gram", "n", (F.col("so_far") + F.coalesce("back", F.lit(0.0))).alias("so_far"))
+    return done.unionByName(todo.select("own", "key", "n", (F.col("so_far") - F.log(F.lit(256.0))).alias("logp")))
+
+
+def bands(rows: DataFrame, wide: float = WIDE, least: float = LEAST_SPREAD) -> DataFrame:
+    """(band, low, high) of rows (band, bits): the median of a language's bits, and ``wide`` median deviations to each side.
+
+    A deviation counts as ``least`` bits at least. Medians are to within 0.1 % of the rows.
     """
-    own = rows.where(F.col("n_words") >= shortest).where("bits is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "bits")
-    middle = own.groupBy("lang").agg(F.percentile_approx("bits", F.lit(0.5), F.lit(1000)).alias("middle"))
-    off = own.join(F.broadcast(middle), "lang").groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), F.lit(0.5), F.lit(1000)).alias("off"))
-    span = F.greatest(F.lit(0.05), F.col("off")) * wide
-    return off.select("lang", (F.col("middle") - span).alias("low"), (F.col("middle") + span).alias("high"))
+    own = rows.where("bits is not null").select("band", "bits")
+    middle = own.groupBy("band").agg(F.percentile_approx("bits", F.lit(0.5), F.lit(1000)).alias("middle"))
+    off = own.join(F.broadcast(middle), "band").groupBy("band").agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), F.lit(0.5), F.lit(1000)).alias("off"))
+    span = F.greatest(F.lit(least), F.col("off")) * wide
+    return off.select("band", (F.col("middle") - span).alias("low"), (F.col("middle") + span).alias("high"))
 
 
-def judged(docs: DataFrame, order: int = ORDER, wide: float = 16.0, shortest: int = 20, shipped: int = SHIPPED) -> DataFrame:
+def judged(docs: DataFrame, order: int = ORDER, wide: float = WIDE, least: float = LEAST_SPREAD, shipped: int = SHIPPED) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, lang) with its counts, perplexity and verdicts.
 
     ``base_failed``: fewer than 20 words, or over 30 % of words in repeated
     windows. ``kept``: not failed, and bits per byte within the language's
-    band. The model counts all of ``docs``. A null lang is a language
-    of its own; languages are few (their bands are broadcast, a row each). Null
-    texts fail; an empty table gives no rows; other columns are not looked at.
+    band. Texts are dealt to two folds by their digest, and each is scored by
+    the model that counts all texts of the other fold, so that neither a text
+    nor its copies speak for themselves; bands are set on the bits of rows
+    that don't fail. A null lang is a language of its own, as are the empty
+    text and each other value; languages are few (their bands are broadcast, a
+    row each). A language with texts in one fold only is scored by nothing, 8
+    bits a byte, all of it alike. Null texts fail; rows that repeat are judged
+    alike; an empty table gives no rows; other columns are not looked at.
     """
-    model = written(kneser_ney(written(counts(docs, order), "counts"), order), "model")
-    rows = written(measured(docs, model, order, shipped), "measured")
+    rows = dealt_to_folds(docs)
+    own = lambda fold: F.concat(fold, F.col("band"))
+    model = written(kneser_ney(written(counts(rows.select("text", own(F.col("fold")).alias("lang")), order), "counts"), order), "model")
+    other = F.when(F.col("fold") == "0", "1").otherwise("0")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    own = rows.withColumn("band", F.coalesce("lang", F.lit("und"))).join(F.broadcast(bands(rows, wide, shortest).withColumnRenamed("lang", "band")), "band", "left").drop("band")
+    scored = written(measured(rows.withColumn("key", own(other)), model, order, shipped).withColumn("base_failed", failed), "measured")
+    limits = bands(scored.where("not base_failed"), wide, least)
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
-    return own.withColumn("base_failed", failed).withColumn("kept", ~failed & inside).withColumn("perplexity", F.pow(F.lit(2.0), "bits")).drop("lang", "low", "high")
+    out = scored.join(F.broadcast(limits), "band", "left")
+    return out.withColumn("kept", ~F.col("base_failed") & inside).withColumn("perplexity", F.pow(F.lit(2.0), "bits")).drop("lang", "band", "low", "high")

@@ -293,7 +293,7 @@ def _kneser_ney(texts, order):
     for k in range(order - 1, 0, -1):
         level = Counter(g[1:] for g in level)
         levels[k] = level
-    prob = {}
+    prob, back = {}, {}
     for k in range(1, order + 1):
         c = levels[k]
         n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
@@ -309,18 +309,60 @@ def _kneser_ney(texts, order):
         for g, v in c.items():
             low = 1 / 256 if k == 1 else prob[g[1:]]
             prob[g] = (v - cut(v)) / total[g[:-1]] + free[g[:-1]] / total[g[:-1]] * low
-    return lambda t: -sum(math.log2(prob[g[i : i + order]]) for g in [b"\n" * (order - 1) + t.encode()] for i in range(len(g) - order + 1)) / len(t.encode())
+        back.update({c: free[c] / total[c] for c in total})
 
+    def chance(g):
+        """The last byte's probability, by the longest order that has the gram."""
+        p = 1.0
+        for k in range(order, 0, -1):
+            if g[-k:] in prob:
+                return p * prob[g[-k:]]
+            p *= back.get(g[-k:-1], 1.0)
+        return p / 256
 
-def test_perplexity_by_brute_force(spark):
+    return lambda t: -sum(math.log2(chance(g[i : i + order])) for g in [b"\n" * (order - 1) + t.encode()] for i in range(len(g) - order + 1)) / len(t.encode())
+
+
+def _odd_texts(spark):
     rng = random.Random(6)
-    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(5, 60))) for _ in range(30)]
-    d = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(texts)] + [(99, "other words", None)], "doc_id long, text string, lang string")
-    want = _kneser_ney(texts, 3)
-    for shipped in (10**6, 1):
-        got = {r["doc_id"]: r["bits"] for r in rules.judged(d, order=3, shipped=shipped).collect()}
-        for k, t in enumerate(texts):
-            assert got[k] == pytest.approx(want(t), rel=1e-4)
+    rows = [(k, "".join(rng.choice("abcé ") for _ in range(rng.randint(5, 60))), ("xx", "xx", "xx", "", "und", None)[k % 6]) for k in range(60)]
+    rows += [(98, "zzz qqq", "xx"), (99, "", "xx"), (100, None, None), (101, rows[0][1], "xx"), (102, "alone", "once")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("shipped", [10**6, 1])
+def test_perplexity_by_brute_force(spark, shipped):
+    d = _odd_texts(spark)
+    rows = rules.dealt_to_folds(d).collect()
+    assert len({r["band"] for r in rows}) == 5 and {r["fold"] for r in rows} == {"0", "1"}
+    got = {r["doc_id"]: r["bits"] for r in rules.judged(d, order=3, shipped=shipped).collect()}
+    for r in rows:
+        others = [x["text"] for x in rows if x["band"] == r["band"] and x["fold"] != r["fold"] and x["text"]]
+        if not r["text"]:
+            assert got[r["doc_id"]] is None
+        else:
+            assert got[r["doc_id"]] == pytest.approx(_kneser_ney(others, 3)(r["text"]), rel=1e-4)
+    assert got[101] == got[0] and got[102] == pytest.approx(8.0)
+
+
+def test_both_ways_of_scoring_agree(spark):
+    a, b = ({r["doc_id"]: (r["bits"], r["kept"], r["base_failed"]) for r in rules.judged(_odd_texts(spark), order=4, shipped=n).collect()} for n in (10**6, 1))
+    assert a.keys() == b.keys()
+    for i, (bits, *verdicts) in a.items():
+        assert b[i][1:] == tuple(verdicts) and (bits is None and b[i][0] is None or b[i][0] == pytest.approx(bits, rel=1e-12))
+
+
+def test_bands_reject_what_is_no_language(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("aeiou" if k % 2 else "bdlmnrst") for k in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(30, 120))), "xx") for k in range(400)]
+    keys = "qwxzjkpvyQWXZ#0123456789%="
+    junk = [(1000 + k, " ".join("".join(rng.choice(keys) for _ in range(6)) for _ in range(50)), "xx") for k in range(5)]
+    flat = [(2000 + k, " ".join([vocab[k]] * 5 + [vocab[k + 1]] * 5 + [vocab[k + 2]] * 6 + [vocab[k + 3]] * 6), "xx") for k in range(3)]
+    d = spark.createDataFrame(rows + junk + flat, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in rules.judged(d).collect()}
+    assert all(got[1000 + k] == (False, False) for k in range(5))
+    assert sum(got[k][0] for k in range(400)) >= 398
 
 
 def test_digests_confirm_strings(tmp_path):
