@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,27 +97,26 @@ def base_spans(text: str | None) -> list[Span]:
 
 DIGIT = re.compile("[0-9]")
 UNIT = re.compile(r"\S+")
-#: A unit that may hold personal data, wherever in it: a digit, an @, or a sign that gives a value.
-OF_NOTE = re.compile(r"[0-9@=]")
+#: A name that gives a secret at a unit's end, so that the next unit is its value.
+_GIVES = r"(?i:\b(?:password|passwd|pwd|token|secret|api_?key)[\"']?\s*[:=])"
+#: A unit that may hold personal data, wherever in it: a digit, an @, a sign that gives a value, or the name of a secret.
+OF_NOTE = re.compile(r"[0-9@=]|" + _GIVES)
+GIVES = re.compile(_GIVES + r"[\"']?$")
 #: Words that announce a value, by what they announce (lower case, without punctuation).
 CUES = {"email": "email", "e-mail": "email", "mail": "email", "ip": "ip", "host": "ip", "server": "ip", "card": "card", "visa": "card", "tel": "phone", "phone": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "password": "secret", "passwd": "secret", "pwd": "secret", "token": "secret", "secret": "secret", "key": "secret", "api_key": "secret", "apikey": "secret"}
 #: Silver examples of secrets for learning: values that name themselves.
 SEEDS = re.compile(r"(?:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{8,})|(?P<key>\bAKIA[0-9A-Z]{16}\b)|(?P<pem>\b(?:ghp_|sk-|xox[bap]-)[A-Za-z0-9-]{16,})")
 #: Units in the longest span, and kinds with "none" first.
 LONGEST, STATES = 4, ("none", *KINDS)
-#: Code points of a window that is learned from, at most.
-LONGEST_WINDOW = 2000
 EDGE = ".,;:!?\"'<>[]{}"
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
+def windows(text: str) -> Iterator[list[tuple[int, int]]]:
     """Units (start, end) around those of note, two before and one behind; windows that touch are one.
 
-    Runs over 64 units are cut where they are, so that a window has a bound;
-    every unit of note is in one.
+    The unit behind a name that gives a secret is of note. A window is as long
+    as its run, so no span lies across two; every unit of note is in one.
     """
-    units = None
-    out: list[list[tuple[int, int]]] = []
     at, size = 0, len(text)
     note = OF_NOTE.search(text)
     while note:
@@ -137,17 +137,17 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
             units.insert(0, (c, b))
             a = c
         at, quiet = end, 0
-        while quiet < 1 and len(units) < 64 and at < size:
+        while quiet < 1 and at < size:
             m = UNIT.search(text, at)
             if not m:
                 at = size
                 break
-            quiet = 0 if OF_NOTE.search(text, m.start(), m.end()) else quiet + 1
+            given = GIVES.search(text, units[-2:][0][0], units[-1][1])
+            quiet = 0 if given or OF_NOTE.search(text, m.start(), m.end()) else quiet + 1
             units.append(m.span())
             at = m.end()
-        out.append(units)
+        yield units
         note = OF_NOTE.search(text, at)
-    return out
 
 
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -207,38 +207,41 @@ class SemiMarkov:
 
     weights: dict[str, np.ndarray]
 
-    def scores(self, text: str, units: list[tuple[int, int]]) -> np.ndarray:
-        """(units, LONGEST, states): the score of the span that ends at a unit, by how many more units it has."""
-        n = len(units)
-        out = np.full((n, LONGEST, len(STATES)), -1e9)
-        noted = [bool(OF_NOTE.search(text, a, b)) for a, b in units]
-        for j in range(n):
-            for k in range(min(LONGEST, j + 1)):
-                if k and not (noted[j] and any(noted[j - k : j])) and not (noted[j] and text[units[j - k][0] : units[j - k][1]].lower().strip(EDGE) in CUES):
-                    continue
-                total = np.zeros(len(STATES))
-                for f in features(text, units, j - k, j):
-                    w = self.weights.get(f)
-                    if w is not None:
-                        total += w
-                if k:
-                    total[0] = -1e9  # what is no entity goes unit by unit
-                elif not noted[j]:
-                    total[1:] = -1e9
-                out[j, k] = total
+    def ending(self, text: str, units: list[tuple[int, int]], j: int, noted: list[bool]) -> list[np.ndarray | None]:
+        """Scores by state of the spans that end at unit j, by how many more units they have; None where there is none.
+
+        What is no entity goes unit by unit, and an entity ends at a unit of
+        note; it has several units if others of note are among them, or a cue.
+        """
+        out: list[np.ndarray | None] = []
+        for k in range(min(LONGEST, j + 1)):
+            if k and not (noted[j] and (any(noted[j - k : j]) or text[units[j - k][0] : units[j - k][1]].lower().strip(EDGE) in CUES)):
+                out.append(None)
+                continue
+            total = np.zeros(len(STATES))
+            for f in features(text, units, j - k, j):
+                w = self.weights.get(f)
+                if w is not None:
+                    total += w
+            if k:
+                total[0] = -1e9
+            elif not noted[j]:
+                total[1:] = -1e9
+            out.append(total)
         return out
 
     def decode(self, text: str) -> list[Span]:
-        """The best boundaries and kinds together, by dynamic programming over each window."""
+        """The best boundaries and kinds together, by dynamic programming over each window; per unit only the best way to it is held."""
         out = []
         for units in windows(text):
-            s, n = self.scores(text, units), len(units)
+            noted, n = of_note(text, units), len(units)
             best, back = [0.0] + [-1e18] * n, [(0, 0)] * (n + 1)
             for j in range(n):
-                for k in range(min(LONGEST, j + 1)):
-                    y = int(s[j, k].argmax())
-                    if (v := best[j - k] + s[j, k, y]) > best[j + 1]:
-                        best[j + 1], back[j + 1] = v, (k, y)
+                for k, s in enumerate(self.ending(text, units, j, noted)):
+                    if s is not None:
+                        y = int(s.argmax())
+                        if (v := best[j - k] + float(s[y])) > best[j + 1]:
+                            best[j + 1], back[j + 1] = v, (k, y)
             at = n
             while at:
                 k, y = back[at]
@@ -251,6 +254,11 @@ class SemiMarkov:
         return out
 
 
+def of_note(text: str, units: list[tuple[int, int]]) -> list[bool]:
+    """Which units are of note by themselves, or by a name before them that gives a secret."""
+    return [bool(OF_NOTE.search(text, a, b)) or i > 0 and bool(GIVES.search(text, units[max(0, i - 2)][0], units[i - 1][1])) for i, (a, b) in enumerate(units)]
+
+
 def _silver(text: str) -> list[Span]:
     found = [s for s in base_spans(text)]
     for m in SEEDS.finditer(text):
@@ -276,13 +284,13 @@ def _labels(text: str, units: list[tuple[int, int]], spans: list[Span]) -> list[
     return out
 
 
-def fit(docs: DataFrame, train_windows: int = 1200, sample_rows: int = 6000, text_windows: int = 64, rounds: int = 6) -> SemiMarkov:
+def fit(docs: DataFrame, train_windows: int = 1200, sample_rows: int = 6000, text_windows: int = 64, longest_window: int = 2000, rounds: int = 6) -> SemiMarkov:
     """A model learned from windows of about ``sample_rows`` rows of (doc_id, text), chosen by a hash of the doc_id.
 
     Spans of the exact patterns, and secrets that name themselves, are the
     examples; all other units of the windows are what is none. A text gives
     ``text_windows`` windows at most, evenly spread over all of it, and none of
-    over ``LONGEST_WINDOW`` code points; at most ``train_windows``, in the
+    over ``longest_window`` code points (in scoring, windows have no bound); at most ``train_windows``, in the
     order of a hash, reach the driver. The
     likelihood of whole segmentations is climbed by stochastic gradients.
     """
@@ -292,10 +300,10 @@ def fit(docs: DataFrame, train_windows: int = 1200, sample_rows: int = 6000, tex
             if not text:
                 continue
             spans = _silver(text)
-            own = windows(text)
+            own = list(windows(text))
             for units in own[:: max(1, -(-len(own) // text_windows))]:
                 a, b = units[0][0], units[-1][1]
-                if b - a > LONGEST_WINDOW:
+                if b - a > longest_window:
                     continue
                 inside = [f"{k}:{max(0, s - a)}:{min(b, e) - a}" for k, s, e in spans if s < b and e > a]
                 kept.append((text[a:b], ",".join(inside)))
@@ -309,42 +317,46 @@ def fit(docs: DataFrame, train_windows: int = 1200, sample_rows: int = 6000, tex
         for g in rng.permutation(len(got)):
             text = got[g][0]
             spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got[g][1].split(",") if x)]
-            units = [m.span() for m in UNIT.finditer(text)][:64]
+            units = [m.span() for m in UNIT.finditer(text)]
             if units:
                 _climb(model, sums, text, units, spans)
     return model
 
 
+def expected(model: SemiMarkov, text: str, units: list[tuple[int, int]]) -> tuple[float, dict[tuple[int, int], np.ndarray]]:
+    """(log of the sum over all segmentations, chance of each span (last unit, more units) by state), by sums forward and back."""
+    noted, n = of_note(text, units), len(units)
+    s = [model.ending(text, units, j, noted) for j in range(n)]
+    ahead, behind, log = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), np.logaddexp.reduce
+    ahead[0] = behind[n] = 0
+    for j in range(n):
+        ahead[j + 1] = log(np.concatenate([ahead[j - k] + x for k, x in enumerate(s[j]) if x is not None]))
+    for i in range(n - 1, -1, -1):
+        behind[i] = log(np.concatenate([behind[j + 1] + s[j][j - i] for j in range(i, min(n, i + LONGEST)) if s[j][j - i] is not None]))
+    spans = {(j, k): np.exp(np.clip(ahead[j - k] + x + behind[j + 1] - ahead[n], -700, 0)) for j in range(n) for k, x in enumerate(s[j]) if x is not None}
+    return float(ahead[n]), spans
+
+
 def _climb(model: SemiMarkov, sums: dict, text: str, units: list, spans: list) -> None:
     """One gradient step: features of the known segments less those expected under the model."""
-    s, n = model.scores(text, units), len(units)
-    for j, k, y in (known := _labels(text, units, spans)):
-        if s[j, k, y] < -1e8:
+    noted = of_note(text, units)
+    known = _labels(text, units, spans)
+    for j, k, y in known:
+        x = model.ending(text, units, j, noted)[k]
+        if x is None or x[y] < -1e8:
             return  # a layout that decoding never makes
-    ahead = np.full(n + 1, -np.inf)
-    ahead[0] = 0
-    log = np.logaddexp.reduce
-    for j in range(n):
-        ahead[j + 1] = log(np.concatenate([ahead[j - k] + s[j, k] for k in range(min(LONGEST, j + 1))]))
-    behind = np.full(n + 1, -np.inf)
-    behind[n] = 0
-    for i in range(n - 1, -1, -1):
-        behind[i] = log(np.concatenate([behind[i + k + 1] + s[i + k, k] for k in range(min(LONGEST, n - i))]))
     truth = {(j, k): y for j, k, y in known}
-    for j in range(n):
-        for k in range(min(LONGEST, j + 1)):
-            if s[j, k].max() < -1e8:
-                continue
-            g = -np.exp(np.clip(ahead[j - k] + s[j, k] + behind[j + 1] - ahead[n], -700, 0))
-            if (j, k) in truth:
-                g[truth[j, k]] += 1
-            if np.abs(g).max() < 1e-3:
-                continue
-            for f in features(text, units, j - k, j):
-                w = model.weights.setdefault(f, np.zeros(len(STATES)))
-                q = sums.setdefault(f, np.full(len(STATES), 1e-2))
-                q += g * g
-                w += 0.3 * (g - 1e-3 * w) / np.sqrt(q)
+    for (j, k), chance in expected(model, text, units)[1].items():
+        g = -chance
+        if (j, k) in truth:
+            g[truth[j, k]] += 1
+        if np.abs(g).max() < 1e-3:
+            continue
+        for f in features(text, units, j - k, j):
+            w = model.weights.setdefault(f, np.zeros(len(STATES)))
+            q = sums.setdefault(f, np.full(len(STATES), 1e-2))
+            q += g * g
+            w += 0.3 * (g - 1e-3 * w) / np.sqrt(q)
 
 
 def spans_of(text: str | None, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
@@ -352,11 +364,11 @@ def spans_of(text: str | None, model: SemiMarkov) -> tuple[list[Span], list[Span
     text = text or ""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    starts = np.array([a for a, _ in taken])
+    starts, reach = np.array([a for a, _ in taken]), np.maximum.accumulate(np.array([b for _, b in taken], np.int64))
     more = []
     for k, a, b in model.decode(text) if OF_NOTE.search(text) else []:
         at = int(np.searchsorted(starts, b))
-        if not any(x < b and a < y for x, y in taken[max(0, at - 5) : at]):
+        if not at or reach[at - 1] <= a:
             more.append((k, a, b))
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -59,9 +59,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def swept(spark: SparkSession) -> None:
-    """Deletes all tables that ``written`` has made so far; for use once nothing reads them any more."""
-    while _MADE:
+def made() -> int:
+    """How many tables ``written`` has made and ``swept`` has not deleted."""
+    return len(_MADE)
+
+
+def swept(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``written`` has made since there were ``since``; for use once nothing reads them any more."""
+    while len(_MADE) > since:
         removed(spark, _MADE.pop())
 
 

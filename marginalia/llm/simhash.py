@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import xxhash
@@ -74,6 +75,21 @@ def _manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
+def groups_for(n: int, distance: int = 4) -> int:
+    """Into how many groups the segments of ``n`` fingerprints are best cut.
+
+    More groups are more rows, as each fingerprint has a cell for each choice
+    of groups, and fewer chance meetings, as cells are finer: a pair of random
+    fingerprints agrees on a segment's count with a chance of 3/8. The cut for
+    which rows and meetings together are fewest.
+    """
+    def work(groups: int) -> float:
+        same = (groups - distance) * SEGMENTS // groups
+        return comb(groups, distance) * (n + n * n / 2 * 0.375**same)
+
+    return min(range(distance + 1, SEGMENTS // 2 + 1), key=work)
+
+
 def links(distinct: DataFrame, distance: int = 4, groups: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct ``fp`` that differ in at most ``distance`` bits; each pair once.
 
@@ -84,11 +100,11 @@ def links(distinct: DataFrame, distance: int = 4, groups: int | None = None) ->
     grid cell of some ``groups - distance`` groups. Fingerprints meet in these
     cells, and a pair is kept in the first cell it shares, if the distance of
     the points, then that of the fingerprints, allows it. No pair is lost, and
-    none is made outside the join's own condition. ``groups`` (default: three
-    more than ``distance``) sets the fineness of cells: more groups make more
-    rows and far fewer chance meetings, for larger tables.
+    none is made outside the join's own condition: the range-join on the grid is
+    an equality of cells. ``groups`` (default: ``groups_for`` the number of
+    fingerprints) sets the fineness of cells.
     """
-    groups = groups or distance + 3
+    groups = groups or groups_for(distinct.count(), distance)
     cuts = [round(i * SEGMENTS / groups) for i in range(groups + 1)]
     points = distinct.select("fp", _counts(F.col("fp")).alias("p"))
 
@@ -142,6 +158,8 @@ def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4,
     nodes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("least")), "nodes")
     found = components(links(nodes.select("fp"), distance, groups))
     stay = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    own, own_hash = unused("kept_id", marked.columns), unused("kept_hash", marked.columns)
-    stay = stay.select(F.col("least.doc_id").alias(own), F.col("least.h").alias(own_hash))
-    return marked.join(stay, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(whole) == F.col(own_hash)), "left_semi").dropDuplicates(["doc_id", whole]).drop(whole)
+    # ids as texts that are never null, so that the join and the removal of copies go by the same keys and texts move once
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    own = unused("kept_id", marked.columns)
+    stay = stay.select(key(F.col("least.doc_id")).alias(own), F.col("least.h").alias(whole))
+    return marked.withColumn(own, key(F.col("doc_id"))).join(stay, [own, whole], "left_semi").dropDuplicates([own, whole]).select(*docs.columns)

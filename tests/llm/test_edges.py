@@ -165,3 +165,19 @@ def test_items_of_any_type(spark, wide):
         got = {r["doc_id"]: r for r in decontaminate.marked(wide, items, 4, block).collect()}
         assert got[1]["items"] == ["a", "b"] and tuple(got[1]["longest"]) == (4, "b", 0, 1) and got[2]["items"] == []
         assert 1 not in {r["doc_id"] for r in decontaminate.remove_contaminated(wide, items, 4, block).collect()}
+
+
+def test_the_pipeline_on_no_rows_and_what_it_leaves(spark, docs, none, benchmark, tmp_path):
+    from pathlib import Path
+
+    root = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    for name, rows in (("full", docs), ("none", none)):
+        benchmark.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    there = {p.name for p in root.glob("*")}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    left = [p for p in root.glob("*") if p.name not in there]
+    assert len(left) == 2 and all(p.name.startswith("pipeline-") and {x.name for x in p.glob("[0-9]*")} == {"4"} for p in left)
+    # 1 holds a benchmark item, 2 and 3 have no text, 6 no letter, and 4 stands twice
+    assert {r["doc_id"] for r in out.collect()} == {4, 5, 7, None}

@@ -28,11 +28,20 @@ def test_links_are_all_pairs_within_four_bits(spark):
     fps = sorted({simhash._signed(x) for x in base + near + [0, 1, 15, 31, (1 << 64) - 1]})
     want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
     d = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for groups in (5, 7, 8):
+    for groups in (5, 7, 8, None):
         got = [tuple(r) for r in simhash.links(d, 4, groups).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_finer_cells_for_more_fingerprints():
+    chosen = [simhash.groups_for(10**k) for k in range(2, 11)]
+    assert chosen == sorted(chosen) and chosen[0] <= 7 < chosen[-1]
+    for n in (10**5, 10**9):
+        g = simhash.groups_for(n)
+        met = math.comb(g, 4) * n / 2 * 0.375 ** ((g - 4) * 32 // g)
+        assert met < 40 * math.comb(g, 4)  # chance meetings of one fingerprint, against its cells
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -169,6 +178,65 @@ def test_private_spans(spark):
         assert [s[0] for s in pii.base_spans(text[i])] == [s["kind"] for s in r["base"]]
 
 
+def _all_segmentations(n):
+    if n == 0:
+        yield []
+        return
+    for k in range(min(pii.LONGEST, n)):
+        for rest in _all_segmentations(n - k - 1):
+            for y in range(len(pii.STATES)):
+                yield [*rest, (n - 1, k, y)]
+
+
+def test_decoding_and_chances_by_brute_force():
+    rng = np.random.default_rng(3)
+    text = "call me at 555 0100 now, password: horse and x=1"
+    for cut in (text[:27], text[25:], "a 1 2"):
+        for units in pii.windows(cut):
+            model, noted, every = pii.SemiMarkov({}), pii.of_note(cut, units), []
+            for j in range(len(units)):
+                for k in range(min(pii.LONGEST, j + 1)):
+                    for f in pii.features(cut, units, j - k, j):
+                        model.weights.setdefault(f, rng.normal(0, 1, len(pii.STATES)))
+            ending = [model.ending(cut, units, j, noted) for j in range(len(units))]
+            for way in _all_segmentations(len(units)):
+                parts = [ending[j][k][y] if ending[j][k] is not None else -1e9 for j, k, y in way]
+                if min(parts) > -1e8:
+                    every.append((float(sum(parts)), way))
+            total, chances = pii.expected(model, cut, units)
+            assert total == pytest.approx(float(np.logaddexp.reduce([v for v, _ in every])))
+            for (j, k), got in chances.items():
+                for y in range(len(pii.STATES)):
+                    want = sum(math.exp(v - total) for v, way in every if (j, k, y) in way)
+                    assert got[y] == pytest.approx(want, abs=1e-9)
+            best = max(every)[1]
+            shown = [(pii.STATES[y], *(pii.valued if pii.STATES[y] == "secret" else pii.trimmed)(cut, units[j - k][0], units[j][1])) for j, k, y in best if y]
+            assert len(list(pii.windows(cut))) > 1 or [s for s in model.decode(cut)][::-1] == [s for s in shown if s[1] < s[2]]
+
+
+def test_windows_have_no_bound_and_names_give_secrets():
+    text = " ".join(f"{k}" for k in range(5000))
+    assert [len(u) for u in pii.windows(text)] == [5000]
+    for said in ("the password: correcthorse is", 'token: "abcdefghij" is', "api_key = abcdefghij is"):
+        (units,) = pii.windows(said)
+        assert any(n and said[a:b].strip('"').startswith(("correct", "abcdef")) for n, (a, b) in zip(pii.of_note(said, units), units))
+    assert list(pii.windows("a secret of the token ring, and the password to it")) == []
+
+
+def test_secrets_on_other_templates(spark):
+    """Learned on one way to say it, looked for in others; plain prose is left alone."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    token = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(32))
+    learn = [(k, f"{word()} {word()} {word()} token = \"{token()}\" {word()} {word()} password={token()[:18]} and {rng.randint(1, 99)} {word()} in {rng.randint(1900, 2030)}, {word()} =") for k in range(400)]
+    model = pii.fit(spark.createDataFrame(learn, "doc_id long, text string"))
+    told = [f"{word()} {word()} secret: {(t := token())} {word()}, {rng.randint(2, 40)} {word()}" for _ in range(100)]
+    found = sum(any(k == "secret" for k, _, _ in pii.spans_of(t, model)[1]) for t in told)
+    plain = [f"{word()} {word()} {rng.randint(1, 500)} {word()} in {rng.randint(1900, 2030)}. {word()} @ {word()} {rng.randint(2, 40)} {word()}" for _ in range(300)]
+    wrong = sum(bool(pii.spans_of(t, model)[1]) for t in plain)
+    assert found >= 90 and wrong <= 3
+
+
 def _mixed(rows, weights=(3, 1, 2)):
     import hashlib
 
