@@ -183,21 +183,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def publish(model: DataFrame) -> tuple[str, dict[str, tuple[int, int]]]:
     """The model as sorted hash arrays in three files, which executors fetch once and map to memory.
 
+    One language's rows are in the driver at a time, besides the arrays.
     Returns the files' common name and, for each language and size, which part of the arrays is its own.
     """
     spark, name = model.sparkSession, f"grams-{uuid.uuid4().hex}"
-    rows = model.orderBy("lang", "size").select("lang", "size", "gram", "logp", "back").toArrow()
-    lang, size = rows["lang"].to_numpy(), rows["size"].to_numpy()
-    first = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (size[1:] != size[:-1])))) if len(lang) else np.zeros(0, int)
-    ends = [*first[1:].tolist(), len(lang)]
-    keys = _mixed(rows["gram"].to_numpy())
-    order = np.concatenate([a + np.argsort(keys[a:b]) for a, b in zip(first, ends)]) if len(first) else np.zeros(0, int)
-    made = {"keys": keys[order]} | {c: rows[c].cast(pa.float32()).fill_null(np.nan).to_numpy()[order] for c in ("logp", "back")}
+    own: dict[str, tuple[int, int]] = {}
+    parts: dict[str, list[np.ndarray]] = {"keys": [np.zeros(0, np.uint64)], "logp": [np.zeros(0, np.float32)], "back": [np.zeros(0, np.float32)]}
+    at = 0
+    for lang in sorted(r[0] for r in model.select("lang").distinct().collect()):
+        rows = model.where(F.col("lang") == lang).select("size", "gram", F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")).toArrow()
+        size, keys = rows["size"].to_numpy(), _mixed(rows["gram"].to_numpy())
+        order = np.lexsort((keys, size))
+        parts["keys"].append(keys[order])
+        for c in ("logp", "back"):
+            parts[c].append(rows[c].fill_null(np.nan).to_numpy()[order])
+        ordered = size[order]
+        for k in np.unique(ordered).tolist():
+            own[f"{lang}\n{k}"] = (at + int(np.searchsorted(ordered, k, "left")), at + int(np.searchsorted(ordered, k, "right")))
+        at += len(order)
     folder = tempfile.mkdtemp(prefix="marginalia-")
-    for part, values in made.items():
-        np.save(path := os.path.join(folder, f"{name}-{part}.npy"), values)
+    for part, values in parts.items():
+        np.save(path := os.path.join(folder, f"{name}-{part}.npy"), np.concatenate(values))
         spark.sparkContext.addFile(path)
-    return name, {f"{lang[a]}\n{size[a]}": (int(a), int(b)) for a, b in zip(first, ends)}
+    return name, own
 
 
 _MAPPED: dict[str, dict[str, np.ndarray]] = {}
