@@ -97,29 +97,36 @@ def schedule(aims: DataFrame, block_words: int) -> DataFrame:
     return ranked.select("slot", "src", "rank", edge(F.col("rank")).alias("first"), edge(F.col("rank") + 1).alias("last"))
 
 
-def _taken(docs: DataFrame, weights: Sequence[float], share: float, most: float, block_words: int, seed: str, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Rows on their lines, by (src, range, nth); the pieces of them that slots take; and the names that ``keep`` has in the rows."""
+def _taken(docs: DataFrame, weights: Sequence[float], share: float, most: float, block_words: int, seed: str, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Rows with a number each (``row``), their places on their lines, the pieces of them that slots take, and the names that ``keep`` has in the rows.
+
+    Kept columns stay with the rows: places and pieces go by the numbers, which
+    are the rows' own once these are written. Rows with all the same values may
+    change places, as nothing then tells which is which.
+    """
     kept = [unused(f"kept_{i}", keep) for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, kept)), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("src", _key(F.col("source"))).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
-    rows = written(rows.withColumn("range", F.substring("h", 1, 3)), "sizes")
+    # two hashes of what is kept order the rows of one id and size
+    rows = rows.withColumn("mark", F.struct(*(F.xxhash64(F.lit(i), *kept).alias(f"m{i}") for i in range(2))))
+    rows = written(rows.withColumn("range", F.substring("h", 1, 3)).withColumn("row", F.monotonically_increasing_id()), "sizes")
     per_range = rows.groupBy("src", "range").agg(F.sum("size").alias("words"), F.first("source", True).alias("source"))
     sizes = per_range.groupBy("src").agg(F.first("source", True).alias("source"), F.sum("words").alias("source_size"))
     aims = written(targets(sizes, weights, share, most), "targets")
     earlier = per_range.select("src", "range", F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    own = Window.partitionBy("src", "range").orderBy("h", "id", "size", *kept)
-    # rows with all the same values may change places, as nothing then tells which is which
-    placed = rows.join(earlier, ["src", "range"]).withColumn("nth", F.row_number().over(own)).withColumn("start", F.col("earlier") + F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = written(placed.join(aims, "src").select("src", "range", "nth", *kept, "size", "source_size", "target", "start"), "placed")
+    before = Window.partitionBy("src", "range").orderBy("h", "id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select("row", "src", "range", "h", "id", "size", "mark").join(earlier, ["src", "range"]).withColumn("start", F.col("earlier") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    placed = written(placed.join(aims, "src").select("row", "src", "size", "source_size", "target", "start"), "placed")
     plan = schedule(aims, block_words)
     blocks = plan.groupBy("src").agg(F.count("*").alias("slots"))
     starts = F.array(F.col("start"), F.col("start") + F.col("source_size"))
-    turns = placed.where("size > 0").select("src", "range", "nth", "size", "target", F.posexplode(starts).alias("turn", "start")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.floor("target"))).where("stop > start")
+    turns = placed.where("size > 0").select("row", "src", "size", "target", F.posexplode(starts).alias("turn", "start")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.floor("target"))).where("stop > start")
     # the first and last rank that a turn may touch, one more on each side for the rounding of edges
     rank = lambda x: F.floor(x * F.col("slots") / F.col("target"))
-    touched = turns.join(blocks, "src").select("src", "range", "nth", "turn", "start", "stop", F.explode(F.sequence(F.greatest(F.lit(0), rank(F.col("start")) - 1), F.least(F.col("slots") - 1, rank(F.col("stop")) + 1))).alias("rank"))
+    touched = turns.join(blocks, "src").select("row", "src", "turn", "start", "stop", F.explode(F.sequence(F.greatest(F.lit(0), rank(F.col("start")) - 1), F.least(F.col("slots") - 1, rank(F.col("stop")) + 1))).alias("rank"))
     took = touched.join(plan, ["src", "rank"]).withColumn("place", F.greatest("start", "first")).withColumn("end", F.least("stop", "last")).where("end > place")
-    return placed, took.select("src", "range", "nth", "slot", "place", "turn", (F.col("place") - F.col("start")).alias("first"), (F.col("end") - F.col("start")).alias("last")), kept
+    took = took.select("row", "slot", "place", "turn", (F.col("place") - F.col("start")).alias("first"), (F.col("end") - F.col("start")).alias("last"))
+    return rows.select("row", *kept), placed.select("row", "size", "source_size", "target"), took, kept
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: str = "mix", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -137,8 +144,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     source, an empty table gives no rows. Columns of ``docs`` not in ``keep``
     are not looked at; ``keep`` may not name one of the added ones.
     """
-    placed, took, kept = _taken(docs, weights, share, most, block_words, seed, keep)
-    out = placed.join(took.groupBy("src", "range", "nth").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces")), ["src", "range", "nth"], "left")
+    rows, placed, took, kept = _taken(docs, weights, share, most, block_words, seed, keep)
+    sums = took.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces"))
+    out = rows.join(placed.join(sums, "row", "left"), "row")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept)), "size", "source_size", "target", zero("taken"), F.col("first_slot").cast("long").alias("first_slot"), zero("n_pieces"))
 
@@ -150,11 +158,12 @@ def pieces(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     begins on its source's line of two turns. A piece is the row's words from
     ``first`` up to ``last``, exclusive, in the first (0) or second (1) turn.
     ``taken`` is the sum of the pieces; a row that no slot takes has none.
+    Kept columns, texts too, meet the pieces in one join and are moved by no other step.
     """
-    placed, took, kept = _taken(docs, weights, share, most, block_words, seed, keep)
+    rows, placed, took, kept = _taken(docs, weights, share, most, block_words, seed, keep)
     one = F.struct(*(F.col(c).cast("long").alias(c) for c in ("slot", "place", "turn", "first", "last")))
-    took = took.select("src", "range", "nth", one.alias("p")).groupBy("src", "range", "nth").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
-    out = placed.join(took, ["src", "range", "nth"], "left").withColumn("pieces", F.coalesce("pieces", F.array().cast(took.schema["pieces"].dataType)))
+    took = took.select("row", one.alias("p")).groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    out = rows.join(placed.join(took, "row", "left"), "row").withColumn("pieces", F.coalesce("pieces", F.array().cast(took.schema["pieces"].dataType)))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["last"] - p["first"])
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept)), "size", "source_size", "target", taken.alias("taken"), "pieces")
 
