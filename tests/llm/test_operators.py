@@ -491,6 +491,14 @@ def test_pipeline_by_brute_force(spark):
     assert got == want
 
 
+def test_the_mix_agrees_however_rows_are_dealt(spark):
+    # one id and one size, texts apart, besides whole copies: what is kept decides the order
+    rows = [(7, f"a{i % 3} b c", "s") for i in range(9)] + [(i, "x y " * i, "t") for i in range(1, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(str, mixing.pieces(d.repartition(n), block_words=4, keep=("doc_id", "text", "source")).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_rows_of_the_mix_follow_the_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = corpus_pipeline.in_pieces(corpus_pipeline.mixture(spark, docs, SF)).where("slot is not null").select("source", "target", F.length("text").alias("n"), "n_chars", mixing.word_count(F.col("text")).alias("words")).collect()
