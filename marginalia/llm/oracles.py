@@ -64,5 +64,63 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM s GROUP BY conv_id"""
 
 
+# crc32, bit by bit
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+_WORD = r"[^\x20\x09-\x0D]"
+OP11 = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS l, {_CRC.format("conv_id::VARCHAR")} % 4 AS h FROM t GROUP BY conv_id),
+full_ AS (SELECT own.conv_id, coalesce(b.l, [])[1:own.h] || own.l[own.h + 1:] AS r FROM own LEFT JOIN own b ON b.conv_id = own.conv_id - own.conv_id % 20),
+p AS (SELECT conv_id, d, r[1:d] AS k, len(r) = d AS ends, CASE WHEN d > 0 THEN len(regexp_extract_all(r[d].text, '{_WORD}+')) ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(r) + 1)) AS d FROM full_)),
+node AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(w) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS e FROM p GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS c FROM node WHERE d > 0 GROUP BY ALL),
+both_ AS (SELECT node.*, coalesce(c, 0) AS c FROM node LEFT JOIN kids USING (k)),
+sub AS (SELECT k[1:x] AS k, sum(own) AS saved, count(*) FILTER (c = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS x FROM both_) GROUP BY ALL)
+SELECT b.conv_id, b.d::BIGINT AS depth, up.conv_id AS parent_conv_id, b.n::BIGINT AS n_convs, b.c::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, b.e AS ends_sha256
+FROM both_ b JOIN sub USING (k) LEFT JOIN both_ up ON b.d > 0 AND up.d = b.d - 1 AND up.k = b.k[1:b.d - 1]"""
+
+# a repair's heads as states e(mpty), s(ystem), u(ser asked), p(air answered); each has the least (cost, audit), rows by rows
+_ADD = "CASE WHEN {0} IS NULL THEN NULL ELSE {{'c': {0}.c + {1}, 'a': {0}.a || '{2}'}} END"
+_LEAST = "list_min(list_filter([{}], lambda x: x IS NOT NULL))"
+
+
+def _put_in(**of: str) -> str:
+    """States with the turns that may be put in behind them: to u from e, s, p, and from u to p; two in a row too."""
+    u = [of["u"], *(_ADD.format(of[x], 2, "I") for x in "esp")]
+    p = [of["p"], _ADD.format(of["u"], 2, "I"), *(_ADD.format(of[x], 4, "II") for x in "es")]
+    return f"{of['e']} AS e, {of['s']} AS s, {_LEAST.format(', '.join(u))} AS u, {_LEAST.format(', '.join(p))} AS p"
+
+
+def _row(state: str) -> str:
+    """A state's least (cost, audit) behind one more row."""
+    gone = _ADD.format(state, 3, "D")
+    kept = {"e": [], "s": [("e", "s")], "u": [("e", "u"), ("s", "u"), ("p", "u")], "p": [("u", "a")]}[state]
+    moves = [gone, *(f"CASE WHEN NOT go AND i = '{c}' THEN {_ADD.format(x, 'cut', 'K')} END" for x, c in kept), *(f"CASE WHEN NOT go THEN {_ADD.format(x, '2 + cut', 'R')} END" for x, c in kept if c != "s")]
+    return _LEAST.format(", ".join(moves))
+
+
+OP13 = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations WHERE conv_id IS NOT NULL),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM k)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM rows_),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS copy, lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM n),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN regexp_matches(text, '[.!?][ 	-]*\z') THEN '' ELSE 'truncated' END AS fault FROM seen),
+r AS (SELECT conv_id, n, left(role, 1) AS i, fault IN ('blank', 'duplicate') AS go, (fault = 'truncated')::BIGINT AS cut FROM f),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS n, {_put_in(e="{'c': 0::BIGINT, 'a': ''}", s="NULL::STRUCT(c BIGINT, a VARCHAR)", u="NULL::STRUCT(c BIGINT, a VARCHAR)", p="NULL::STRUCT(c BIGINT, a VARCHAR)")} FROM (SELECT DISTINCT conv_id FROM k)
+  UNION ALL
+  SELECT conv_id, n, {_put_in(e="e", s="s", u="u", p="p")} FROM (SELECT conv_id, r.n, {_row("e")} AS e, {_row("s")} AS s, {_row("u")} AS u, {_row("p")} AS p FROM walk JOIN r USING (conv_id) WHERE r.n = walk.n + 1)
+),
+best AS (SELECT conv_id, arg_max({_LEAST.format("e, p")}, n) AS b FROM walk GROUP BY conv_id),
+-- the audit's letters with the row that each is about, and the place of each turn in the repair
+l AS (SELECT conv_id, b.a AS a, unnest(range(1, length(b.a) + 1)) AS x FROM best),
+m AS (SELECT conv_id, x, a[x] AS letter, length(replace(a[:x], 'I', '')) AS n, length(replace(a[:x], 'D', '')) AS place FROM l),
+first_ AS (SELECT conv_id, letter = 'K' AND i = 's' AS sys FROM m JOIN r USING (conv_id, n) WHERE place = 1 AND letter <> 'D'),
+made AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN f.role WHEN (place - coalesce(sys, false)::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY x)) AS h FROM m LEFT JOIN f USING (conv_id, n) LEFT JOIN first_ USING (conv_id) WHERE letter <> 'D' GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, b.c::BIGINT AS cost, b.a AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM best LEFT JOIN made USING (conv_id) LEFT JOIN c USING (conv_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op4_urls": OP4, "op7_mix": OP7, "op10_chat": OP10}
+    return {"op3_decontaminate": OP3, "op4_urls": OP4, "op7_mix": OP7, "op10_chat": OP10, "op11_trie": OP11, "op13_repair": OP13}

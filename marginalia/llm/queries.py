@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import table
-from . import chat, decontaminate, langid, mixing, pii, quality, rules, simhash, toxicity, urls
+from . import chat, decontaminate, langid, mixing, packing, pii, quality, repair, rules, simhash, toxicity, trie, urls
 from .shared import in_fold, written
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -94,5 +94,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(shown).cast("long").alias("loss_chars"), F.sha2(shown, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of conversations that begin like the first of their family."""
+    return trie.nodes(trie.rebuilt(trie.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4,096 tokens that each have every source's share."""
+    import public_tokenizers
+
+    out = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations, and their cheapest repairs."""
+    return repair.repairs(repair.gathered(repair.damaged(table(spark, sf_dir, "conversations")))).drop("repaired")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontaminate, op4_urls, op5_language, op6_rules, op7_mix, op8_private, op9_simhash, op10_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_decontaminate, op4_urls, op5_language, op6_rules, op7_mix, op8_private, op9_simhash, op10_chat, op11_trie, op12_pack, op13_repair)}
