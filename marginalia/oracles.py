@@ -53,6 +53,10 @@ def _tells(source: str = "paras") -> str:
     return f"tells_{source} AS MATERIALIZED (" + "\n    UNION ALL ".join(parts) + ")"
 
 
+LATE = f"""WITH {DOCS}, b AS (SELECT doc_id, sha256(d.text) AS now, sha256(p.text) AS old FROM docs d JOIN documents p USING (doc_id)),
+  t AS (SELECT doc_id, now, CASE WHEN doc_id % 3 <> 0 THEN 4 WHEN now = old THEN 3 ELSE 2 END::BIGINT AS ticket FROM b)
+  SELECT doc_id, now AS text_sha256, ticket, 'reading ' || ticket || ' of ' || left(now, 8) AS report FROM t"""
+
 # The engine's patterns as RE2 writes them.
 QUOTED_RE = r'`[^`\n]+`|"[^"\n]{0,200}"|“[^”\n]{0,200}”'
 MARKUP_RE = r"^\s*(#{1,6}\s|[-*+]\s|\d+[.)]\s|\||>\s|```|~~~|\[[^\]]+\]:|[-=]{3,}\s*$)"
@@ -258,6 +262,8 @@ def oracle_sql() -> dict[str, str]:
         "curvature_outlier": f"{ps}, {curvature} {standing}",
         "outlier_verdicts": f"{ps}, {_signals('sents')}, {ratio}, both_ AS (SELECT doc_id, seg_idx, direction, weight FROM sig_sents UNION ALL SELECT doc_id, seg_idx, CASE WHEN z > 0 THEN 'machine' ELSE 'human' END, CASE WHEN abs(z) >= 2.5 THEN 0.45 ELSE 0.3 END FROM std_ WHERE abs(z) >= 1.5), {_scored('sents', 'both_')}, {_rolled('scored')} SELECT doc_id, n_signals::BIGINT AS n_signals, lean, strength, label FROM rolled",
         "model_chunks": "WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents), c AS (SELECT doc_id, n, unnest(generate_series(0, greatest(1, ceil((n - 512) / 256.0)::INT + 1) - 1)) AS i FROM t) SELECT doc_id, (i * 256)::INT AS start, least(i * 256 + 512, n)::INT AS \"end\", CASE WHEN i = 0 THEN 1 ELSE least((i - 1) * 256 + 512, n) END::INT AS first FROM c",
+        "late_results": LATE,
+        "late_stream": LATE,
         "edit_invalidation": f"""{sig}, es AS (SELECT doc_id, seg_idx, start::INT AS s, (start + length(quote))::INT AS e, false AS bad FROM paras), {_mapped(EDITS, 'es')}, xs AS (SELECT doc_id, seg_idx, nth, name, s, e, false AS bad FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x)) WHERE s IS NOT NULL), {_mapped(EDITS, 'xs')}
           SELECT x.doc_id, x.seg_idx, nth, name, x.s AS start, x.e AS "end", x.bad OR y.bad AS unverified FROM met{len(EDITS) - 1}_xs x JOIN met{len(EDITS) - 1}_es y USING (doc_id, seg_idx)""",
     }

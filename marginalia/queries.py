@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions.text import matches, plain_words, utf16_offset, whitespace_words
 from .operators import edits, evaluate, outliers, placement, readers
 from .operators.detectors import QUOTED, detectors, forensic, is_markup, rhetoric, rhythm_cv
@@ -18,6 +19,7 @@ from .plans import gauge as plan
 from .plans import report
 from .seeds import seeded
 from .sources.readers import parsed_judgments, table
+from .streaming import late
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -439,6 +441,34 @@ def edit_invalidation(spark, d):
     return sigs.select("doc_id", "seg_idx", "nth", "name", "start", "end", "unverified")
 
 
+def _late_events(spark, d):
+    """Each document is read as it is, gets its passage, and is read again; results come late, for the old text too, and again."""
+    old, new, at = F.sha2(F.col("plain"), 256), F.sha2(F.col("text"), 256), lambda m: F.lit(f"2024-01-01 00:{m:02d}:00").cast("timestamp")
+    event = lambda minute, kind, ticket, digest: F.struct(F.lit(kind).alias("kind"), F.lit(ticket).cast("long").alias("ticket"), digest.alias("text_sha256"), at(minute).alias("at"), F.when(F.lit(kind) == "result", F.concat(F.lit(f"reading {ticket} of "), F.substring(digest, 1, 8))).alias("report"))
+    told = [(0, "text", 1, old), (1, "result", 1, old), (2, "text", 2, new), (3, "result", 2, new), (9, "result", 3, old), (11, "result", 4, new), (12, "result", 2, new)]
+    both = seeded(spark, d, keep_plain=True)
+    rows = both.select("doc_id", F.explode(F.array(*(event(*x) for x in told))).alias("e")).select("doc_id", "e.*")
+    return rows.where("ticket <> 4 or doc_id % 3 <> 0")
+
+
+@query
+def late_results(spark, d):
+    """Of all results, the last asked for that is of the text as it is now."""
+    results = _late_events(spark, d).where("kind = 'result'").distinct().select("doc_id", "text_sha256", "ticket", "report")
+    return edits.current(results.dropDuplicates(["doc_id", "ticket"]), seeded(spark, d)).select("doc_id", "text_sha256", "ticket", "report")
+
+
+@query
+def late_stream(spark, d):
+    """The same, from a stream of events in several triggers."""
+    top = storage.folder(spark, "late")
+    _late_events(spark, d).repartition(8, "doc_id", "at").write.parquet(f"{top}/events")
+    events = spark.readStream.schema(late.EVENTS).option("maxFilesPerTrigger", 3).parquet(f"{top}/events")
+    run = late.latest(events, delay="1 hour").writeStream.format("parquet").option("path", f"{top}/shown").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return late.shown(spark.read.schema(late.SHOWN).parquet(f"{top}/shown"))
+
+
 @query
 def markdown_reports(spark, d):
     return report.to_markdown(plan.reports(seeded(spark, d)))

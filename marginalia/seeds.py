@@ -24,9 +24,10 @@ SEEDS = (
 )
 
 
-def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with a passage behind each text, after a blank line."""
+def seeded(spark: SparkSession, sf_dir: str, keep_plain: bool = False) -> DataFrame:
+    """documents with a passage behind each text, after a blank line; on demand with the text as it was, as ``plain``."""
     docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("plain", F.col("text")) if keep_plain else docs
     passage = F.element_at(F.array(*map(F.lit, SEEDS)), (F.pmod("doc_id", F.lit(len(SEEDS))) + 1).cast("int"))
     return docs.withColumn("text", F.when(F.length(passage) > 0, F.concat("text", F.lit("\n\n"), passage)).otherwise(F.col("text")))
 

@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detectors import Detector
@@ -66,8 +65,3 @@ def edit_stream(events: DataFrame) -> DataFrame:
     ship(events.sparkSession)
     state = "idx array<int>, start array<int>, end array<int>, unverified array<boolean>"
     return events.groupBy("doc_id").applyInPandasWithState(_follow, FOLLOWED, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def latest(results: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Of a stream of results (doc_id, text_sha256, ticket, at), the highest ticket of each text within the watermark."""
-    return results.withWatermark("at", watermark).groupBy("doc_id", "text_sha256", F.window("at", watermark)).agg(F.max("ticket").alias("ticket"))
