@@ -146,8 +146,8 @@ def detectors_of(chosen: Sequence[str | Detector] | None) -> tuple[list[Detector
     """Detectors and their names, in order; None stands for the four defaults.
 
     A function of a segment's text and start that returns signals is named
-    after itself. The two detectors by statistics are tables, not columns, so
-    they are added by ``operators.outliers``.
+    after itself. The two detectors by statistics are tables, not columns:
+    ``plans.gauge`` adds them, and here they are an error.
     """
     functions, names = [], []
     for x in DEFAULT if chosen is None else chosen:
@@ -164,6 +164,13 @@ def detectors_of(chosen: Sequence[str | Detector] | None) -> tuple[list[Detector
     return functions, tuple(names)
 
 
+def by_statistics(chosen: Sequence[str | Detector] | None) -> tuple[list[str | Detector] | None, list[str]]:
+    """The detectors that are columns, and the names of those that need token statistics."""
+    if chosen is None:
+        return None, []
+    return [x for x in chosen if callable(x) or x not in BY_STATISTICS], [x for x in chosen if not callable(x) and x in BY_STATISTICS]
+
+
 def signals_of(text: Column, start: Column, chosen: Sequence[str | Detector] | None = None) -> Column:
     """All signals of a segment, in the order of start, name and detector."""
     functions, _ = detectors_of(chosen)

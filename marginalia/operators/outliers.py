@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import let
+from ..shipping import ship
+from .counted import statistics
 
 # Bands of standing with their weights, and the least that a comparison needs.
 BANDS = ((1.5, 0.30), (2.5, 0.45))
@@ -40,6 +46,11 @@ def band_of(z: Column) -> Column:
     return out
 
 
+def scored_rows(chunk: Column) -> Column:
+    """(first, end): the rows of a pass's output that predict the tokens it scores; row j predicts the token behind its j-th, so the last is of no use."""
+    return F.struct((chunk["first"] - chunk["start"] - 1).alias("first"), (chunk["end"] - chunk["start"] - 1).alias("end"))
+
+
 def score(kind: str, a: Column, b: Column) -> Column:
     """A window's score from its two sums; 0 where it can't be divided."""
     return F.when(b > 0, a / F.sqrt(b)).otherwise(0.0) if kind == "curvature" else F.when(b != 0, a / b).otherwise(0.0)
@@ -56,15 +67,6 @@ def chunks(n: Column, window: int = WINDOW) -> Column:
 CELL = 512
 
 
-def profiles(stats: DataFrame) -> DataFrame:
-    """(doc_id, sums, n): each document's running sums of a and b, (i, a, b) from 0 to n, in order."""
-    own = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = stats.select("doc_id", (F.col("tok_idx") + 1).alias("i"), F.sum("a").over(own).alias("a"), F.sum("b").over(own).alias("b"))
-    lists = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("ends"))
-    first = F.array(F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))
-    return lists.select("doc_id", F.concat(first, "ends").alias("sums"), F.size("ends").alias("n"))
-
-
 def token_ranges(segments: DataFrame, stats: DataFrame) -> DataFrame:
     """(doc_id, seg_idx, start, end, lo, hi): the tokens that overlap each segment, hi exclusive; segments without any are left out.
 
@@ -78,35 +80,126 @@ def token_ranges(segments: DataFrame, stats: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "seg_idx", "start", "end").agg(F.min("tok_idx").alias("lo"), (F.max("tok_idx") + 1).alias("hi"))
 
 
-def reference_windows(lo: Column, hi: Column, n: Column) -> Column:
-    """Starts of windows as wide as a span, half a width apart, that miss it."""
-    width = hi - lo
-    step = F.greatest(F.lit(1), F.floor(width / 2).cast("int"))
-    every = F.when((width > 0) & (n >= width), F.sequence(F.lit(0), n - width, step)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: (i + width <= lo) | (i >= hi))
+#: A segment's standing in its document.
+STANDING = "seg_idx int, start int, end int, n_tokens int, n_windows int, score double, z double"
+
+
+class _Without:
+    """A sorted list without a few of its places, read by rank."""
+
+    def __init__(self, ordered: list[float], out: list[int]):
+        self.ordered, self.out, self.size = ordered, sorted(out), len(ordered) - len(out)
+
+    def __getitem__(self, k: int) -> float:
+        for rank in self.out:
+            if rank > k:
+                break
+            k += 1
+        return self.ordered[k]
+
+    def median(self) -> float:
+        half = self.size // 2
+        return self[half] if self.size % 2 else (self[half - 1] + self[half]) / 2
+
+    def _off(self, m: float, k: int) -> float:
+        """The k-th smallest distance from m: the k + 1 nearest stand side by side, and where is found by halving."""
+        low, high = 0, self.size - k - 1
+        while low < high:
+            mid = (low + high) // 2
+            if m - self[mid] > self[mid + k + 1] - m:
+                low = mid + 1
+            else:
+                high = mid
+        return max(m - self[low], self[low + k] - m)
+
+    def deviation(self, m: float) -> float:
+        """The median distance from m."""
+        half = self.size // 2
+        return self._off(m, half) if self.size % 2 else (self._off(m, half - 1) + self._off(m, half)) / 2
+
+
+def _ranges(a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first token that overlaps each span, and that behind the last; tokens without width overlap none."""
+    wide = np.flatnonzero(b > a)
+    a, b = a[wide], b[wide]
+    if (np.diff(a) >= 0).all() and (np.diff(b) >= 0).all():
+        first, last = np.searchsorted(b, start, "right"), np.searchsorted(a, end, "left")
+    else:
+        met = [np.flatnonzero((a < e) & (b > s)) for s, e in zip(start, end)]
+        first, last = (np.array([f(m) if len(m) else 0 for m in met], int) for f in (lambda m: m[0], lambda m: m[-1] + 1))
+    some = (last > first) & (end > start)
+    at = np.append(wide, 0)
+    return np.where(some, at[np.minimum(first, len(wide))], 0), np.where(some, at[last - 1] + 1, 0)
+
+
+def document_standings(start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray, kind: str, sign: float) -> Iterator[tuple[int, int, int, float, float]]:
+    """(span, tokens, windows, score, z) of a document's spans; a and b are its tokens' numbers, [first, last) the places of tokens.
+
+    Spans of one width share the windows that are as wide, half a width
+    apart, sorted once. Those that overlap a span are a handful that follow
+    each other, so the median and the median deviation of the others are read
+    from the sorted list by rank. All widths together take n log n windows,
+    and n log^2 n time, for n tokens; the windows of one width are in memory.
+    """
+    lo, hi = _ranges(first, last, start, end)
+    sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (a, b)]
+
+    def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x, y = (s[j] - s[i] for s in sums)
+        with np.errstate(all="ignore"):
+            return np.where(y > 0, x / np.sqrt(y), 0.0) if kind == "curvature" else np.where(y != 0, x / y, 0.0)
+
+    width, own = hi - lo, scores(lo, hi)
+    for w in np.unique(width[width >= MIN_TOKENS]).tolist():
+        step = max(1, w // 2)
+        at = np.arange(0, len(a) - w + 1, step)
+        values = scores(at, at + w)
+        order = np.argsort(values, kind="stable")
+        ordered, rank = values[order].tolist(), np.empty(len(order), int)
+        rank[order] = np.arange(len(order))
+        for k in np.flatnonzero(width == w).tolist():
+            # starts from lo - w + 1 to hi - 1 overlap the span
+            near = slice(max(0, -(-(int(lo[k]) - w + 1) // step)), -(-int(hi[k]) // step))
+            others = _Without(ordered, rank[near].tolist())
+            if others.size >= MIN_WINDOWS:
+                m = others.median()
+                scale = others.deviation(m) * 1.4826
+                yield k, w, others.size, float(own[k]), sign * ((float(own[k]) - m) / scale if scale > 0 else 0.0)
 
 
 def standings(segments: DataFrame, stats: DataFrame, kind: str, sign: float) -> DataFrame:
-    """(doc_id, seg_idx, start, end, n_tokens, n_windows, score, z) for each segment long enough, with enough to compare it to."""
-    ranges = token_ranges(segments, stats).where(F.col("hi") - F.col("lo") >= MIN_TOKENS)
-    per_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("seg_idx", "start", "end", "lo", "hi")).alias("segs"))
+    """(doc_id, seg_idx, start, end, n_tokens, n_windows, score, z) for each segment long enough, with enough to compare it to.
 
-    def over(i: Column, j: Column) -> Column:
-        return let(F.struct(F.element_at("sums", i + 1).alias("x"), F.element_at("sums", j + 1).alias("y")), lambda e: score(kind, e["y"]["a"] - e["x"]["a"], e["y"]["b"] - e["x"]["b"]))
+    Segments and tokens meet by document, each in one shuffle; a task holds
+    one document's tokens as arrays of numbers, 40 bytes each. Numbers that
+    are null count as 0; a document without tokens has no rows.
+    """
+    ship(segments.sparkSession)
+    id_type = segments.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, {STANDING}"
+    arrow = to_arrow_schema(segments.sparkSession.createDataFrame([], schema).schema)
 
-    def stand(s: Column) -> Column:
-        def against(others: Column) -> Column:
-            return F.when(F.size(others) >= MIN_WINDOWS, let(over(s["lo"], s["hi"]), lambda v: F.struct(s["seg_idx"].alias("seg_idx"), s["start"].alias("start"), s["end"].alias("end"), (s["hi"] - s["lo"]).alias("n_tokens"), F.size(others).alias("n_windows"), v.alias("score"), (F.lit(sign) * robust_z(v, others)).alias("z"))))
+    def stand(key: tuple, spans: pa.Table, tokens: pa.Table) -> pa.Table:
+        spans, tokens = spans.sort_by("seg_idx"), tokens.sort_by("tok_idx")
+        start, end = (spans[c].to_numpy() for c in ("start", "end"))
+        a, b, first, last = (pc.fill_null(tokens[c], 0).to_numpy() for c in ("a", "b", "t0", "t1"))
+        made = list(zip(*document_standings(start, end, a, b, first, last, kind, sign))) or [()] * 5
+        at = np.array(made[0], int)
+        columns = [pa.repeat(key[0], len(at)), spans["seg_idx"].take(at).combine_chunks(), start[at], end[at], *made[1:]]
+        return pa.Table.from_arrays([pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
-        return let(F.transform(reference_windows(s["lo"], s["hi"], F.col("n")), lambda i: over(i, i + s["hi"] - s["lo"])), against)
+    spans = segments.where("end > start").select("doc_id", F.col("seg_idx").cast("int").alias("seg_idx"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    tokens = stats.select(F.col("doc_id").alias("of_doc"), "tok_idx", F.col("start").cast("int").alias("t0"), F.col("end").cast("int").alias("t1"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    return spans.groupBy("doc_id").cogroup(tokens.groupBy("of_doc")).applyInArrow(stand, schema)
 
-    both = per_doc.join(profiles(stats), "doc_id")
-    return both.select("doc_id", F.explode(F.array_compact(F.transform("segs", stand))).alias("s")).select("doc_id", "s.*")
 
+def outlier_signals(segments: DataFrame, stats: DataFrame | None, detector: str = "fast-detect-gpt", docs: DataFrame | None = None) -> DataFrame:
+    """Signals to inject, one for each segment that stands out; what a model thinks, not what the text says.
 
-def outlier_signals(segments: DataFrame, stats: DataFrame, detector: str = "fast-detect-gpt") -> DataFrame:
-    """Signals to inject, one for each segment that stands out; what a model thinks, not what the text says."""
+    Without ``stats`` those of a model counted from ``docs`` are used.
+    """
     kind, sign, name = STATISTICS[detector]
+    stats = statistics(docs, kind) if stats is None else stats
     rows = standings(segments, stats, kind, sign).withColumn("weight", band_of(F.col("z"))).where("weight is not null")
     note = F.format_string("%s median deviations off the rest of the document, by %s windows: a model's opinion", F.bround(F.abs(F.col("z")), 1), F.col("n_windows"))
     return rows.select("doc_id", F.lit(name).alias("name"), F.when(F.col("z") > 0, "machine").otherwise("human").alias("direction"), "weight", F.lit(detector).alias("detector"), F.bround("score", 4).cast("string").alias("value"), note.alias("note"), "start", "end")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .operators.detectors import ARTIFACTS, OPENERS
 from .operators.rules import RULES
 from .queries import EDITS
@@ -16,8 +18,6 @@ def _q(s: str) -> str:
 
 
 def _re2(pattern: str) -> str:
-    import re
-
     p = re.sub(r"(?<=\w)\.(?=\w)", "['’ʼ]", pattern)
     p = p.replace(r"\b[\w-]+", _WORD + r"[\p{L}\p{N}_-]*").replace(r"[\w-]+\b", r"[\p{L}\p{N}_-]*" + _WORD).replace(r"[\w-]", r"[\p{L}\p{N}_-]")
     return "(?im)" + p
@@ -57,6 +57,9 @@ LATE = f"""WITH {DOCS}, b AS (SELECT doc_id, sha256(d.text) AS now, sha256(p.tex
   t AS (SELECT doc_id, now, CASE WHEN doc_id % 3 <> 0 THEN 4 WHEN now = old THEN 3 ELSE 2 END::BIGINT AS ticket FROM b)
   SELECT doc_id, now AS text_sha256, ticket, 'reading ' || ticket || ' of ' || left(now, 8) AS report FROM t"""
 
+#: Words and signs of the counted model.
+MODEL_TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x09-\x0D\x20]"
+
 # The engine's patterns as RE2 writes them.
 QUOTED_RE = r'`[^`\n]+`|"[^"\n]{0,200}"|“[^”\n]{0,200}”'
 MARKUP_RE = r"^\s*(#{1,6}\s|[-*+]\s|\d+[.)]\s|\||>\s|```|~~~|\[[^\]]+\]:|[-=]{3,}\s*$)"
@@ -201,6 +204,22 @@ def oracle_sql() -> dict[str, str]:
   std_ AS (SELECT *, CASE WHEN d * 1.4826 > 0 THEN {sign} * (score - m) / (d * 1.4826) ELSE 0.0 END AS z FROM own_)"""
     ratio, curvature = tokens.replace("{per}", "(4.0 * (hi - lo))").replace("{sign}", "-1"), tokens.replace("{per}", "sqrt(4.0 * (hi - lo))").replace("{sign}", "1")
     standing = "SELECT doc_id, seg_idx, n_tokens::INT AS n_tokens, n_windows::INT AS n_windows, round_even(score, 4)::DOUBLE AS score, CASE WHEN round_even(z, 3) = 0 THEN 0.0 ELSE round_even(z, 3) END::DOUBLE AS z, CASE WHEN abs(z) >= 2.5 THEN 0.45 WHEN abs(z) >= 1.5 THEN 0.3 END::DOUBLE AS weight FROM std_"
+    # a model of three words over one of two over single ones, in full; then each sentence among the windows of its text
+    model = """tk AS MATERIALIZED (SELECT doc_id, i - 1 AS tok_idx, (sum(g) OVER w + sum(l) OVER w - l)::INT AS a, (sum(g) OVER w + sum(l) OVER w)::INT AS b, m AS w, lag(m, 1, '') OVER w AS c2, lag(m, 2, '') OVER w AS c1 FROM (SELECT doc_id, i, m, length(m) AS l, length(gaps[i]) AS g FROM (SELECT *, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{re}') AS ms, regexp_split_to_array(text, '{re}') AS gaps FROM docs))) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  n3 AS MATERIALIZED (SELECT c1, c2, w, count(*)::DOUBLE AS n FROM tk GROUP BY ALL), n2 AS MATERIALIZED (SELECT c2, w, sum(n) AS n FROM n3 GROUP BY ALL), n1 AS (SELECT w, sum(n) AS n FROM n2 GROUP BY ALL),
+  unk AS (SELECT 1.0::DOUBLE / (sum(n) + count(*) + 1) AS u FROM n1), p1 AS MATERIALIZED (SELECT w, (n + 1) * u AS p FROM n1, unk),
+  mo AS (SELECT sum(p * ln(p)) + any_value(u * ln(u)) AS m1, sum(p * ln(p) * ln(p)) + any_value(u * ln(u) * ln(u)) AS m2 FROM p1, unk),
+  t2 AS (SELECT c2, sum(n) AS s, count(*) AS k FROM n2 GROUP BY ALL), p2 AS MATERIALIZED (SELECT c2, n2.w, k / (s + k) AS be, k / (s + k) * p1.p AS q, n / (s + k) + k / (s + k) * p1.p AS p FROM n2 JOIN t2 USING (c2) JOIN p1 USING (w)),
+  x2 AS MATERIALIZED (SELECT c2, sum(p * ln(p) - q * ln(q)) + max(be) * (ln(max(be)) + any_value(m1)) AS mean, sum(p * ln(p) * ln(p) - q * ln(q) * ln(q)) + max(be) * (ln(max(be)) * ln(max(be)) + 2 * ln(max(be)) * any_value(m1) + any_value(m2)) AS sq FROM p2, mo GROUP BY c2),
+  t3 AS (SELECT c1, c2, sum(n) AS s, count(*) AS k FROM n3 GROUP BY ALL), p3 AS MATERIALIZED (SELECT n3.c1, n3.c2, n3.w, k / (s + k) AS be, p2.p AS lo, k / (s + k) * p2.p AS q, n / (s + k) + k / (s + k) * p2.p AS p FROM n3 JOIN t3 USING (c1, c2) JOIN p2 ON p2.c2 = n3.c2 AND p2.w = n3.w),
+  y3 AS (SELECT c1, c2, max(be) AS be, sum(p * ln(p) - q * ln(q)) AS g1, sum(p * ln(p) * ln(p) - q * ln(q) * ln(q)) AS g2, sum(lo * (ln(p) - ln(q))) AS x FROM p3 GROUP BY ALL),
+  x3 AS MATERIALIZED (SELECT y3.c1, y3.c2, g1 + be * (ln(be) + x2.mean) AS mean, g2 + be * (ln(be) * ln(be) + 2 * ln(be) * x2.mean + x2.sq) AS sq, -(x + ln(be) + x2.mean) AS cr FROM y3 JOIN x2 USING (c2)),
+  gr AS MATERIALIZED (SELECT p3.c1, p3.c2, w, ln(p) AS ll, mean, greatest(sq - mean * mean, 0) AS var, cr AS "cross" FROM p3 JOIN x3 ON x3.c1 = p3.c1 AND x3.c2 = p3.c2)""".replace("{re}", MODEL_TOKENS)
+    thought = """ts AS MATERIALIZED (SELECT doc_id, tok_idx, a, b, CASE WHEN tok_idx = 0 THEN 0 ELSE {a} END AS x, CASE WHEN tok_idx = 0 THEN 0 ELSE {b} END AS y FROM tk JOIN gr USING (c1, c2, w)),
+  cum AS MATERIALIZED (SELECT doc_id, list_prepend(0.0, list(sx ORDER BY tok_idx)) AS sums, list_prepend(0.0, list(sy ORDER BY tok_idx)) AS under, count(*) AS n FROM (SELECT *, sum(x) OVER w AS sx, sum(y) OVER w AS sy FROM ts WINDOW w AS (PARTITION BY doc_id ORDER BY tok_idx)) GROUP BY doc_id),"""
+    of = lambda a, b, per, sign: f"{thought.replace('{a}', a).replace('{b}', b)} " + tokens[tokens.index("lows AS") :].replace("c.sums FROM", "c.sums, c.under FROM").replace("(sums[hi + 1] - sums[lo + 1]) / {per}", per.format("(sums[hi + 1] - sums[lo + 1])", "(under[hi + 1] - under[lo + 1])")).replace("(sums[i + hi - lo + 1] - sums[i + 1]) / {per}", per.format("(sums[i + hi - lo + 1] - sums[i + 1])", "(under[i + hi - lo + 1] - under[i + 1])")).replace("{sign}", sign)
+    by_curve, by_cross = of("ll - mean", "var", "CASE WHEN {1} > 0 THEN {0} / sqrt({1}) ELSE 0 END", "1"), of("-ll", '"cross"', "CASE WHEN {1} <> 0 THEN {0} / {1} ELSE 0 END", "-1")
+    by_cross_too = re.sub(r"\b(ts|cum|lows|rng|vals|med|own_|std_)\b", r"\g<1>2", by_cross)
     numbered = """(SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x))"""
     told = lambda c: f"coalesce(round(({c})::DECIMAL(18,2), 1)::DECIMAL(18,1)::VARCHAR, 'n/a')"
     out = {
@@ -264,6 +283,11 @@ def oracle_sql() -> dict[str, str]:
         "model_chunks": "WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents), c AS (SELECT doc_id, n, unnest(generate_series(0, greatest(1, ceil((n - 512) / 256.0)::INT + 1) - 1)) AS i FROM t) SELECT doc_id, (i * 256)::INT AS start, least(i * 256 + 512, n)::INT AS \"end\", CASE WHEN i = 0 THEN 1 ELSE least((i - 1) * 256 + 512, n) END::INT AS first FROM c",
         "late_results": LATE,
         "late_stream": LATE,
+        "model_rows": "WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents), c AS (SELECT doc_id, n, unnest(generate_series(0, greatest(1, ceil((n - 512) / 256.0)::INT + 1) - 1)) AS i FROM t) SELECT doc_id, (i * 256)::INT AS start, (CASE WHEN i = 0 THEN 0 ELSE least((i - 1) * 256 + 512, n) - i * 256 - 1 END)::INT AS first, (least(i * 256 + 512, n) - i * 256 - 1)::INT AS \"end\" FROM c",
+        "counted_model": f"WITH {DOCS}, {model} SELECT c1, c2, w, " + ", ".join(f'CASE WHEN round_even("{c}", 4) = 0 THEN 0.0 ELSE round_even("{c}", 4) END::DOUBLE AS "{c}"' for c in ("ll", "mean", "var", "cross")) + " FROM gr",
+        "counted_curvature": f"{ps}, {model}, {by_curve} {standing}",
+        "counted_ratio": f"{ps}, {model}, {by_cross} {standing}",
+        "statistics_verdicts": f"{ps}, {_signals('sents')}, {model}, {by_curve}, {by_cross_too}, out_ AS (SELECT doc_id, seg_idx, z FROM std_ UNION ALL SELECT doc_id, seg_idx, z FROM std_2), both_ AS (SELECT doc_id, seg_idx, direction, weight FROM sig_sents UNION ALL SELECT doc_id, seg_idx, CASE WHEN z > 0 THEN 'machine' ELSE 'human' END, CASE WHEN abs(z) >= 2.5 THEN 0.45 ELSE 0.3 END FROM out_ WHERE abs(z) >= 1.5), {_scored('sents', 'both_')}, {_rolled('scored')} SELECT doc_id, n_signals::BIGINT AS n_signals, lean, strength, label, 'tells,forensic,rhetoric,rhythm,fast-detect-gpt,binoculars' AS detectors FROM rolled",
         "edit_invalidation": f"""{sig}, es AS (SELECT doc_id, seg_idx, start::INT AS s, (start + length(quote))::INT AS e, false AS bad FROM paras), {_mapped(EDITS, 'es')}, xs AS (SELECT doc_id, seg_idx, nth, name, s, e, false AS bad FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x)) WHERE s IS NOT NULL), {_mapped(EDITS, 'xs')}
           SELECT x.doc_id, x.seg_idx, nth, name, x.s AS start, x.e AS "end", x.bad OR y.bad AS unverified FROM met{len(EDITS) - 1}_xs x JOIN met{len(EDITS) - 1}_es y USING (doc_id, seg_idx)""",
     }

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import after, before, let
-from ..operators.detectors import DEFAULT, Detector, detectors_of, signals_of
+from ..operators.counted import counted, statistics
+from ..operators.detectors import DEFAULT, Detector, by_statistics, detectors_of, signals_of
+from ..operators.outliers import STATISTICS, outlier_signals
 from ..operators.scoring import Aggregate, aggregate_of, by_direction, document_verdict, is_directed, roll_up
 from ..operators.segments import SPANS, Segmenter, segmented, segmenter_of
 from ..schema import SCHEMA_VERSION, SIGNALS
@@ -63,8 +65,28 @@ def scored(segments: DataFrame, aggregate: str | Aggregate = "density_aggregate"
     return out.select(*segments.columns, F.size("signals").cast("long").alias("n_signals"), *sums, "v.lean", "v.strength", "v.label")
 
 
+def with_statistics(docs: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str | Detector] | None, extra: DataFrame | None) -> tuple[Sequence[str | Detector] | None, DataFrame | None]:
+    """Detectors that are columns, and evidence to inject: what was given, and what detectors by token statistics find by a model counted from ``docs``."""
+    columns, names = by_statistics(detectors)
+    if not names:
+        return detectors, extra
+    if docs.isStreaming:
+        raise ValueError("detectors by token statistics need all documents: give their evidence as extra")
+    segments, fields = segmented(docs, segmenter, context=False), ("doc_id", "name", "direction", "weight", "detector", "value", "note", "start", "end")
+    model = counted(docs)
+    found = [outlier_signals(segments, statistics(docs, STATISTICS[n][0], model, among=True), n).select(*fields) for n in names]
+    for part in ([extra.select(*fields)] if extra is not None else []) + found[1:]:
+        found[0] = found[0].unionByName(part)
+    return columns, found[0]
+
+
 def gauge(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, aggregate: str | Aggregate = "density_aggregate", extra: DataFrame | None = None, keep: tuple[str, ...] = (), context: bool = False) -> DataFrame:
-    """Scored segments of (doc_id, text), ids unique; a null text has none."""
+    """Scored segments of (doc_id, text), ids unique; a null text has none.
+
+    Detectors by token statistics (fast-detect-gpt, binoculars) use a model
+    that is counted from the documents; evidence by another is given as ``extra``.
+    """
+    detectors, extra = with_statistics(docs, segmenter, detectors, extra)
     found = detected(docs, segmenter, detectors, keep, context)
     return scored(inject(found, extra) if extra is not None else found, aggregate)
 
@@ -97,9 +119,14 @@ def _judged(nested: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return out.select("doc_id", *keep, "text_sha256", "n_chars", F.when(F.col("segments").isNull(), F.lit(0)).otherwise(F.size("segments")).cast("long").alias("n_segments"), "n_signals", "v.lean", "v.strength", "v.label", "segments")
 
 
+def _names(detectors: Sequence[str | Detector] | None) -> list[str]:
+    detectors_of(by_statistics(detectors)[0])  # unknown names are an error
+    return [getattr(x, "__name__", "custom") if callable(x) else x for x in (DEFAULT if detectors is None else detectors)]
+
+
 def _named(reports: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str | Detector] | None, aggregate: str | Aggregate) -> DataFrame:
     """What made a report, behind its other columns."""
-    names = detectors_of(detectors)[1]
+    names = _names(detectors)
     return reports.withColumns({"segmenter": F.lit(segmenter_of(segmenter)[1]), "detectors": F.lit(",".join(names)), "calibration": F.lit(f"uncalibrated ({aggregate_of(aggregate)[1]})"), "schema_version": F.lit(SCHEMA_VERSION)})
 
 
@@ -109,12 +136,14 @@ def verdicts(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detector
     Row by row, without a shuffle; with injected evidence the segments meet it
     by doc_id, and sums of theirs meet the documents.
     """
+    named = detectors
+    detectors, extra = with_statistics(docs, segmenter, detectors, extra)
     if extra is None:
         out = _judged(_nested(docs, segmenter, detectors, aggregate, keep, False), keep).drop("segments")
     else:
         heads = docs.select("doc_id", *keep, F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
         out = roll_up(gauge(docs, segmenter, detectors, aggregate, extra), heads, (*keep, "text_sha256"))
-    return _named(out, segmenter, detectors, aggregate)
+    return _named(out, segmenter, named, aggregate)
 
 
 def signals(segments: DataFrame) -> DataFrame:
@@ -131,6 +160,8 @@ def reports(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors
     """
     plain = lambda s: F.transform(s["signals"], lambda x: x.dropFields("at", "d", "longer", "ord")).alias("signals")
     fields = ("seg_idx", "start", "end", "quote", "prefix", "suffix", "level", "lean", "strength", "label")
+    named = detectors
+    detectors, extra = with_statistics(docs, segmenter, detectors, extra)
     if extra is None:
         judged = _judged(_nested(docs, segmenter, detectors, aggregate, (), True), ())
         shown = F.when(F.size("segments") > 0, F.transform("segments", lambda s: F.struct(*(s[c].alias(c) for c in fields), plain(s))))
@@ -139,4 +170,4 @@ def reports(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors
     segs = gauge(docs, segmenter, detectors, aggregate, extra, context=True)
     one = F.struct(*fields, F.transform("signals", lambda s: s.dropFields("at", "d", "longer", "ord")).alias("signals"))
     arrays = segs.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("segments"))
-    return verdicts(docs, segmenter, detectors, aggregate, extra).join(arrays, "doc_id", "left")
+    return verdicts(docs, segmenter, detectors, aggregate, extra).withColumn("detectors", F.lit(",".join(_names(named)))).join(arrays, "doc_id", "left")

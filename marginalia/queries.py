@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .functions.text import matches, plain_words, utf16_offset, whitespace_words
-from .operators import edits, evaluate, outliers, placement, readers
-from .operators.detectors import QUOTED, detectors, forensic, is_markup, rhetoric, rhythm_cv
+from .operators import counted, edits, evaluate, outliers, placement, readers
+from .operators.detectors import BY_STATISTICS, DEFAULT, QUOTED, detectors, forensic, is_markup, rhetoric, rhythm_cv
 from .operators.rules import catalogue, tell_matches
 from .operators.scoring import blind, density
 from .operators.segments import segmented, segmenters
@@ -431,6 +431,45 @@ def model_chunks(spark, d):
     return n.select("doc_id", F.explode(outliers.chunks(F.col("n"))).alias("c")).select("doc_id", "c.start", "c.end", "c.first")
 
 
+@query
+def model_rows(spark, d):
+    """Which rows of each pass's output are used."""
+    n = _docs(spark, d).select("doc_id", whitespace_words(F.col("text")).alias("n"))
+    rows = n.select("doc_id", F.explode(outliers.chunks(F.col("n"))).alias("c")).select("doc_id", "c.start", outliers.scored_rows(F.col("c")).alias("r"))
+    return rows.select("doc_id", "start", "r.first", "r.end")
+
+
+@query
+def counted_model(spark, d):
+    """What a model counted from all texts thinks of each pair of words and what follows."""
+    m = counted.counted(seeded(spark, d)).grams
+    return m.select("c1", "c2", "w", *(F.bround(c, 4).alias(c) for c in ("ll", "mean", "var", "cross")))
+
+
+def _counted(spark, d, kind, sign):
+    docs = seeded(spark, d)
+    rows = outliers.standings(segmented(docs, "sentence", context=False), counted.statistics(docs, kind), kind, sign)
+    return rows.select("doc_id", "seg_idx", "n_tokens", "n_windows", F.bround("score", 4).alias("score"), F.bround("z", 3).alias("z"), outliers.band_of(F.col("z")).alias("weight"))
+
+
+@query
+def counted_curvature(spark, d):
+    """Sentences that a counted model finds unusually likely or unlikely for their document."""
+    return _counted(spark, d, "curvature", 1.0)
+
+
+@query
+def counted_ratio(spark, d):
+    """Sentences on which a counted pair of models agrees unusually."""
+    return _counted(spark, d, "ratio", -1.0)
+
+
+@query
+def statistics_verdicts(spark, d):
+    """Verdicts of default detectors with both detectors by statistics."""
+    return plan.verdicts(seeded(spark, d), "sentence", [*DEFAULT, *BY_STATISTICS]).select("doc_id", "n_signals", "lean", "strength", "label", "detectors")
+
+
 @query
 def edit_invalidation(spark, d):
     """Findings after three edits of each document."""

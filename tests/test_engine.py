@@ -333,8 +333,8 @@ def test_outliers(spark):
     assert [r["w"] for r in bands.collect()] == [None, 0.3, 0.45, 0.45]
     chunks = spark.range(1).select(outliers.chunks(F.lit(20), 8).alias("c")).first()["c"]
     assert [tuple(c) for c in chunks] == [(0, 8, 1), (4, 12, 8), (8, 16, 12), (12, 20, 16)]
-    windows = spark.range(1).select(outliers.reference_windows(F.lit(0), F.lit(2), F.lit(10)).alias("w")).first()["w"]
-    assert windows == list(range(2, 9))
+    rows = spark.range(1).select(outliers.scored_rows(F.struct(F.lit(4).alias("start"), F.lit(12).alias("end"), F.lit(8).alias("first"))).alias("r")).first()["r"]
+    assert tuple(rows) == (3, 7)
     # sizes without a period, as windows that are all alike have no deviation and nothing stands out of them
     plain = ["x" * (2 + k * k % 7 + k % 4) for k in range(180)]
     before = " ".join(plain[:80])
