@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, hits, json_value, let, matches, placed_hits, plain_words
 from ..schema import SIGNAL, SIGNALS
+from .plain import PlainDetector, plain_signals
 from .rules import METRICS, RULES, Rule, tell_matches
 
 #: A segment's text and start to an array of signals.
@@ -142,7 +143,7 @@ BY_STATISTICS = ("fast-detect-gpt", "binoculars")
 _ABOUT = {"tells": "phrases of the catalogue, outside quotations", "forensic": "traces of typing, pasting and typesetting", "rhetoric": "shapes of sentences", "rhythm": "how much sentence lengths vary", "fast-detect-gpt": "stretches that a language model finds unusually likely or unlikely", "binoculars": "stretches on which two language models agree unusually"}
 
 
-def detectors_of(chosen: Sequence[str | Detector] | None) -> tuple[list[Detector], tuple[str, ...]]:
+def detectors_of(chosen: Sequence[str | Detector | PlainDetector] | None) -> tuple[list[Detector | PlainDetector], tuple[str, ...]]:
     """Detectors and their names, in order; None stands for the four defaults.
 
     A function of a segment's text and start that returns signals is named
@@ -151,7 +152,7 @@ def detectors_of(chosen: Sequence[str | Detector] | None) -> tuple[list[Detector
     """
     functions, names = [], []
     for x in DEFAULT if chosen is None else chosen:
-        if callable(x):
+        if callable(x) or isinstance(x, PlainDetector):
             functions.append(x)
             names.append(getattr(x, "__name__", "custom"))
         elif x in DETECTORS:
@@ -168,13 +169,20 @@ def by_statistics(chosen: Sequence[str | Detector] | None) -> tuple[list[str | D
     """The detectors that are columns, and the names of those that need token statistics."""
     if chosen is None:
         return None, []
-    return [x for x in chosen if callable(x) or x not in BY_STATISTICS], [x for x in chosen if not callable(x) and x in BY_STATISTICS]
+    return [x for x in chosen if not isinstance(x, str) or x not in BY_STATISTICS], [x for x in chosen if isinstance(x, str) and x in BY_STATISTICS]
 
 
-def signals_of(text: Column, start: Column, chosen: Sequence[str | Detector] | None = None) -> Column:
-    """All signals of a segment, in the order of start, name and detector."""
+def plain_of(chosen: Sequence[str | Detector | PlainDetector] | None) -> Callable[[Column, Column], Column] | None:
+    """What plain Python detectors among the chosen ones find in a text's array of spans, an array of signals for each; None if there are none."""
+    own = [(d, f) for d, f in enumerate(detectors_of(chosen)[0]) if isinstance(f, PlainDetector)]
+    return plain_signals(own) if own else None
+
+
+def signals_of(text: Column, start: Column, chosen: Sequence[str | Detector | PlainDetector] | None = None, plain: Column | None = None) -> Column:
+    """All signals of a segment, in the order of start, name and detector; ``plain`` has those of plain Python detectors."""
     functions, _ = detectors_of(chosen)
-    found = [F.transform(f(text, start).cast(SIGNALS), _numbered(d)) for d, f in enumerate(functions)]
+    found = [F.transform(f(text, start).cast(SIGNALS), _numbered(d)) for d, f in enumerate(functions) if not isinstance(f, PlainDetector)]
+    found += [] if plain is None else [F.coalesce(plain, F.array().cast(SIGNALS))]
     return F.array_sort(F.concat(F.array().cast(SIGNALS), *found).cast(SIGNALS))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..schema import EVIDENCE_FULL, LEAN_THRESHOLD, REFERENCE_CHARS, SEGMENT_RATE_FULL, STRENGTH_FLOOR
+from .plain import PlainAggregate, plain_verdict
 
 #: Signals and the length of their text to (lean, strength, label).
 Aggregate = Callable[[Column, Column], Column]
@@ -63,8 +64,10 @@ def density(signals: Column, n_chars: Column) -> Column:
 AGGREGATES: dict[str, Aggregate] = {"aggregate": blind, "density_aggregate": density}
 
 
-def aggregate_of(which: str | Aggregate) -> tuple[Aggregate, str]:
+def aggregate_of(which: str | Aggregate | PlainAggregate) -> tuple[Aggregate, str]:
     """An aggregate and the name that a report's calibration gives it."""
+    if isinstance(which, PlainAggregate):
+        return plain_verdict(which), which.__name__
     return (which, getattr(which, "__name__", "custom")) if callable(which) else (AGGREGATES[which], which)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, FLAGS, after, before, let, running
+from .plain import PlainSegmenter, plain_spans
 
 #: A text's spans as an array of (start, end, quote, level).
 Segmenter = Callable[[Column], Column]
@@ -65,8 +66,10 @@ SEGMENTERS: dict[str, Segmenter] = {"paragraph": paragraphs, "sentence": sentenc
 _ABOUT = {"paragraph": "runs of lines without a blank line between them", "sentence": "stretches to a full stop, within a paragraph", "document": "the whole text as one"}
 
 
-def segmenter_of(which: str | Segmenter) -> tuple[Segmenter, str]:
-    """A segmenter and its name; any function of a text column that returns such spans is ``custom``."""
+def segmenter_of(which: str | Segmenter | PlainSegmenter) -> tuple[Segmenter, str]:
+    """A segmenter and its name; any function of a text column that returns such spans, or a plain Python one, is ``custom``."""
+    if isinstance(which, PlainSegmenter):
+        return plain_spans(which), "custom"
     if callable(which):
         return which, "custom"
     if which not in SEGMENTERS:
@@ -74,16 +77,21 @@ def segmenter_of(which: str | Segmenter) -> tuple[Segmenter, str]:
     return SEGMENTERS[which], which
 
 
-def segmented(docs: DataFrame, segmenter: str | Segmenter = "paragraph", keep: tuple[str, ...] = (), context: bool = True) -> DataFrame:
+def segmented(docs: DataFrame, segmenter: str | Segmenter | PlainSegmenter = "paragraph", keep: tuple[str, ...] = (), context: bool = True, plain: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(doc_id, *keep, seg_idx, start, end, quote, level, prefix, suffix, n_chars) from (doc_id, text), a row for each span.
 
     A null text has no spans. Each task splits what it has read: no shuffle.
-    ``context`` False leaves out prefix and suffix.
+    ``context`` False leaves out prefix and suffix. ``plain`` finds signals in
+    a text's spans, which are the column ``plain``.
     """
     build, _ = segmenter_of(segmenter)
     spans = build(F.col("text")).cast(SPANS)
     if context:
         spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["quote"].alias("quote"), s["level"].alias("level"), before(F.col("text"), s["start"]).alias("prefix"), after(F.col("text"), s["end"]).alias("suffix")))
+    if plain is not None:
+        rows = docs.select("doc_id", *keep, "text", spans.alias("spans_")).withColumn("plain_", plain(F.col("text"), F.col("spans_")))
+        out = rows.select("doc_id", *keep, F.length("text").alias("n_chars"), "plain_", F.posexplode("spans_").alias("seg_idx", "s"))
+        return out.select("doc_id", *keep, "n_chars", "seg_idx", "s.*", F.get("plain_", F.col("seg_idx")).alias("plain"))
     out = docs.select("doc_id", *keep, F.length("text").alias("n_chars"), F.posexplode(spans).alias("seg_idx", "s"))
     return out.select("doc_id", *keep, "n_chars", "seg_idx", "s.*")
 

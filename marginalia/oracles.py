@@ -219,6 +219,8 @@ def oracle_sql() -> dict[str, str]:
   cum AS MATERIALIZED (SELECT doc_id, list_prepend(0.0, list(sx ORDER BY tok_idx)) AS sums, list_prepend(0.0, list(sy ORDER BY tok_idx)) AS under, count(*) AS n FROM (SELECT *, sum(x) OVER w AS sx, sum(y) OVER w AS sy FROM ts WINDOW w AS (PARTITION BY doc_id ORDER BY tok_idx)) GROUP BY doc_id),"""
     of = lambda a, b, per, sign: f"{thought.replace('{a}', a).replace('{b}', b)} " + tokens[tokens.index("lows AS") :].replace("c.sums FROM", "c.sums, c.under FROM").replace("(sums[hi + 1] - sums[lo + 1]) / {per}", per.format("(sums[hi + 1] - sums[lo + 1])", "(under[hi + 1] - under[lo + 1])")).replace("(sums[i + hi - lo + 1] - sums[i + 1]) / {per}", per.format("(sums[i + hi - lo + 1] - sums[i + 1])", "(under[i + hi - lo + 1] - under[i + 1])")).replace("{sign}", sign)
     by_curve, by_cross = of("ll - mean", "var", "CASE WHEN {1} > 0 THEN {0} / sqrt({1}) ELSE 0 END", "1"), of("-ll", '"cross"', "CASE WHEN {1} <> 0 THEN {0} / {1} ELSE 0 END", "-1")
+    long_words = lambda source: f"lw AS ({_found('long', '[a-z]{12,}', source)})"
+    rows_ = "rows_ AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1)::INT AS seg_idx, st::INT AS start, line AS quote FROM (SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS st FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)) WHERE length(line) > 0)"
     by_cross_too = re.sub(r"\b(ts|cum|lows|rng|vals|med|own_|std_)\b", r"\g<1>2", by_cross)
     numbered = """(SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x))"""
     told = lambda c: f"coalesce(round(({c})::DECIMAL(18,2), 1)::DECIMAL(18,1)::VARCHAR, 'n/a')"
@@ -288,6 +290,13 @@ def oracle_sql() -> dict[str, str]:
         "counted_curvature": f"{ps}, {model}, {by_curve} {standing}",
         "counted_ratio": f"{ps}, {model}, {by_cross} {standing}",
         "statistics_verdicts": f"{ps}, {_signals('sents')}, {model}, {by_curve}, {by_cross_too}, out_ AS (SELECT doc_id, seg_idx, z FROM std_ UNION ALL SELECT doc_id, seg_idx, z FROM std_2), both_ AS (SELECT doc_id, seg_idx, direction, weight FROM sig_sents UNION ALL SELECT doc_id, seg_idx, CASE WHEN z > 0 THEN 'machine' ELSE 'human' END, CASE WHEN abs(z) >= 2.5 THEN 0.45 ELSE 0.3 END FROM out_ WHERE abs(z) >= 1.5), {_scored('sents', 'both_')}, {_rolled('scored')} SELECT doc_id, n_signals::BIGINT AS n_signals, lean, strength, label, 'tells,forensic,rhetoric,rhythm,fast-detect-gpt,binoculars' AS detectors FROM rolled",
+        "python_detector": f"{p}, {_signals()}, {long_words('paras')}, own_ AS (SELECT doc_id, seg_idx, direction, weight FROM sig_paras WHERE detector = 'forensic' UNION ALL SELECT doc_id, seg_idx, 'machine', 0.3 FROM lw UNION ALL SELECT doc_id, seg_idx, 'human', 0.2 FROM paras JOIN docs USING (doc_id) WHERE contains(text, '!')), {_scored('paras', 'own_')} SELECT {score_columns} FROM scored",
+        "python_segmenter": f"""WITH {DOCS}, {rows_}, {long_words('rows_')}, all_ AS (SELECT doc_id, seg_idx, 'long-word' AS name, s, e, m, s AS "at" FROM lw UNION ALL SELECT doc_id, seg_idx, 'cries', NULL, NULL, NULL, start FROM rows_ JOIN docs USING (doc_id) WHERE contains(text, '!'))
+          SELECT doc_id, seg_idx, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name) - 1)::INT AS nth, name, s::INT AS start, e::INT AS "end", m AS matched FROM all_""",
+        "python_verdicts": f"""WITH {DOCS}, {rows_}, {long_words('rows_')}, n AS (SELECT r.doc_id, r.seg_idx, length(r.quote) AS size, count(lw.s) AS k FROM rows_ r LEFT JOIN lw USING (doc_id, seg_idx) GROUP BY ALL),
+          v AS (SELECT doc_id, count(*) AS n_segments, sum(k)::BIGINT AS n_signals, sum((30 * k > size)::INT) AS flagged FROM n GROUP BY doc_id)
+          SELECT d.doc_id, coalesce(n_segments, 0)::BIGINT AS n_segments, coalesce(n_signals, 0)::BIGINT AS n_signals, (coalesce(flagged, 0) > 0)::INT::DOUBLE AS lean, CASE WHEN coalesce(flagged, 0) = 0 THEN 'no-evidence' WHEN least(flagged / n_segments / 0.35, n_signals * 0.3 / (1.5 * greatest(1.0, length(text) / 1000.0)), 1.0) < 0.2 THEN 'no-evidence' ELSE 'leans-machine' END AS label, 'uncalibrated (share)' AS calibration
+          FROM docs d LEFT JOIN v USING (doc_id)""",
         "edit_invalidation": f"""{sig}, es AS (SELECT doc_id, seg_idx, start::INT AS s, (start + length(quote))::INT AS e, false AS bad FROM paras), {_mapped(EDITS, 'es')}, xs AS (SELECT doc_id, seg_idx, nth, name, s, e, false AS bad FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x)) WHERE s IS NOT NULL), {_mapped(EDITS, 'xs')}
           SELECT x.doc_id, x.seg_idx, nth, name, x.s AS start, x.e AS "end", x.bad OR y.bad AS unverified FROM met{len(EDITS) - 1}_xs x JOIN met{len(EDITS) - 1}_es y USING (doc_id, seg_idx)""",
     }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import after, before, let
 from ..operators.counted import counted, statistics
-from ..operators.detectors import DEFAULT, Detector, by_statistics, detectors_of, signals_of
+from ..operators.detectors import DEFAULT, Detector, by_statistics, detectors_of, plain_of, signals_of
 from ..operators.outliers import STATISTICS, outlier_signals
+from ..operators.plain import PlainAggregate
 from ..operators.scoring import Aggregate, aggregate_of, by_direction, document_verdict, is_directed, roll_up
 from ..operators.segments import SPANS, Segmenter, segmented, segmenter_of
 from ..schema import SCHEMA_VERSION, SIGNALS
@@ -33,8 +34,15 @@ def _once(spark: SparkSession, parts: tuple, make: Callable[[], Column]) -> Colu
 
 
 def detected(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, keep: tuple[str, ...] = (), context: bool = False) -> DataFrame:
-    """Segments of (doc_id, text) with their ``signals``; row by row, without a shuffle."""
-    return segmented(docs, segmenter, keep, context).withColumn("signals", _once(docs.sparkSession, tuple(DEFAULT if detectors is None else detectors), lambda: signals_of(F.col("quote"), F.col("start"), detectors)))
+    """Segments of (doc_id, text) with their ``signals``; row by row, without a shuffle.
+
+    Plain Python detectors run together in one stage before the columns do.
+    """
+    plain = plain_of(detectors)
+    out = segmented(docs, segmenter, keep, context, plain)
+    if plain is not None:
+        return out.withColumn("signals", signals_of(F.col("quote"), F.col("start"), detectors, F.col("plain"))).drop("plain")
+    return out.withColumn("signals", _once(docs.sparkSession, tuple(DEFAULT if detectors is None else detectors), lambda: signals_of(F.col("quote"), F.col("start"), detectors)))
 
 
 def inject(segments: DataFrame, extra: DataFrame) -> DataFrame:
@@ -93,7 +101,11 @@ def gauge(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors:
 
 def _nested(docs: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str | Detector] | None, aggregate: str | Aggregate, keep: tuple[str, ...], context: bool) -> DataFrame:
     """(doc_id, *keep, text_sha256, n_chars, segments): each document's scored segments in its own row, so nothing is shuffled."""
-    build, score, text = segmenter_of(segmenter)[0], aggregate_of(aggregate)[0], F.col("text")
+    build, score, text, plain = segmenter_of(segmenter)[0], aggregate_of(aggregate)[0], F.col("text"), plain_of(detectors)
+    spans = build(text).cast(SPANS)
+    if plain is not None:
+        docs = docs.select("doc_id", *keep, "text", spans.alias("spans_")).withColumn("plain_", plain(text, F.col("spans_")))
+        spans = F.col("spans_")
 
     def whole(s: Column, i: Column) -> Column:
         def of(found: Column) -> Column:
@@ -102,10 +114,10 @@ def _nested(docs: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str
                 found.alias("signals"), *(by_direction(found, d).alias(d) for d in ("machine", "human", "neutral")),
             ))
 
-        return let(signals_of(s["quote"], s["start"], detectors), of)
+        return let(signals_of(s["quote"], s["start"], detectors, None if plain is None else F.get("plain_", i)), of)
 
     def every() -> Column:
-        return F.transform(build(text).cast(SPANS), whole)
+        return F.transform(spans, whole)
 
     around = lambda s: (before(text, s["start"]).alias("prefix"), after(text, s["end"]).alias("suffix")) if context else ()
     return docs.select("doc_id", *keep, F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"), _once(docs.sparkSession, (segmenter, aggregate, context, *(DEFAULT if detectors is None else detectors)), every).alias("segments"))
@@ -121,7 +133,7 @@ def _judged(nested: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def _names(detectors: Sequence[str | Detector] | None) -> list[str]:
     detectors_of(by_statistics(detectors)[0])  # unknown names are an error
-    return [getattr(x, "__name__", "custom") if callable(x) else x for x in (DEFAULT if detectors is None else detectors)]
+    return [x if isinstance(x, str) else getattr(x, "__name__", "custom") for x in (DEFAULT if detectors is None else detectors)]
 
 
 def _named(reports: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str | Detector] | None, aggregate: str | Aggregate) -> DataFrame:
@@ -138,7 +150,7 @@ def verdicts(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detector
     """
     named = detectors
     detectors, extra = with_statistics(docs, segmenter, detectors, extra)
-    if extra is None:
+    if extra is None and not isinstance(aggregate, PlainAggregate):
         out = _judged(_nested(docs, segmenter, detectors, aggregate, keep, False), keep).drop("segments")
     else:
         heads = docs.select("doc_id", *keep, F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -162,7 +174,7 @@ def reports(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors
     fields = ("seg_idx", "start", "end", "quote", "prefix", "suffix", "level", "lean", "strength", "label")
     named = detectors
     detectors, extra = with_statistics(docs, segmenter, detectors, extra)
-    if extra is None:
+    if extra is None and not isinstance(aggregate, PlainAggregate):
         judged = _judged(_nested(docs, segmenter, detectors, aggregate, (), True), ())
         shown = F.when(F.size("segments") > 0, F.transform("segments", lambda s: F.struct(*(s[c].alias(c) for c in fields), plain(s))))
         out = _named(judged.withColumn("own", shown).drop("segments"), segmenter, detectors, aggregate)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from . import storage
 from .functions.text import matches, plain_words, utf16_offset, whitespace_words
 from .operators import counted, edits, evaluate, outliers, placement, readers
 from .operators.detectors import BY_STATISTICS, DEFAULT, QUOTED, detectors, forensic, is_markup, rhetoric, rhythm_cv
+from .operators.plain import PlainAggregate, PlainDetector, PlainSegmenter
 from .operators.rules import catalogue, tell_matches
 from .operators.scoring import blind, density
 from .operators.segments import segmented, segmenters
@@ -193,6 +195,47 @@ def score_custom(spark, d):
     return plan.gauge(seeded(spark, d), aggregate=own).select("doc_id", "seg_idx", "lean", "strength", "label")
 
 
+def _long_words(text, span):
+    """A detector as a plain Python function: words of twelve small letters or more."""
+    for m in re.finditer("[a-z]{12,}", text[span.start : span.end]):
+        yield {"name": "long-word", "direction": "machine", "weight": 0.3, "detector": "long", "start": span.start + m.start(), "end": span.start + m.end()}
+
+
+def _cries(text, span):
+    """One that sees all of the text: each segment of a text with an exclamation mark."""
+    if "!" in text:
+        yield {"name": "cries", "direction": "human", "weight": 0.2, "detector": "cries"}
+
+
+def _lines(text):
+    """A segmenter as one: lines that are not empty."""
+    at = 0
+    for line in text.split("\n"):
+        if line:
+            yield at, at + len(line)
+        at += len(line) + 1
+
+
+@query
+def python_detector(spark, d):
+    """Paragraphs scored by plain Python detectors beside one of columns."""
+    return plan.gauge(seeded(spark, d), "paragraph", ["forensic", PlainDetector(_long_words), PlainDetector(_cries)]).select("doc_id", "seg_idx", "n_signals", "lean", "strength", "label")
+
+
+@query
+def python_segmenter(spark, d):
+    """Signals of plain Python detectors in the segments of a plain Python segmenter."""
+    segs = plan.detected(seeded(spark, d), PlainSegmenter(_lines), [PlainDetector(_long_words), PlainDetector(_cries)])
+    return plan.signals(segs).select("doc_id", "seg_idx", "nth", "name", "start", "end", "matched")
+
+
+@query
+def python_verdicts(spark, d):
+    """Verdicts by all three kinds of plain Python functions."""
+    share = lambda signals, n_chars: (1.0, 1.0, "leans-machine") if 100 * sum(s.weight for s in signals if s.direction == "machine") > n_chars else (0.0, 0.0, "no-evidence")
+    return plan.verdicts(seeded(spark, d), PlainSegmenter(_lines), [PlainDetector(_long_words)], PlainAggregate(share, "share")).select("doc_id", "n_segments", "n_signals", "lean", "label", "calibration")
+
+
 @query
 def label_counts(spark, d):
     return plan.gauge(seeded(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
