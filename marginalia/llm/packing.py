@@ -32,9 +32,10 @@ class Vocabulary:
     """Token ids of texts by a tokenizer's file, word by word.
 
     The tokenizer drops white space and never joins what blanks, line ends, or
-    a letter or digit and the sign behind it part. So distinct words only meet
-    it; the rest is array work. Texts are lower-cased by the tokenizer, so A
-    to Z may be before. Where a text has ``<|``, which may begin a special
+    a small letter or digit and the sign behind it part. (Other letters may
+    become a letter and a mark, which goes with the sign.) So distinct words
+    only meet it; the rest is array work. Texts are lower-cased by the
+    tokenizer, so A to Z may be before. Where a text has ``<|``, which may begin a special
     token's string, the batch's words are left as they are.
     """
 
@@ -87,7 +88,7 @@ class Vocabulary:
         """(sizes, ids): tokens of each text, and all of them in line, with the end's id behind each text; null is empty."""
         texts = pc.fill_null(texts, "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(pc.replace_substring_regex(texts, r"([\pL\pN])([.,;:!?])", r"\1 \2"))
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([\p{Ll}\p{N}])([.,;:!?])", r"\1 \2")
         listed = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = listed.flatten().dictionary_encode()
         words, offsets = coded.dictionary.to_pylist(), listed.offsets.to_numpy(zero_copy_only=False).astype(np.int64)

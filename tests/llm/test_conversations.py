@@ -124,7 +124,7 @@ def vocabulary():
 def test_words_have_the_ids_that_texts_have(vocabulary):
     import pyarrow as pa
 
-    signs = list("aBé.,'!? \n\t\x0b\x1c\x85\xa0😀İſK1٣ﬁ́") + ["<|", "endoftext", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "n't", "'LL", "한국", "ß.", "A.b", "...", "  "]
+    signs = list("aBé.,'!? \n\t\x0b\x1c\x85\xa0😀İſK1٣ﬁ́क़שּׁΣςǅⅷªm") + ["<|", "endoftext", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "n't", "'LL", "한국", "ß.", "A.b", "...", "  "]
     r = random.Random(5)
     for k in range(40):
         texts = [None, "", *("".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(12))]
@@ -196,7 +196,7 @@ def test_given_weights_hold_until_a_queue_is_empty(spark, vocabulary):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = packing.packed(docs, TOKENS, 256, weights={"a": 0.5, "b": 0.25}, with_ids=True).collect()
     sizes, shares = whole(found, docs.collect(), vocabulary)
-    early = [s for n, s in zip(sizes, shares) if n == 256][:4]
+    early = [s for n, s in zip(sizes, shares) if n == 256][:3]
     assert all(abs(s["a"] - 128) < 2 and abs(s["b"] - 64) < 2 and abs(s[None] - 64) < 2 for s in early)
 
 
