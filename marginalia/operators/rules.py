@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hits, let, placed_hits
+from .gates import gated_hits, required
 
 # What a tier weighs, what it weighs when it is unknown, and the metrics of the catalogue.
 TIER_WEIGHT = {"E": 0.50, "W": 0.30, "S": 0.15}
@@ -110,17 +111,21 @@ def tell_matches(text: Column, rules: Sequence[Rule] = RULES, tiers: Iterable[st
     """All matches of the rules as (start, longer, ord, rule, tier, message, weight, end, matched), sorted.
 
     By start, the longer first, then in the order of rules and patterns. Rules
-    of other tiers than ``tiers`` are not looked for.
+    of other tiers than ``tiers`` are not looked for. Rules of one's own are
+    gated by literals that are read from their patterns (``operators.gates``).
     """
     wanted = None if tiers is None else set(tiers)
     listed = [(r, p) for r in rules if wanted is None or r.tier in wanted for p in r.patterns]
-    quick, slow = [], []
+    quick, slow, gated = [], [], []
     for k, (r, p) in enumerate(listed):
         own = r in RULES
+        if not own and (literals := required(p)):
+            gated.append((k, java_pattern(p), literals))
+            continue
         (slow if own and r.id not in _ALWAYS else quick).append((k, java_pattern(p), _first(r.id, p, text) if own and r.id in _ALWAYS else None))
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     facts = F.expr("array(" + ", ".join(f"named_struct('rule', {quote(r.id)}, 'tier', {quote(r.tier)}, 'message', {quote(r.message)}, 'weight', {float(r.weight)!r}D)" for r, _ in listed) + ")")
-    found = [hits(text, quick)] * bool(quick) + ([hits(text, slow, gate(text))] if slow else [])
+    found = [hits(text, quick)] * bool(quick) + ([hits(text, slow, gate(text))] if slow else []) + ([gated_hits(text, gated)] if gated else [])
     if not found:
         return F.array().cast(TELLS)
 

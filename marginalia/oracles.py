@@ -6,7 +6,7 @@ import re
 
 from .operators.detectors import ARTIFACTS, OPENERS
 from .operators.rules import RULES
-from .queries import EDITS
+from .queries import EDITS, OWN_RULES
 from .seeds import seeded_sql
 
 #: Stands for "any letter, digit or underscore" where RE2 knows ASCII only.
@@ -297,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
           v AS (SELECT doc_id, count(*) AS n_segments, sum(k)::BIGINT AS n_signals, sum((30 * k > size)::INT) AS flagged FROM n GROUP BY doc_id)
           SELECT d.doc_id, coalesce(n_segments, 0)::BIGINT AS n_segments, coalesce(n_signals, 0)::BIGINT AS n_signals, (coalesce(flagged, 0) > 0)::INT::DOUBLE AS lean, CASE WHEN coalesce(flagged, 0) = 0 THEN 'no-evidence' WHEN least(flagged / n_segments / 0.35, n_signals * 0.3 / (1.5 * greatest(1.0, length(text) / 1000.0)), 1.0) < 0.2 THEN 'no-evidence' ELSE 'leans-machine' END AS label, 'uncalibrated (share)' AS calibration
           FROM docs d LEFT JOIN v USING (doc_id)""",
+        "own_rules": f"{p}, m AS (" + " UNION ALL ".join(_found(r.id, _re2(x), "paras", f"{_q(r.id)} AS rule, {r.weight!r}::DOUBLE AS weight,") for r in OWN_RULES for x in r.patterns) + ") SELECT doc_id, seg_idx, rule, weight, s::INT AS start, e::INT AS \"end\", m AS matched FROM m",
         "edit_invalidation": f"""{sig}, es AS (SELECT doc_id, seg_idx, start::INT AS s, (start + length(quote))::INT AS e, false AS bad FROM paras), {_mapped(EDITS, 'es')}, xs AS (SELECT doc_id, seg_idx, nth, name, s, e, false AS bad FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY "at", name, ord, l) - 1)::INT AS nth FROM (SELECT x.*, CASE detector WHEN 'tells' THEN 0 WHEN 'forensic' THEN 1 WHEN 'rhetoric' THEN 2 ELSE 3 END AS ord, coalesce(s - e, 0) AS l FROM sig_paras x)) WHERE s IS NOT NULL), {_mapped(EDITS, 'xs')}
           SELECT x.doc_id, x.seg_idx, nth, name, x.s AS start, x.e AS "end", x.bad OR y.bad AS unverified FROM met{len(EDITS) - 1}_xs x JOIN met{len(EDITS) - 1}_es y USING (doc_id, seg_idx)""",
     }

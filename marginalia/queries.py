@@ -13,7 +13,7 @@ from .functions.text import matches, plain_words, utf16_offset, whitespace_words
 from .operators import counted, edits, evaluate, outliers, placement, readers
 from .operators.detectors import BY_STATISTICS, DEFAULT, QUOTED, detectors, forensic, is_markup, rhetoric, rhythm_cv
 from .operators.plain import PlainAggregate, PlainDetector, PlainSegmenter
-from .operators.rules import catalogue, tell_matches
+from .operators.rules import Rule, catalogue, tell_matches
 from .operators.scoring import blind, density
 from .operators.segments import segmented, segmenters
 from .plans import baseline as pooling
@@ -126,6 +126,23 @@ def tell_quoted_suppressed(spark, d):
     return plan.signals(segs).select("doc_id", "seg_idx", "name", "weight", "start", "end")
 
 
+#: A catalogue of one's own: words, alternatives, optional parts, and one without a literal that could be looked for.
+OWN_RULES = (
+    Rule("endings", "W", "words of one ending", (r"[a-z]{2,}(tion|ment)[ .,]", r"hat[a-z]*ing")),
+    Rule("begins", "S", "words of one beginning", (r" (ver|ent|pre)[a-z]{4,}", r"under(stand|go)(ing)?")),
+    Rule("pairs", "E", "two words in a row", (r"the [a-z]+ (of|and) ", r"plan: you")),
+    Rule("names", "W", "words that carry a name", (r"(lorem|ipsum|delve|robust|tapestry)", r"great question[, ]")),
+    Rule("short", "S", "no literal to look for", (r" [xyz][aeiou] ",), 0.2),
+)
+
+
+@query
+def own_rules(spark, d):
+    """Matches of a catalogue of one's own."""
+    rows = _segs(spark, d).select("doc_id", "seg_idx", "start", F.explode(tell_matches(F.col("quote"), OWN_RULES)).alias("m"))
+    return rows.select("doc_id", "seg_idx", F.col("m.rule").alias("rule"), F.col("m.weight").alias("weight"), (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"), "m.matched")
+
+
 @query
 def quoted_ranges(spark, d):
     rows = _segs(spark, d).select("doc_id", "seg_idx", "start", F.explode(matches(F.col("quote"), QUOTED)).alias("m"))
