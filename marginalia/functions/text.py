@@ -42,6 +42,19 @@ def running(sizes: Column) -> Column:
     return let(sizes, lambda s: F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(let(cut(s), spread)))
 
 
+def first_where(n: Column, passes: Callable[[Column], Column]) -> Column:
+    """The least of 0 to n - 1 that passes, else n, by halving; ``passes`` must not fail again behind one that passes."""
+    def step(at: Column, _: Column) -> Column:
+        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        open_ = at["low"] < at["high"]
+        yes = open_ & passes(F.least(mid, n - 1))
+        return F.struct(F.when(open_ & ~yes, mid + 1).otherwise(at["low"]).cast("int").alias("low"), F.when(yes, mid).otherwise(at["high"]).cast("int").alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), n.cast("int").alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    return F.when(n > 0, F.aggregate(steps, start, step, lambda at: at["low"])).otherwise(0)
+
+
 def _placed(x: Column) -> Column:
     """Places of what was found, by what lies between; lengths alternate, so a running sum gives them."""
     sizes = F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, m: F.struct(F.length(g).alias("gap"), (F.length(g) + F.length(m)).alias("both"), m.alias("m")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import whitespace_words
+from ..functions.text import first_where, let, whitespace_words
 from ..schema import PER_WORDS
 from .segments import SPANS, Segmenter, segmenter_of
 
+UNITS = "array<struct<unit:int,start:int,end:int,quote:string>>"
 #: What a judgment weighs and is called when it doesn't say.
 WEIGHT, NAME, DETECTOR = 0.35, "judgment", "judge"
 
@@ -18,20 +19,43 @@ def per_words(count: Column, n_words: Column) -> Column:
     return F.when(n_words > 0, F.bround(PER_WORDS * count / n_words, 2))
 
 
+#: Judgments of one document that share a copy of its text.
+TOGETHER = 2048
+
+
+def together(judgments: DataFrame) -> DataFrame:
+    """(doc_id, part, own): each document's judgments as arrays of about ``TOGETHER`` rows at most, so that they meet its text a few times, not once each.
+
+    Only documents with more than that are counted out; the table of them is
+    joined, and a document of any number of judgments is spread over parts.
+    """
+    name, columns = "many_judgments_of_a_document", judgments.columns
+    many = judgments.groupBy("doc_id").agg(F.count("*").alias(name)).where(F.col(name) > TOGETHER)
+    part = F.when(F.col(name).isNull(), 0).otherwise(F.pmod(F.xxhash64(*columns), F.ceil(F.col(name) / TOGETHER))).cast("int")
+    rows = judgments.join(many, "doc_id", "left").select("doc_id", part.alias("part"), F.struct(*(c for c in columns if c != "doc_id")).alias("j"))
+    return rows.groupBy("doc_id", "part").agg(F.collect_list("j").alias("own"))
+
+
+def _place(j: Column, text: Column) -> Column:
+    """(x, y, gone): where a judgment stands in its document's text, and whether its quote doesn't occur."""
+    at = F.when(j["quote"].isNotNull(), F.call_function("locate", j["quote"], text) - 1)
+    return let(at, lambda p: F.struct(
+        F.when(j["quote"].isNull(), j["start"]).when(p >= 0, p).cast("int").alias("x"), F.when(j["quote"].isNull(), j["end"]).when(p >= 0, p + F.length(j["quote"])).cast("int").alias("y"), (j["quote"].isNotNull() & (p < 0)).alias("gone"),
+    ))
+
+
 def anchored(docs: DataFrame, judgments: DataFrame) -> DataFrame:
     """Judgments (doc_id, reader, direction, quote, start, end, name, weight, note, detector, value) with a place.
 
     A quote stands where it first occurs in the document's text; one that
     doesn't occur is ``dropped``, with null start and end. Without a quote,
-    start and end are taken as given.
+    start and end are taken as given. A text is read once for all of its
+    judgments.
     """
-    at = F.expr("locate(quote, text)") - 1
-    missing = F.col("quote").isNotNull() & (at < 0)
-    out = judgments.withColumnsRenamed({"start": "given_start", "end": "given_end"}).join(docs.select("doc_id", "text"), "doc_id")
-    start = F.when(F.col("quote").isNull(), F.col("given_start")).when(at >= 0, at).cast("int")
-    end = F.when(F.col("quote").isNull(), F.col("given_end")).when(at >= 0, at + F.length("quote")).cast("int")
-    plain = [F.coalesce("name", F.lit(NAME)).alias("name"), F.coalesce("weight", F.lit(WEIGHT)).alias("weight"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("detector", F.lit(DETECTOR)).alias("detector")]
-    return out.select("doc_id", "reader", "direction", "quote", start.alias("start"), end.alias("end"), missing.alias("dropped"), *plain, "value")
+    rows = docs.select("doc_id", "text").join(together(judgments), "doc_id")
+    placed = rows.select("doc_id", F.explode(F.transform("own", lambda j: F.struct(j.alias("j"), _place(j, F.col("text")).alias("p")))).alias("r"))
+    plain = [F.coalesce("r.j.name", F.lit(NAME)).alias("name"), F.coalesce("r.j.weight", F.lit(WEIGHT)).alias("weight"), F.coalesce("r.j.note", F.lit("")).alias("note"), F.coalesce("r.j.detector", F.lit(DETECTOR)).alias("detector")]
+    return placed.select("doc_id", "r.j.reader", "r.j.direction", "r.j.quote", F.col("r.p.x").alias("start"), F.col("r.p.y").alias("end"), F.col("r.p.gone").alias("dropped"), *plain, "r.j.value")
 
 
 def judgment_signals(docs: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -42,6 +66,10 @@ def judgment_signals(docs: DataFrame, judgments: DataFrame) -> DataFrame:
 def judged_units(docs: DataFrame, judgments: DataFrame, segmenter: str | Segmenter = "sentence") -> DataFrame:
     """Judgments with a place and the units that they overlap: one join of texts and judgments, each text cut into units in its own row.
 
+    A text and its units meet all judgments in one row. Built-in segmenters'
+    units are in order and apart, so those that a judgment overlaps follow
+    each other and are found by halving; no other pair is looked at.
+
     (doc_id, n_units, n_words, reader, reader_at, direction, name, weight,
     dropped, units), units being (unit, start, end, quote). A reader who flags
     nothing has one row without a direction. ``reader_at`` is the reader's
@@ -51,13 +79,22 @@ def judged_units(docs: DataFrame, judgments: DataFrame, segmenter: str | Segment
     numbered = F.transform(spans, lambda s, i: F.struct(i.cast("int").alias("unit"), s["start"].alias("start"), s["end"].alias("end"), s["quote"].alias("quote")))
     texts = docs.select("doc_id", "text", numbered.alias("every"), whitespace_words(F.col("text")).cast("long").alias("n_words"))
     place = F.col("reader_at").cast("int") if "reader_at" in judgments.columns else F.lit(None).cast("int")
-    own = judgments.select("doc_id", "reader", place.alias("reader_at"), "direction", F.col("quote").alias("said"), F.col("start").alias("a"), F.col("end").alias("b"), F.coalesce("name", F.lit(NAME)).alias("name"), F.coalesce("weight", F.lit(WEIGHT)).alias("weight"))
-    at = F.expr("locate(said, text)") - 1
-    start = F.when(F.col("said").isNull(), F.col("a")).when(at >= 0, at)
-    end = F.when(F.col("said").isNull(), F.col("b")).when(at >= 0, at + F.length("said"))
-    out = texts.join(own, "doc_id").withColumns({"x": start.cast("int"), "y": end.cast("int"), "dropped": F.col("said").isNotNull() & (at < 0)})
-    met = F.filter("every", lambda u: (u["start"] < F.col("y")) & (u["end"] > F.col("x")))
-    return out.select("doc_id", F.coalesce(F.size("every"), F.lit(0)).cast("long").alias("n_units"), "n_words", "reader", "reader_at", "direction", "name", "weight", "dropped", F.when(F.col("direction").isin("machine", "human") & ~F.col("dropped"), met).alias("units"))
+    own = judgments.select("doc_id", "reader", place.alias("reader_at"), "direction", "quote", "start", "end", F.coalesce("name", F.lit(NAME)).alias("name"), F.coalesce("weight", F.lit(WEIGHT)).alias("weight"))
+    every, in_line = F.col("every"), isinstance(segmenter, str)
+
+    def met(p: Column) -> Column:
+        if not in_line:  # spans of one's own may overlap, in any order
+            return F.filter(every, lambda u: (u["start"] < p["y"]) & (u["end"] > p["x"]))
+        n = F.size(every)
+        first = first_where(n, lambda i: F.get(every, i)["end"] > p["x"])
+        return let(F.struct(first.alias("a"), first_where(n, lambda i: F.get(every, i)["start"] >= p["y"]).alias("b")), lambda r: F.slice(every, r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))))
+
+    def judged(j: Column) -> Column:
+        flagged = lambda p: F.when(j["direction"].isin("machine", "human") & ~p["gone"], F.when(p["x"].isNotNull() & p["y"].isNotNull() & every.isNotNull(), met(p)).otherwise(F.array().cast(UNITS)))
+        return let(_place(j, F.col("text")), lambda p: F.struct(*(j[c].alias(c) for c in ("reader", "reader_at", "direction", "name", "weight")), p["gone"].alias("dropped"), flagged(p).alias("units")))
+
+    rows = texts.join(together(own), "doc_id").select("doc_id", F.coalesce(F.size("every"), F.lit(0)).cast("long").alias("n_units"), "n_words", F.explode(F.transform("own", judged)).alias("j"))
+    return rows.select("doc_id", "n_units", "n_words", "j.*")
 
 
 def _flags(judged: DataFrame) -> DataFrame:
@@ -91,26 +128,32 @@ def _agreed(judged: DataFrame, k: int) -> DataFrame:
     return both.where(F.col("n") >= k).select("doc_id", "unit", "direction", "u.*", F.col("readers.reader").alias("readers"), "shapes", F.bround(F.col("total").cast("double") / F.col("n"), 2).alias("weight"), "n")
 
 
-def consensus_units(docs: DataFrame, judgments: DataFrame, k: int = 2, segmenter: str | Segmenter = "sentence") -> DataFrame:
+def consensus_units(docs: DataFrame, judgments: DataFrame, k: int = 2, segmenter: str | Segmenter = "sentence", judged: DataFrame | None = None) -> DataFrame:
     """(doc_id, unit, direction, start, end, quote, readers, shapes, weight, n): units that at least ``k`` readers flag.
 
     A reader counts once for a unit, with the strongest of its judgments; the
     weight is the mean of those. Readers are in their own order where
     judgments have ``reader_at``. Two sums by key, with sums in tasks before;
-    (doc_id, direction, start) is the order of a listing.
+    (doc_id, direction, start) is the order of a listing. ``judged`` has the
+    rows of ``judged_units`` where they are there already.
     """
     check_k(k, k)
-    return _agreed(judged_units(docs, judgments, segmenter), k)
+    return _agreed(judged_units(docs, judgments, segmenter) if judged is None else judged, k)
+
+
+def listing(units: DataFrame) -> DataFrame:
+    """Consensus units with ``rank``, their place in their document's list: by direction, then where they begin."""
+    return units.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("direction", "start", "unit")))
 
 
-def consensus(docs: DataFrame, judgments: DataFrame, k: int = 2, segmenter: str | Segmenter = "sentence") -> DataFrame:
+def consensus(docs: DataFrame, judgments: DataFrame, k: int = 2, segmenter: str | Segmenter = "sentence", judged: DataFrame | None = None) -> DataFrame:
     """(doc_id, k, n_readers, unit, n_units, n_words, machine, human, machine_per_1000, human_per_1000) for each document with judgments.
 
     Readers who flag nothing count among the readers. A document with fewer
     than ``k`` readers stops the job with an error.
     """
     check_k(k, k)
-    judged = judged_units(docs, judgments, segmenter)
+    judged = judged_units(docs, judgments, segmenter) if judged is None else judged
     heads = judged.groupBy("doc_id").agg(F.max("n_units").alias("n_units"), F.max("n_words").alias("n_words"), F.count_distinct("reader").alias("n_readers"))
     agreed = _agreed(judged, k).groupBy("doc_id").agg(*(F.count_if(F.col("direction") == d).alias(d) for d in ("machine", "human")))
     out = heads.join(agreed, "doc_id", "left").fillna(0, ["machine", "human"])

@@ -266,6 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "anchor_quotes": f"{rd} SELECT doc_id, reader, name, a AS start, b AS \"end\", dropped FROM placed",
         "reader_counts": f"{rd} SELECT doc_id, reader, coalesce(any_value(f.machine), 0) AS machine, coalesce(any_value(f.human), 0) AS human, count(*) FILTER (dropped) AS dropped FROM placed LEFT JOIN (SELECT doc_id, reader, count(DISTINCT unit) FILTER (direction = 'machine') AS machine, count(DISTINCT unit) FILTER (direction = 'human') AS human FROM flagged GROUP BY ALL) f USING (doc_id, reader) GROUP BY doc_id, reader",
         "consensus_units": f"{rd} SELECT doc_id, unit, direction, start, \"end\"::INT AS \"end\", readers, shapes, weight FROM units WHERE n >= 2",
+        "consensus_listing": f"{rd} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY direction, start, unit))::INT AS rank, direction, unit, start FROM units WHERE n >= 2",
         "consensus_density": f"{rd}, {_readings(2, 'r')} SELECT *, {_rate('machine', 'n_words')} AS machine_per_1000, {_rate('human', 'n_words')} AS human_per_1000 FROM r",
         "pooled_baseline": f"{rd}, {_readings(2, 'r')}, t AS (SELECT 2 AS k, 'sentence' AS unit, string_agg(DISTINCT n_readers::VARCHAR, ',' ORDER BY n_readers::VARCHAR) AS n_readers, count(*) AS n_texts, sum(n_words)::BIGINT AS n_words, sum(machine)::BIGINT AS machine, min({_rate('machine', 'n_words')}) AS machine_low, max({_rate('machine', 'n_words')}) AS machine_high, sum(human)::BIGINT AS human, min({_rate('human', 'n_words')}) AS human_low, max({_rate('human', 'n_words')}) AS human_high FROM r) SELECT *, {_rate('machine', 'n_words')} AS machine_per_1000, {_rate('human', 'n_words')} AS human_per_1000 FROM t",
         "baseline_caveats": f"{rd}, ab AS (SELECT doc_id, unit, direction, count(*) AS n FROM own WHERE reader <> 'c' GROUP BY ALL), {_readings(1, 'r')}, {_readings(2, 'r2', 'ab', "reader <> 'c'")}, base AS (SELECT sum(machine)::BIGINT AS m, min(k) AS k, list(DISTINCT n_readers) AS ns FROM r2) SELECT doc_id, machine, m AS base_machine, ((r.k <> base.k)::INT + (len(list_filter(ns, lambda x: x <> n_readers)) > 0)::INT)::INT AS n_caveats FROM r, base",

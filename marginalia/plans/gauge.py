@@ -18,6 +18,8 @@ from ..schema import SCHEMA_VERSION, SIGNALS
 
 #: Place of injected evidence in a segment's order, behind all detectors.
 INJECTED = 99
+#: Code points of a cell in which segments and signals meet.
+CELL = 512
 
 
 _BUILT: dict[tuple, Column] = {}
@@ -49,18 +51,22 @@ def inject(segments: DataFrame, extra: DataFrame) -> DataFrame:
     """Segments with injected signals (doc_id, name, direction, weight, detector, value, note, start, end) among their own.
 
     A signal goes to the segments that hold it whole, one without a place to
-    all of its document. The join is on doc_id, containment its condition; a
-    document with very many of both is a hot key that Spark splits.
+    all of its document. The join is on the cell of the text in which a signal
+    begins, so a long document is no product of its segments and signals.
     """
     here = segments.select("doc_id", "seg_idx", F.col("start").alias("s0"), F.col("end").alias("s1"))
-    inside = F.col("start").isNull() | ((F.col("s0") <= F.col("start")) & (F.col("end") <= F.col("s1")))
     level = F.when(F.col("start").isNotNull(), F.lit("token"))
     matched = F.col("matched") if "matched" in extra.columns else F.lit(None).cast("string")
     one = F.struct(
         F.coalesce("start", "s0").cast("int").alias("at"), "name", F.lit(INJECTED).alias("d"), F.lit(0).alias("longer"), F.lit(0).alias("ord"), "direction", F.col("weight").cast("double").alias("weight"), "detector", F.col("value").cast("string").alias("value"), "note",
         F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), matched.alias("matched"), level.alias("level"),
     )
-    placed = here.join(extra, "doc_id").where(inside).groupBy("doc_id", "seg_idx").agg(F.collect_list(one).cast(SIGNALS).alias("more"))
+    # a row for each segment and cell of the text, and for each signal and the cell that it begins in; a null cell is all of the document
+    cell = lambda at: F.floor(at / CELL).cast("int")
+    cells = here.select("*", F.explode(F.concat(F.sequence(cell(F.col("s0")), cell(F.greatest("s0", "s1"))), F.array(F.lit(-1)))).alias("cell"))
+    inside = F.col("start").isNull() | ((F.col("s0") <= F.col("start")) & (F.col("end") <= F.col("s1")))
+    signals_ = extra.withColumn("cell", F.coalesce(cell(F.col("start")), F.lit(-1)))
+    placed = cells.join(signals_, ["doc_id", "cell"]).where(inside).groupBy("doc_id", "seg_idx").agg(F.collect_list(one).cast(SIGNALS).alias("more"))
     both = segments.join(placed, ["doc_id", "seg_idx"], "left")
     return both.withColumn("signals", F.array_sort(F.concat("signals", F.coalesce("more", F.array().cast(SIGNALS))))).drop("more").select(*segments.columns)
 

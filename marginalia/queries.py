@@ -339,6 +339,12 @@ def consensus_units(spark, d):
     return out.select("doc_id", "unit", "direction", "start", "end", F.array_join("readers", ",").alias("readers"), F.array_join("shapes", ",").alias("shapes"), "weight")
 
 
+@query
+def consensus_listing(spark, d):
+    """The same in the order of a list."""
+    return readers.listing(readers.consensus_units(seeded(spark, d), _judgments(spark, d), 2)).select("doc_id", "rank", "direction", "unit", "start")
+
+
 @query
 def consensus_density(spark, d):
     return readers.consensus(seeded(spark, d), _judgments(spark, d), 2)
@@ -385,8 +391,9 @@ def inject_contains(spark, d):
 def inject_consensus(spark, d):
     """Verdicts with what two readers agree on."""
     docs, own = seeded(spark, d), _judgments(spark, d)
-    n = readers.consensus(docs, own, 2).select("doc_id", "n_readers")
-    extra = readers.consensus_signals(readers.consensus_units(docs, own, 2), n)
+    judged = storage.kept(readers.judged_units(docs, own), "judged")
+    n = readers.consensus(docs, own, 2, judged=judged).select("doc_id", "n_readers")
+    extra = readers.consensus_signals(readers.consensus_units(docs, own, 2, judged=judged), n)
     return plan.verdicts(docs, "sentence", extra=extra).select("doc_id", "n_signals", "lean", "strength", "label")
 
 
