@@ -21,6 +21,7 @@ from .operators import readers
 from .operators.detectors import detectors
 from .operators.rules import catalogue
 from .operators.segments import segmenters
+from .plans import pages
 from .plans import baseline as pooling
 from .plans import gauge as plan
 from .plans import report
@@ -90,21 +91,23 @@ def _gauge(spark: SparkSession, a: argparse.Namespace) -> str:
         made = made.join(section, "doc_id", "left")
     elif section is not None and a.format == "json":
         made = made.join(beside.select("doc_id", F.struct(*(c for c in beside.columns if c != "doc_id")).alias("readers")), "doc_id", "left")
-    shown = FORMATS[a.format](made, **titled)
-    column = shown.columns[1]
-    heads = made.select("doc_id", "label", "lean", "n_signals")
-    some = shown.limit(2).collect()
-    if len(some) == 1:
+    shown = FORMATS[a.format](made, keep=("label", "lean", "n_signals"), **titled).withColumnRenamed(a.format, "page")
+    if not a.out or _single(docs):
+        some = shown.limit(2).collect()
+        if len(some) != 1:
+            raise ValueError("several texts need --out, a folder for a page of each" if some else "no text was found")
+        (row,) = some
         if not a.out:
-            return some[0][1]
-        Path(a.out).write_text(some[0][1], encoding="utf-8")
-        head = heads.first()
-        return f"wrote {a.out} ({len(some[0][1].encode())} bytes): {head['label']}, lean {head['lean']:+.2f}, {head['n_signals']} signal(s)"
-    if not a.out:
-        raise ValueError("several texts need --out, a folder of Parquet" if some else "no text was found")
-    shown.join(heads, "doc_id").write.parquet(a.out)
-    told = spark.read.parquet(a.out).groupBy("label").count().orderBy("label").collect()
-    return f"wrote {a.out} ({column} of each text): " + ", ".join(f"{r['label']} {r['count']}" for r in told)
+            return row["page"]
+        Path(a.out).write_text(row["page"], encoding="utf-8")
+        return f"wrote {a.out} ({len(row['page'].encode())} bytes): {row['label']}, lean {row['lean']:+.2f}, {row['n_signals']} signal(s)"
+    told = pages.save_pages(shown, a.out, {"markdown": "md"}.get(a.format, a.format))
+    return f"wrote {told['pages']} pages to {a.out} ({told['bytes']} bytes): " + ", ".join(f"{k} {v}" for k, v in told["labels"].items())
+
+
+def _single(docs: DataFrame) -> bool:
+    """Whether there is one text at most; ids alone are read."""
+    return len(docs.select("doc_id").limit(2).collect()) < 2
 
 
 def _baseline(spark: SparkSession, a: argparse.Namespace) -> str:

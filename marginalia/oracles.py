@@ -260,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "label_counts": f"{scored} SELECT label, count(*) AS n FROM scored GROUP BY label",
         "rollup_document": f"{rolled} SELECT doc_id, n_chars::INT AS n_chars, n_segments::BIGINT AS n_segments, n_signals::BIGINT AS n_signals, lean, strength, label FROM rolled",
         "report_flat": f"{rolled} SELECT doc_id, sha256(text) AS text_sha256, n_chars::INT AS n_chars, n_segments::BIGINT AS n_segments, n_signals::BIGINT AS n_signals, lean, strength, label, 'paragraph' AS segmenter, 'tells,forensic,rhetoric,rhythm' AS detectors, 'uncalibrated (density_aggregate)' AS calibration, '1' AS schema_version FROM rolled",
+        "saved_reports": f"{rolled} SELECT doc_id, label, n_signals::BIGINT AS n_signals, n_segments::BIGINT AS n_segments, sha256(text) AS text_sha256 FROM rolled",
         "weight_by_direction": f"{sig} SELECT doc_id, direction, sum(weight::DECIMAL(9,4))::DOUBLE AS weight FROM sig_paras GROUP BY ALL",
         "ranked_flags": f"{sig} SELECT doc_id, rank::INT AS rank, name, weight, s::INT AS start FROM (SELECT *, {ordered.format('')} AS rank FROM {with_order}) WHERE rank <= 3",
         "listed_flags": f"{sig} SELECT doc_id, name, direction, weight FROM (SELECT *, {ordered.format('CASE direction WHEN ' + _q('human') + ' THEN 0 WHEN ' + _q('machine') + ' THEN 1 ELSE 2 END,')} AS rank FROM {with_order}) WHERE rank = 1",

@@ -18,7 +18,7 @@ from .operators.scoring import blind, density
 from .operators.segments import segmented, segmenters
 from .plans import baseline as pooling
 from .plans import gauge as plan
-from .plans import report
+from .plans import pages, report
 from .seeds import seeded
 from .sources.readers import parsed_judgments, table
 from .streaming import late
@@ -601,6 +601,16 @@ def json_report_fields(spark, d):
     )
 
 
+@query
+def saved_reports(spark, d):
+    """Reports as a JSON file for each document, read back."""
+    path = storage.folder(spark, "pages")
+    pages.save_pages(report.to_json(plan.reports(seeded(spark, d)), keep=("label",)).withColumnRenamed("json", "page"), path, "json")
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).where("_metadata.file_name <> '_summary.json'")
+    of = lambda field, kind: F.get_json_object("value", f"$.{field}").cast(kind).alias(field)
+    return files.select(F.regexp_extract("_metadata.file_name", r"^(\d+)\.json$", 1).cast("long").alias("doc_id"), of("label", "string"), of("n_signals", "long"), of("n_segments", "long"), of("text_sha256", "string"))
+
+
 @query
 def reader_reports(spark, d):
     """Markdown of each document's readers beside the baseline of all."""
