@@ -192,6 +192,9 @@ def oracle_sql() -> dict[str, str]:
     ladder = ", ".join(f"sig_{d} AS (SELECT * FROM sig_sents WHERE detector = '{d}'), {_scored('sents', f'sig_{d}', f'sc_{d}')}" for d in ("tells", "forensic", "rhetoric"))
     ladder_cards = " UNION ALL ".join(f"SELECT '{d}' AS rung, * FROM ({_card(f'sd_{d}')})" for d in ("tells", "forensic", "rhetoric"))
     ladder_sided = ", ".join(_fractions(f"sc_{d}").removeprefix(TRUTH + ", ").replace("frac ", f"fr_{d} ").replace("FROM frac", f"FROM fr_{d}").replace("sided", f"sd_{d}") for d in ("tells", "forensic", "rhetoric"))
+    every = [tuple(n for k, n in enumerate(("tells", "forensic", "rhetoric", "rhythm")) if m >> k & 1) for m in range(1, 16)]
+    cube = ", ".join(f"cb{k} AS (SELECT * FROM sig_sents WHERE detector IN ({', '.join(map(_q, x))})), {_scored('sents', f'cb{k}', f'sc_cb{k}')}, " + _fractions(f"sc_cb{k}").removeprefix(TRUTH + ", ").replace("frac ", f"fr_cb{k} ").replace("FROM frac", f"FROM fr_cb{k}").replace("sided", f"sd_cb{k}") for k, x in enumerate(every))
+    cube_cards = " UNION ALL ".join(f"SELECT {_q('+'.join(x))} AS rung, * FROM ({_card(f'sd_cb{k}')})" for k, x in enumerate(every))
     sweep = " UNION ALL ".join(f"SELECT {'NULL' if r is None else r}::DOUBLE AS reference, doc_id, lang, label FROM ro_{r or 0}" for r in (None, 4000, 2000, 1500, 1000, 750, 500))
     sweep_ctes = ", ".join(_scored("paras", "sig_paras", f"sc_{r or 0}", "1.5" if r is None else f"1.5 * greatest(1.0, length(quote) / {r}.0)") + ", " + _rolled(f"sc_{r or 0}", f"ro_{r or 0}") for r in (None, 4000, 2000, 1500, 1000, 750, 500))
     tokens = """tk AS MATERIALIZED (SELECT doc_id, i - 1 AS tok_idx, (sum(g) OVER w + sum(l) OVER w - l)::INT AS a, (sum(g) OVER w + sum(l) OVER w)::INT AS b, l::DOUBLE AS x FROM (SELECT doc_id, i, length(m) AS l, length(gaps[i]) AS g FROM (SELECT *, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ms, regexp_split_to_array(text, '\\S+') AS gaps FROM docs))) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -276,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "truth_overlap": f"{scored}, {_fractions('scored')} SELECT doc_id, seg_idx, covered::BIGINT AS covered, {rounded('fraction', 6)}, side FROM sided",
         "score_card": f"{sigs}, {_scored('sents', 'sig_sents')}, {_fractions('scored')}, card AS ({_card('sided')}) SELECT *, {card_rates} FROM card",
         "score_card_ladder": f"{sigs}, {ladder}, {TRUTH}, {ladder_sided}, cards AS ({ladder_cards}) SELECT c.rung, c.signals, c.machine_hits, c.machine_total, c.machine_flagged, c.decisive, c.agreements, c.machine_hits > b.machine_hits AND {_share('c.machine_hits', 'c.machine_flagged')} >= {_share('b.machine_hits', 'b.machine_flagged')} AS passes FROM cards c, (SELECT * FROM cards WHERE rung = 'tells') b",
+        "evidence_cube": f"{sigs}, {TRUTH}, {cube}, cards AS ({cube_cards}) SELECT c.rung, c.signals, c.machine_hits, c.human_hits, c.machine_flagged, c.human_flagged, c.decisive, c.agreements, c.machine_hits > b.machine_hits AND {_share('c.machine_hits', 'c.machine_flagged')} >= {_share('b.machine_hits', 'b.machine_flagged')} AS passes FROM cards c, (SELECT * FROM cards WHERE rung = 'tells') b",
         "band_rates": f"{rolled}, j AS (SELECT r.lang, r.label, coalesce(s.k, 0) AS k, coalesce(s.x, 0) AS x FROM rolled r LEFT JOIN (SELECT doc_id, count(*) AS k, count(*) FILTER (label = 'leans-machine') AS x FROM scored GROUP BY 1) s USING (doc_id)), b AS (SELECT lang, count(*) AS documents, count(*) FILTER (label = 'leans-machine') AS accused, count(*) FILTER (label = 'leans-human') AS defended, count(*) FILTER (label IN ('no-evidence', 'uncertain')) AS silent, sum(k)::BIGINT AS segments, sum(x)::BIGINT AS segments_accused FROM j GROUP BY ROLLUP (lang)) SELECT *, {_share('accused', 'documents')} AS rate, {_share('segments_accused', 'segments')} AS segment_rate FROM b",
         "length_buckets": f"{rolled} SELECT ((n_chars >= 750)::INT + (n_chars >= 1500)::INT + (n_chars >= 2500)::INT)::INT AS bucket, count(*) AS documents, count(*) FILTER (label = 'leans-machine') AS accused, {_share('count(*) FILTER (label = ' + _q('leans-machine') + ')', 'count(*)')} AS rate FROM rolled GROUP BY 1",
         "rule_accounting": f"{inside}, {human}, {acc}, x AS (SELECT detector, name, direction, max(weight) AS w2, count(*) FILTER (direction = 'machine' AND inside) AS true_positive, count(*) FILTER (direction = 'machine' AND NOT inside) AS false_on_mixed FROM inn GROUP BY ALL) SELECT detector, name, direction, greatest(w1, w2) AS weight, coalesce(human_docs, 0) AS human_docs, coalesce(human_hits, 0) AS human_hits, coalesce(true_positive, 0) AS true_positive, coalesce(false_on_mixed, 0) AS false_on_mixed, direction = 'machine' AND coalesce(true_positive, 0) = 0 AND coalesce(human_docs, 0) >= 5 AS negative_value FROM h FULL JOIN x USING (detector, name, direction)",

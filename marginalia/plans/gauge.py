@@ -142,6 +142,11 @@ def _names(detectors: Sequence[str | Detector] | None) -> list[str]:
     return [x if isinstance(x, str) else getattr(x, "__name__", "custom") for x in (DEFAULT if detectors is None else detectors)]
 
 
+def judged(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, aggregate: str | Aggregate = "density_aggregate", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Verdicts with their documents' scored segments as an array in the same row, for what needs both."""
+    return _judged(_nested(docs, segmenter, detectors, aggregate, keep, False), keep)
+
+
 def _named(reports: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str | Detector] | None, aggregate: str | Aggregate) -> DataFrame:
     """What made a report, behind its other columns."""
     names = _names(detectors)

@@ -419,19 +419,23 @@ def score_card(spark, d):
 @query
 def score_card_ladder(spark, d):
     """The same for each detector alone, and which of them beats the first."""
-    cards, docs, truth = None, seeded(spark, d), _truth(spark, d)
-    for name in ("tells", "forensic", "rhetoric"):
-        part = evaluate.score_card(plan.gauge(docs, "sentence", [name]).withColumn("rung", F.lit(name)), truth, ("rung",))
-        cards = part if cards is None else cards.unionByName(part)
-    out = evaluate.gate(cards, cards.where("rung = 'tells'"))
+    rows = evaluate.cube(plan.detected(seeded(spark, d), "sentence"), [("tells",), ("forensic",), ("rhetoric",)])
+    out = evaluate.ladder(evaluate.score_card(rows, _truth(spark, d), ("rung",)), "tells")
     return out.select("rung", "signals", "machine_hits", "machine_total", "machine_flagged", "decisive", "agreements", "passes")
 
 
+@query
+def evidence_cube(spark, d):
+    """The same for all sets of the four detectors."""
+    rows = evaluate.cube(plan.detected(seeded(spark, d), "sentence"), evaluate.subsets(DEFAULT))
+    out = evaluate.ladder(evaluate.score_card(rows, _truth(spark, d), ("rung",)), "tells")
+    return out.select("rung", "signals", "machine_hits", "human_hits", "machine_flagged", "human_flagged", "decisive", "agreements", "passes")
+
+
 @query
 def band_rates(spark, d):
     """Documents and segments called machine-written, by language and in all."""
-    docs = seeded(spark, d)
-    return evaluate.band_rates(plan.verdicts(docs, keep=("lang",)), plan.gauge(docs), "lang")
+    return evaluate.band_rates(plan.judged(seeded(spark, d), keep=("lang",)), "lang")
 
 
 @query

@@ -365,7 +365,7 @@ def test_evaluation(spark):
     c = evaluate.score_card(segs, truth).first()
     assert (c["machine_total"], c["human_total"], c["machine_hits"], c["machine_flagged"]) == (2, 3, 2, 3)
     assert c["machine_precision"] == pytest.approx(2 / 3)
-    rows = evaluate.band_rates(plan.verdicts(docs.withColumn("band", F.lit("A")), "sentence", keep=("band",)), segs, "band").collect()
+    rows = evaluate.band_rates(plan.judged(docs.withColumn("band", F.lit("A")), "sentence", keep=("band",)), "band").collect()
     assert {r["band"] for r in rows} == {"A", None} and all(r["documents"] == 2 for r in rows)
     acc = {r["name"]: r for r in evaluate.rule_accounting(plan.signals(segs), plan.signals(segs), truth).collect()}
     assert (acc["em-dash"]["true_positive"], acc["ai-vocabulary"]["true_positive"], acc["ai-vocabulary"]["human_docs"]) == (1, 0, 1)

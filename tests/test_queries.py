@@ -78,7 +78,7 @@ def test_documents_are_read_in_their_own_rows(name, spark, split):
 def test_detectors_run_once(spark, split):
     """A word of the catalogue stands as often in the plan of signals as in that of scores."""
     once = _plan(engine.queries()["score_density"](spark, split)).count("delving")
-    for name in ("signals_all", "report_flat", "ranked_flags"):
+    for name in ("signals_all", "report_flat", "ranked_flags", "band_rates", "rule_table", "detector_accounting", "score_card_ladder", "evidence_cube", "reference_sweep", "inject_contains"):
         assert 0 < _plan(engine.queries()[name](spark, split)).count("delving") <= once
 
 
