@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.detectors import Detector
+from ..operators.detectors import rhythm as built_in_rhythm
+from ..operators.detectors import tells as built_in_tells
 from ..operators.rules import METRICS, Rule
 from ..schema import JUDGMENT
 
@@ -122,32 +125,43 @@ def judgment_rows(spark: SparkSession, judgments: object, doc_id: object) -> Dat
     return parsed_judgments(spark.createDataFrame(rows, f"doc_id {kind}, reader string, reader_at int, json string"), ("doc_id", "reader", "reader_at"))
 
 
+def _catalogue(path: str):
+    """What a catalogue's file says, JSON or YAML."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("a YAML catalogue needs the yaml package; give JSON instead") from e
+    return yaml.safe_load(text)
+
+
 def rules_from(path_or_rules: str | Sequence[dict]) -> tuple[Rule, ...]:
     """Rules from records with id, tier, message, patterns and perhaps a weight, or from a JSON or YAML file of them."""
-    records = path_or_rules
-    if isinstance(records, str):
-        with open(records, encoding="utf-8") as f:
-            text = f.read()
-        if records.endswith(".json"):
-            records = json.loads(text)
-        else:
-            try:
-                import yaml
-            except ImportError as e:
-                raise ValueError("a YAML catalogue needs the yaml package; give JSON instead") from e
-            records = yaml.safe_load(text)
+    records = _catalogue(path_or_rules) if isinstance(path_or_rules, str) else path_or_rules
     records = records["rules"] if isinstance(records, dict) else records
-    return tuple(Rule(r["id"], r["tier"], r["message"], tuple(r["patterns"]), r.get("weight")) for r in records)
+    return tuple(Rule(r["id"], r["tier"], r["message"], tuple(r["patterns"]), None if r.get("weight") is None else float(r["weight"])) for r in records)
 
 
 def metrics_from(path: str | None = None) -> dict[str, float]:
-    """The numbers that detectors share: those of a catalogue's file where it has them, else the built-in ones."""
-    own = {}
-    if path is not None:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-        own = found.get("metrics", {}) if isinstance(found, dict) else {}
-    return {**METRICS, **own}
+    """The numbers that detectors share: those of a catalogue's file, JSON or YAML, where it has them, else the built-in ones."""
+    found = _catalogue(path) if path is not None else None
+    return {**METRICS, **((found.get("metrics") or {}) if isinstance(found, dict) else {})}
+
+
+def detectors_from(path: str) -> list[str | Detector]:
+    """The default detectors with a catalogue's own rules and numbers, for ``detectors=``."""
+    rules, numbers = rules_from(path), metrics_from(path)
+
+    def tells(text: Column, start: Column) -> Column:
+        return built_in_tells(text, start, rules)
+
+    def rhythm(text: Column, start: Column) -> Column:
+        return built_in_rhythm(text, start, numbers)
+
+    return [tells, "forensic", "rhetoric", rhythm]
 
 
 def baseline_from(spark: SparkSession, path: str) -> DataFrame:

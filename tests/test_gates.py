@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import gates
-from marginalia.operators.rules import RULES, Rule, tell_matches
+from marginalia.operators.rules import METRICS, RULES, Rule, tell_matches
+from marginalia.plans import gauge as plan
 from marginalia.seeds import seeded
+from marginalia.sources import readers
 
 
 def pattern(r, depth=0):
@@ -95,3 +99,20 @@ def test_five_hundred_rules_cost_less_than_three_times_the_built_in_ones(spark):
     built_in, many = seconds(RULES), seconds(rules)
     print("seconds:", built_in, many)
     assert many < 3 * built_in + 0.5
+
+
+def test_a_catalogue_of_ones_own_from_a_file(spark, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    own = {"metrics": {"min_sentences_for_rhythm": 2}, "rules": [{"id": "fox", "tier": "W", "message": "a fox", "patterns": [r"\bfox(es)?\b"]}, {"id": "ox", "tier": "Q", "message": "an ox", "patterns": [r"\box\b"], "weight": 1}]}
+    (tmp_path / "own.yaml").write_text(yaml.safe_dump(own))
+    (tmp_path / "own.json").write_text(json.dumps(own))
+    docs = spark.createDataFrame([(1, "The fox and the ox are here. The fox went on to the other side now. Yes it did so.")], "doc_id long, text string")
+    for name in ("own.yaml", "own.json"):
+        path = str(tmp_path / name)
+        assert readers.metrics_from(path) == {**METRICS, "min_sentences_for_rhythm": 2}
+        verdict = plan.verdicts(docs, "document", readers.detectors_from(path)).first()
+        assert verdict["detectors"] == "tells,forensic,rhetoric,rhythm"
+        rows = plan.signals(plan.detected(docs, "document", readers.detectors_from(path))).collect()
+        assert [(r["name"], r["weight"]) for r in rows if r["detector"] == "tells"] == [("fox", 0.3), ("ox", 1.0), ("fox", 0.3)]
+        assert any(r["detector"] == "rhythm" for r in rows)
+    assert readers.metrics_from() == METRICS
