@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_row, hash_sample, with_text_verdict
+from .shared import by_row, hash_sample, unused, with_text_verdict
 
 #: Kinds in the order in which spans are listed; the last is found by the model only.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -408,9 +408,8 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 def redact(docs: DataFrame, model: SemiMarkov) -> DataFrame:
     """``docs`` with personal data in ``text`` named instead of shown, and ``n_chars`` (if there) counted anew."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    order, from_old = docs.columns, "clean_text_"
-    while from_old in order:
-        from_old += "_"
+    order = docs.columns
+    from_old = unused("clean_text_", order)
     out = with_text_verdict(docs, f"{from_old} string", lambda texts: {from_old: [redacted(t, spans_of(t, shared.value)[1]) for t in texts]})
     out = out.withColumn("text", F.col(from_old)).drop(from_old)
     if "n_chars" in order:
