@@ -129,6 +129,11 @@ def _nested(docs: DataFrame, segmenter: str | Segmenter, detectors: Sequence[str
     return docs.select("doc_id", *keep, F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"), _once(docs.sparkSession, (segmenter, aggregate, context, *(DEFAULT if detectors is None else detectors)), every).alias("segments"))
 
 
+def scored_segments(docs: DataFrame, segmenter: str | Segmenter = "paragraph", detectors: Sequence[str | Detector] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, text_sha256, n_chars, segments): each document's segments with signals and weights by direction, in its own row."""
+    return _nested(docs, segmenter, detectors, "density_aggregate", keep, False)
+
+
 def _judged(nested: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The rows of ``_nested`` with their documents' verdicts, by sums over each row's own array."""
     added = lambda of: F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + of(s))
