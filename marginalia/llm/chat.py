@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,11 @@ def _listed(field: str, role: str, text: str) -> Callable[[Callable[[str], Colum
     return lambda of: F.transform(of(field), lambda m: _turn(F.coalesce(F.try_element_at(_names(), F.lower(m[role])), m[role]), m[text]))
 
 
+def _led(field: str, role: str, text: str) -> Callable[[Callable[[str], Column]], Column]:
+    """What a list says, behind the system's own field."""
+    return lambda of: F.concat(F.array(_turn("system", of("system"))), _listed(field, role, text)(of))
+
+
 def _with_input(of: Callable[[str], Column]) -> Column:
     asked = F.when(F.coalesce(F.length(of("input")), F.lit(0)) > 0, F.concat(F.coalesce(of("instruction"), F.lit("")), F.lit("\n\n"), of("input"))).otherwise(of("instruction"))
     return F.array(_turn("user", asked), _turn("assistant", of("output")))
@@ -70,6 +76,8 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "turn-rows": (("turn", "role", "text"), lambda of: F.array(_turn(of("role"), of("text")))),
     "messages": (("messages[].role", "messages[].content"), _listed("messages", "role", "content")),
     "shared": (("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
+    "system-messages": (("system", "messages[].role", "messages[].content"), _led("messages", "role", "content")),
+    "system-shared": (("system", "conversations[].from", "conversations[].value"), _led("conversations", "from", "value")),
     "prompt-response": (("prompt", "response"), _said(("user", "prompt"), ("assistant", "response"))),
     "prompt-completion": (("prompt", "completion"), _said(("user", "prompt"), ("assistant", "completion"))),
     "system-prompt-response": (("system", "prompt", "response"), _said(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -111,12 +119,45 @@ def _turns(name: str, of: Callable[[str], Column]) -> Column:
     return LAYOUTS[name][1](of)
 
 
-def turn_rows(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) of records in any layout that ``layout_of`` knows."""
-    name = layout_of(df)
-    if name == "turn-rows":
-        return df.select(*TURN_ROWS)
-    return df.select(F.col(conv_id).alias("conv_id"), F.posexplode(_turns(name, F.col)).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+def layouts_in(df: DataFrame) -> list[str]:
+    """All layouts whose fields a table has, as ``layout_of`` tells one, the smallest first."""
+    paths = field_paths(df.schema)
+    fits = lambda own: fingerprint(p for p in paths if _top(p) in {_top(x) for x in own}) == fingerprint(own)
+    return sorted((n for n, (own, _) in LAYOUTS.items() if n != "turn-rows" and fits(own)), key=lambda n: len(LAYOUTS[n][0]))
+
+
+def turn_rows(df: DataFrame, conv_id: str = "conv_id", with_layout: bool = False) -> DataFrame:
+    """(conv_id, turn, role, text) of records in any layout that ``layout_of`` knows, with ``layout`` on demand.
+
+    Where a table has the fields of several layouts, each row has its own: the
+    hash of the paths of the fields that it fills (those that aren't null)
+    selects it; a row whose fields are no layout's has the smallest one that
+    has them all, with null texts for those that are missing. A row that fills
+    fields which no layout has together is one row with null layout, turn,
+    role and text, so that nothing goes unseen. Null lists and empty ones have
+    no turns; a null conv_id, and rows that repeat, are as they are; an empty
+    table gives no rows.
+    """
+    layout = [F.col("layout")] if with_layout else []
+    if layout_of(df) == "turn-rows":
+        return df.withColumn("layout", F.lit("turn-rows")).select(*TURN_ROWS, *layout)
+    fitting = layouts_in(df)
+    tops = {n: sorted({_top(p) for p in LAYOUTS[n][0]}) for n in fitting}
+    fields = sorted({f for own in tops.values() for f in own})
+    own_paths = {f: sorted({p for n in fitting for p in LAYOUTS[n][0] if _top(p) == f}) for f in fields}
+    filled = F.flatten(F.array(*(F.when(F.col(f).isNotNull(), F.array(*map(F.lit, own_paths[f]))).otherwise(F.array().cast("array<string>")) for f in fields)))
+    marks = F.create_map(*(F.lit(x) for n in fitting for x in (fingerprint(LAYOUTS[n][0]), n)))
+    exact = F.try_element_at(marks, F.sha2(F.array_join(F.array_sort(filled), "\n"), 256))
+
+    def holds(n: str) -> Column:
+        """Whether a row fills no field but those of a layout."""
+        others = [F.col(f).isNull() for f in fields if f not in tops[n]]
+        return reduce(lambda a, x: a & x, others, F.lit(True))
+
+    name = F.coalesce(exact, *(F.when(holds(n), F.lit(n)) for n in fitting))
+    turns = F.coalesce(*(F.when(name == n, _turns(n, F.col)) for n in fitting))
+    rows = df.select(F.col(conv_id).alias("conv_id"), name.alias("layout"), turns.alias("turns")).select("conv_id", "layout", F.posexplode_outer("turns").alias("turn", "t"))
+    return rows.where("turn is not null or layout is null").select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text", *layout)
 
 
 def json_turn_rows(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:

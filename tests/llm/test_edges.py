@@ -149,6 +149,24 @@ def test_layouts_are_told_by_nested_paths(spark, monkeypatch):
         chat.turn_rows(turns)
 
 
+def test_each_row_of_a_table_has_its_own_layout(spark):
+    kind = "conv_id long, prompt string, response string, question string, answer string, system string, messages array<struct<role:string,content:string>>"
+    said = [("user", "hi"), ("gpt", "yo")]
+    rows = [(1, "p", "r", None, None, None, None), (2, None, None, "q", "a", None, None), (3, None, None, None, None, "s", said), (4, None, None, None, None, None, said), (5, "p", "r", None, None, "s", None), (6, "p", "r", "q", "a", None, None), (7, "p", None, None, None, None, None), (8, None, None, None, None, None, None), (9, None, None, None, None, None, []), (4, None, None, None, None, None, said)]
+    df = spark.createDataFrame(rows, kind)
+    got = {}
+    for r in chat.turn_rows(df, with_layout=True).orderBy("conv_id", "turn").collect():
+        got.setdefault((r["conv_id"], r["layout"]), []).append((r["turn"], r["role"], r["text"]))
+    assert got == {
+        (1, "prompt-response"): [(0, "user", "p"), (1, "assistant", "r")], (2, "question-answer"): [(0, "user", "q"), (1, "assistant", "a")], (3, "system-messages"): [(0, "system", "s"), (1, "user", "hi"), (2, "assistant", "yo")],
+        (4, "messages"): [(0, "user", "hi"), (0, "user", "hi"), (1, "assistant", "yo"), (1, "assistant", "yo")], (5, "system-prompt-response"): [(0, "system", "s"), (1, "user", "p"), (2, "assistant", "r")],
+        (6, None): [(None, None, None)], (7, "prompt-response"): [(0, "user", "p"), (1, "assistant", None)],
+    }
+    assert chat.turn_rows(df.where("false")).collect() == []
+    record = spark.createDataFrame([(1, '{"system": "s", "messages": [{"role": "user", "content": "hi"}]}')], "conv_id long, record string")
+    assert [tuple(r) for r in chat.json_turn_rows(record).orderBy("turn").collect()] == [(1, "system-messages", 0, "system", "s"), (1, "system-messages", 1, "user", "hi")]
+
+
 def test_a_host_of_a_megabyte_is_judged_in_linear_time(spark):
     import time
 
