@@ -126,7 +126,8 @@ def links(distinct: DataFrame, distance: int = 4, groups: int | None = None) ->
     lowest = F.slice(F.array_compact(shares), 1, groups - distance)
     own = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in chosen)), F.col("a.grid").cast("int") + 1)
     near = (F.col("a.fp") < F.col("b.fp")) & (_manhattan(x, y) <= distance) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance) & (lowest == own)
-    return a.join(b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # Spark takes exploded rows to be as few as the points, and would send all cells through the driver's memory to broadcast them
+    return a.hint("merge").join(b.hint("merge"), (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_groups(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4, groups: int | None = None) -> DataFrame:

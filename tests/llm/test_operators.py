@@ -33,6 +33,16 @@ def test_links_are_all_pairs_within_four_bits(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_cells_are_never_broadcast(spark):
+    # two fingerprints are far below any bound on broadcasts, and their cells are still sorted and merged
+    d = spark.createDataFrame([(0,), (1,)], "fp long").repartition(2)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20
+    met = simhash.links(d, 4)
+    assert [tuple(r) for r in met.collect()] == [(0, 1)]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "isFinalPlan=true" in plan
+
+
 def test_finer_cells_for_more_fingerprints():
     chosen = [simhash.groups_for(10**k) for k in range(2, 11)]
     assert chosen == sorted(chosen) and chosen[0] <= 7 < chosen[-1]
