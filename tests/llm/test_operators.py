@@ -43,6 +43,17 @@ def test_cells_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and "isFinalPlan=true" in plan
 
 
+def test_the_pipeline_broadcasts_no_cells(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(simhash, "components", lambda met: seen.append(met) or components(met))
+    rows = [(k, f"{k} quick foxes run {k * 7} miles", "en", "web", 5) for k in range(20)] + [(90, "3 quick foxes run 21 miles", "en", "web", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert 90 not in {r["doc_id"] for r in kept} and len(kept) <= 20 and len(seen) == 1
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_finer_cells_for_more_fingerprints():
     chosen = [simhash.groups_for(10**k) for k in range(2, 11)]
     assert chosen == sorted(chosen) and chosen[0] <= 7 < chosen[-1]
