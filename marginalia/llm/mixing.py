@@ -92,7 +92,8 @@ def schedule(aims: DataFrame, block_words: int) -> DataFrame:
     )
     counts = slots.groupBy("src", "range").agg(F.count("*").alias("n"))
     earlier = counts.select("src", "range", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    ranked = slots.join(earlier, ["src", "range"]).withColumn("rank", F.col("earlier") + F.row_number().over(Window.partitionBy("src", "range").orderBy("slot")) - 1)
+    # Spark takes exploded rows to be few, and would send all slots through the driver; the ranks need them by range anyway
+    ranked = slots.hint("merge").join(earlier.hint("merge"), ["src", "range"]).withColumn("rank", F.col("earlier") + F.row_number().over(Window.partitionBy("src", "range").orderBy("slot")) - 1)
     edge = lambda r: F.when(r == F.col("slots"), F.floor("target")).otherwise(F.floor(r * F.col("target") / F.col("slots")))
     return ranked.select("slot", "src", "rank", edge(F.col("rank")).alias("first"), edge(F.col("rank") + 1).alias("last"))
 
@@ -118,13 +119,15 @@ def _taken(docs: DataFrame, weights: Sequence[float], share: float, most: float,
     placed = rows.select("row", "src", "range", "h", "id", "size", "mark").join(earlier, ["src", "range"]).withColumn("start", F.col("earlier") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     placed = written(placed.join(aims, "src").select("row", "src", "size", "source_size", "target", "start"), "placed")
     plan = schedule(aims, block_words)
-    blocks = plan.groupBy("src").agg(F.count("*").alias("slots"))
+    # written, so that its size is known: Spark took these few rows for more than the turns, and sent all turns through the driver instead
+    blocks = written(plan.groupBy("src").agg(F.count("*").alias("slots")), "slots")
     starts = F.array(F.col("start"), F.col("start") + F.col("source_size"))
     turns = placed.where("size > 0").select("row", "src", "size", "target", F.posexplode(starts).alias("turn", "start")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.floor("target"))).where("stop > start")
     # the first and last rank that a turn may touch, one more on each side for the rounding of edges
     rank = lambda x: F.floor(x * F.col("slots") / F.col("target"))
     touched = turns.join(blocks, "src").select("row", "src", "turn", "start", "stop", F.explode(F.sequence(F.greatest(F.lit(0), rank(F.col("start")) - 1), F.least(F.col("slots") - 1, rank(F.col("stop")) + 1))).alias("rank"))
-    took = touched.join(plan, ["src", "rank"]).withColumn("place", F.greatest("start", "first")).withColumn("end", F.least("stop", "last")).where("end > place")
+    # both sides grow with the table and are more than Spark takes them for
+    took = touched.hint("merge").join(plan.hint("merge"), ["src", "rank"]).withColumn("place", F.greatest("start", "first")).withColumn("end", F.least("stop", "last")).where("end > place")
     took = took.select("row", "slot", "place", "turn", (F.col("place") - F.col("start")).alias("first"), (F.col("end") - F.col("start")).alias("last"))
     return rows.select("row", *kept), placed.select("row", "size", "source_size", "target"), took, kept
 

@@ -163,4 +163,5 @@ def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4,
     key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
     own = unused("kept_id", marked.columns)
     stay = stay.select(key(F.col("least.doc_id")).alias(own), F.col("least.h").alias(whole))
-    return marked.withColumn(own, key(F.col("doc_id"))).join(stay, [own, whole], "left_semi").dropDuplicates([own, whole]).select(*docs.columns)
+    # groups are nearly as many as texts, and take far more of the driver's memory than Spark's bound on broadcasts looks at
+    return marked.withColumn(own, key(F.col("doc_id"))).hint("merge").join(stay.hint("merge"), [own, whole], "left_semi").dropDuplicates([own, whole]).select(*docs.columns)

@@ -54,6 +54,28 @@ def test_the_pipeline_broadcasts_no_cells(spark, monkeypatch):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def _joins(df):
+    """The joins of the plan that ran, once all of its rows are made."""
+    df.collect()
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in x]
+
+
+def test_the_rows_that_stay_are_never_broadcast(spark):
+    d = spark.createDataFrame([(k, f"{k} quick foxes run {k * 7} miles") for k in range(20)], "doc_id long, text string")
+    kept = [x for x in _joins(simhash.keep_one(d)) if "LeftSemi" in x]
+    assert len(kept) == 1 and "SortMergeJoin" in kept[0]
+
+
+def test_the_mix_broadcasts_no_turns_or_slots(spark):
+    d = spark.range(3000).selectExpr("id as doc_id", "repeat('so many words ', cast(id % 50 as int)) as text", "concat('source ', id % 3) as source")
+    joins = _joins(mixing.pieces(d, block_words=16, keep=("doc_id", "text", "source")))
+    by_slot = [x for x in joins if "rank#" in x or "range#" in x]
+    assert len(by_slot) == 2 and all("SortMergeJoin" in x for x in by_slot)
+    # the numbers of slots, a row for each source, stand on the right
+    by_source = [x for x in joins if re.search(r"Join \[src#\d+\], \[src#\d+\]", x)]
+    assert len(by_source) == 1 and "BuildRight" in by_source[0]
+
+
 def test_finer_cells_for_more_fingerprints():
     chosen = [simhash.groups_for(10**k) for k in range(2, 11)]
     assert chosen == sorted(chosen) and chosen[0] <= 7 < chosen[-1]
