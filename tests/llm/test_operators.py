@@ -463,6 +463,16 @@ def test_both_ways_of_scoring_agree(spark):
         assert b[i][1:] == tuple(verdicts) and (bits is None and b[i][0] is None or b[i][0] == pytest.approx(bits, rel=1e-12))
 
 
+def test_scores_are_asked_for_once_a_gram_and_texts_stay_in_their_tasks(spark):
+    texts = [(k, " ".join(random.Random(k).choices(["abc", "bd", "cab", "dé"], k=40)), "xx") for k in range(200)]
+    rows = rules.dealt_to_folds(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    top = rules.counts(rows.select("text", F.concat("fold", "band").alias("lang"))).persist()
+    known = rules.scores(top, rules.kneser_ney(top))
+    assert known.count() == known.select("key", "gram").distinct().count() == top.count()
+    plan = rules.measured(rows.withColumn("key", F.concat(rules.other_fold(F.col("fold")), F.col("band"))), known, shipped=7)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Generate"))
+
+
 def test_bands_reject_what_is_no_language(spark):
     rng = random.Random(9)
     vocab = ["".join(rng.choice("aeiou" if k % 2 else "bdlmnrst") for k in range(rng.randint(2, 7))) for _ in range(300)]
