@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pathlib
 import random
 import statistics
 import time
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia import storage
 from marginalia.operators import counted, outliers
 from marginalia.plans import gauge as plan
 
@@ -135,6 +137,33 @@ def test_counted_model_by_whole_distributions(model):
         assert tuple(r)[3:] == pytest.approx(plain.at(r["c1"], r["c2"], r["w"]), abs=1e-9)
 
 
+def _tables(spark):
+    top = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return {p.name for p in top.iterdir()}
+
+
+def test_a_model_leaves_no_table_that_nothing_reads(spark, docs):
+    for once, left in ((True, {"triples", "singles", "contexts", "pairs"}), (False, {"grams", "singles", "contexts", "pairs"})):
+        before = _tables(spark)
+        m = counted.counted(docs, once=once)
+        assert {n.rsplit("-", 1)[0] for n in _tables(spark) - before} == left
+        # counts and pairs meet by pair, then all else is done where a context's words are
+        plan = m.grams._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == once and plan.count("Window") == 2 * once
+    sorts = lambda m: sorted(map(tuple, m.grams.collect()))
+    assert all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-12) for a, b in zip(sorts(counted.counted(docs, once=True)), sorts(m), strict=True))
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    local = pathlib.Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    rows = spark.range(0, 20000, 1, 8).groupBy((F.col("id") % 997).alias("k")).agg(F.count("*").alias("n"))
+    before = {p.name for p in local.rglob("shuffle_*.data")}
+    table = storage.kept(rows, "rows")
+    assert not [p for p in local.rglob("shuffle_*.data") if p.name not in before]
+    assert table.count() == 997
+    assert spark.conf.get(storage.CLEANS) == "false"
+
+
 def test_unseen_words_and_contexts(spark, model):
     plain = Plain(TEXTS)
     asked = [("sat", "on", "a"), ("on", "dog", "ran"), ("x", "y", "the"), ("x", "cat", "zebra"), ("the", "cat", "zebra"), ("x", "y", "zebra"), ("the", "cat", "sat")]
